@@ -212,3 +212,101 @@ def with_views(names: str, body: str, recursive: bool = False) -> str:
     body = body.strip()
     sep = ",\n" if not body.upper().startswith("SELECT") else "\n"
     return head + ctes + sep + body
+
+
+# Category and platform texts dealt out to items by id.
+TAG_CATEGORIES = [
+    "Decentralized-Finance", "Layer-1", "NFT", "Meme-Token", "Play-to-Earn", "Oracle", "Tokenized-Asset", "Unlisted",
+    "defi", "Exchange-Token",
+]
+TAG_PLATFORMS = ["ethereum", "BSC", "sol", "Polygon", "near", "AVAX", "cosmos-hub"]
+
+
+def tagged_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts with JSON texts of categories and platforms, some null, empty, damaged or broken."""
+    k = F.col("p_partkey")
+    cats = F.array(*[F.lit(c) for c in TAG_CATEGORIES])
+    plats = F.array(*[F.lit(p) for p in TAG_PLATFORMS])
+    c1 = cats[(k % 10).cast("int")]
+    c2 = cats[F.floor(k / 10 % 10).cast("int")]
+    p1 = plats[(k % 7).cast("int")]
+    p2 = plats[F.floor(k / 7 % 7).cast("int")]
+    q = F.lit('"')
+    good_c = F.concat(F.lit('["'), c1, F.lit('", "'), c2, F.lit('"]'))
+    good_p = F.when(p1 == p2, F.concat(F.lit('{"'), p1, F.lit('": "0x1"}'))).otherwise(
+        F.concat(F.lit('{"'), p1, F.lit('": "0x1", "'), p2, F.lit('": "0x2"}')))
+    doubled = lambda t: F.replace(t, q, F.lit('""'))
+    odd = k % 23
+    spoil = lambda t, broken: (
+        F.when(odd == 0, F.lit(None)).when(odd == 1, F.lit("")).when(odd == 2, doubled(t))
+        .when(odd == 3, F.lit(broken)).otherwise(t))
+    return table(spark, sf, "part").select(
+        k.alias("id"),
+        F.col("p_name").alias("name"),
+        spoil(good_c, "[broken").alias("categories"),
+        spoil(good_p, "{broken").alias("platforms"),
+    )
+
+
+def _sql_list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v + "'" for v in values) + "]"
+
+
+SQL["tagged_items"] = f"""tags0 AS (
+  SELECT p_partkey AS id, p_name AS name, p_partkey % 23 AS odd,
+         {_sql_list(TAG_CATEGORIES)}[p_partkey % 10 + 1] AS c1, {_sql_list(TAG_CATEGORIES)}[p_partkey // 10 % 10 + 1] AS c2,
+         {_sql_list(TAG_PLATFORMS)}[p_partkey % 7 + 1] AS p1, {_sql_list(TAG_PLATFORMS)}[p_partkey // 7 % 7 + 1] AS p2
+  FROM part),
+  tagged_items AS (
+  SELECT id, name, odd,
+         CASE WHEN odd IN (0, 1, 3) THEN [] ELSE [c1, c2] END AS categories,
+         CASE WHEN odd IN (0, 1, 3) THEN [] WHEN p1 = p2 THEN [p1] ELSE [p1, p2] END AS platform_keys
+  FROM tags0)"""
+
+
+def brand_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Brands as items: ids match ``prices_long``."""
+    part = table(spark, sf, "part")
+    lines = table(spark, sf, "lineitem").select("l_partkey", "l_extendedprice")
+    return (
+        lines.join(part, lines.l_partkey == part.p_partkey)
+        .groupBy(F.col("p_brand").alias("id"))
+        .agg(
+            F.round(F.sum("l_extendedprice"), 2).alias("market_cap"),
+            F.max("p_retailprice").alias("current_price"),
+            F.concat(F.lit("The "), F.first("p_brand")).alias("name"),
+        )
+    )
+
+
+def brand_portfolios(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("project_id"), "p_brand")
+    return (
+        portfolios(spark, sf).join(part, "project_id")
+        .groupBy("user_id", F.col("p_brand").alias("project_id")).agg(F.sum("amount").alias("amount"))
+    )
+
+
+def stored_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Two generations of stored technical actions per (user, brand), derived from ids; some users have none."""
+    held = brand_portfolios(spark, sf).filter(F.pmod("user_id", F.lit(5)) != 0)
+    age = held.withColumn("age", F.explode(F.array(F.lit(1), F.lit(2))))
+    pick = F.pmod(F.col("user_id") + F.col("age"), F.lit(3))
+    return age.select(
+        "user_id", "project_id", F.lit("technical").alias("recommendation_type"),
+        F.when(pick == 0, "hold").when(pick == 1, "buy").otherwise("sell").alias("action_type"),
+        (F.lit("2024-06-10").cast("timestamp") - F.make_interval(days=F.col("age"))).alias("created_at"),
+    )
+
+
+SQL["brand_items"] = """brand_items AS (
+  SELECT p_brand AS id, round(sum(l_extendedprice), 2) AS market_cap, max(p_retailprice) AS current_price, 'The ' || p_brand AS name
+  FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_brand)"""
+SQL["brand_portfolios"] = """brand_portfolios AS (
+  SELECT user_id, p_brand AS project_id, sum(amount) AS amount FROM portfolios JOIN part ON p_partkey = project_id GROUP BY 1, 2)"""
+SQL["stored_signals"] = """stored_signals AS (
+  SELECT user_id, project_id, CASE (user_id + age) % 3 WHEN 0 THEN 'hold' WHEN 1 THEN 'buy' ELSE 'sell' END AS action_type,
+         TIMESTAMP '2024-06-10' - to_days(age) AS created_at
+  FROM brand_portfolios, (SELECT unnest([1, 2]) AS age) WHERE user_id % 5 <> 0)"""
+NEEDS["brand_portfolios"] = ["portfolios"]
+NEEDS["stored_signals"] = ["brand_portfolios"]

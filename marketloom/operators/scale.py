@@ -12,10 +12,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.session import materialise
+
 SCORE_DIGITS = 8  # ranking ignores noise below this digit, so ties are broken by id
 
 
@@ -50,9 +53,13 @@ def salted_join(
     """Join whose hot left keys are split over several tasks.
 
     A key with more than ``rows_per_salt`` left rows gets ``ceil(rows / rows_per_salt)`` salts: its left rows are
-    spread by hash and its right rows repeated once per salt. Cold keys are untouched. ``how`` is inner or left.
+    spread by hash and its right rows repeated once per salt. Cold keys are untouched; rows with a null key never match
+    and are spread freely. ``how`` is inner or left.
     """
     keys = list(keys)
+    hashed = [f.name for f in left.schema if "map<" not in f.dataType.simpleString() and "variant" not in
+              f.dataType.simpleString()]
+    nulls = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     hot = (
         left.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -60,7 +67,8 @@ def salted_join(
         .select(*keys, F.ceil(F.col("_n") / rows_per_salt).cast("int").alias("_salts"))
     )
     spread = left.join(hot, keys, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*left.columns), F.coalesce("_salts", F.lit(1))).cast("int")
+        "_salt",
+        F.pmod(F.xxhash64(*hashed), F.when(nulls, 1000).otherwise(F.coalesce("_salts", F.lit(1)))).cast("int"),
     )
     copies = right.join(hot, keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
@@ -263,3 +271,83 @@ def block_of(key: Column, blocks: Column) -> Column:
 def block_count(df: DataFrame, size: int) -> Column:
     """Number of hash blocks of about ``size`` rows."""
     return scalars(df, b=F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).cast("int"))["b"]
+
+
+def range_bucketed(df: DataFrame, *order: str, name: str = "_bucket") -> DataFrame:
+    """Rows cut into ordered range partitions of similar size, the partition number in ``name``.
+
+    Works for any sortable columns and splits hot leading values by the later columns. The cut points come from
+    sampling, so the result is written once; every consumer then sees the same cut.
+    """
+    return materialise(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()))
+
+
+def running_total(bucketed: DataFrame, order: Sequence[str], weight: Column, name: str, bucket: str = "_bucket"):
+    """Sum of ``weight`` over all earlier rows in the global order of a ``range_bucketed`` frame."""
+    totals = bucketed.groupBy(bucket).agg(F.sum(weight).alias("_t"))
+    before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    starts = totals.select(bucket, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"))
+    inner = Window.partitionBy(bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        bucketed.withColumn("_before", F.coalesce(F.sum(weight).over(inner), F.lit(0)))
+        .join(starts, bucket)
+        .withColumn(name, F.col("_start") + F.col("_before"))
+        .drop("_start", "_before")
+    )
+
+
+def average_ranks(df: DataFrame, column: str) -> DataFrame:
+    """``(column, n, rank)`` per distinct value: 1-based rank, ties averaged; no global sort in one task."""
+    counts = value_counts(df, column)
+    placed = running_total(range_bucketed(counts, column), [column], F.col("n"), "_less")
+    return placed.select(column, "n", (F.col("_less") + (F.col("n") + 1) / 2).alias("rank"))
+
+
+def dense_codes(df: DataFrame, column: str, name: str = "_code") -> DataFrame:
+    """``(column, code)`` numbering the distinct non-null values 0.. in sorted order."""
+    values = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    placed = running_total(range_bucketed(values, column), [column], F.lit(1), name)
+    return placed.select(column, F.col(name).cast("long").alias(name))
+
+
+def neighbour_values(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], pos: str = "pos", block: int = 100_000
+) -> DataFrame:
+    """Nearest earlier and later non-null value of each column, as structs ``prev_<c>`` / ``next_<c>`` of (v, p).
+
+    Blocks of positions are scanned on their own; block ends are carried over through a short per-block table. The
+    row's own value counts for both directions.
+    """
+    keys = list(keys)
+    blocked = df.withColumn("_blk", F.floor(F.col(pos) / block))
+    kb = [*keys, "_blk"]
+    back = Window.partitionBy(*kb).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*kb).orderBy(pos).rowsBetween(0, Window.unboundedFollowing)
+
+    def point(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col(pos).alias("p")))
+
+    inside = blocked.withColumns(
+        {
+            **{f"prev_{c}": F.last(point(c), ignorenulls=True).over(back) for c in columns},
+            **{f"next_{c}": F.first(point(c), ignorenulls=True).over(ahead) for c in columns},
+        }
+    )
+    ends = blocked.groupBy(*kb).agg(
+        *[F.max_by(point(c), F.when(F.col(c).isNotNull(), F.col(pos))).alias(f"l_{c}") for c in columns],
+        *[F.min_by(point(c), F.when(F.col(c).isNotNull(), F.col(pos))).alias(f"f_{c}") for c in columns],
+    )
+    earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(1, Window.unboundedFollowing)
+    carry = ends.select(
+        *kb,
+        *[F.last(f"l_{c}", ignorenulls=True).over(earlier).alias(f"cl_{c}") for c in columns],
+        *[F.first(f"f_{c}", ignorenulls=True).over(later).alias(f"cf_{c}") for c in columns],
+    )
+    joined = null_safe_join(inside, carry, kb)
+    return joined.withColumns(
+        {
+            **{f"prev_{c}": F.coalesce(f"prev_{c}", f"cl_{c}") for c in columns},
+            **{f"next_{c}": F.coalesce(f"next_{c}", f"cf_{c}") for c in columns},
+        }
+    ).drop("_blk", *[f"cl_{c}" for c in columns], *[f"cf_{c}" for c in columns])

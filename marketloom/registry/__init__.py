@@ -11,4 +11,4 @@ def load() -> None:
         importlib.import_module(f"marketloom.registry.{group}")
 
 
-GROUPS = ["recs"]
+GROUPS = ["recs", "toolbox", "market"]

@@ -24,3 +24,12 @@ def r6(c: str | Column, name: str | None = None) -> Column:
     col = F.col(c) if isinstance(c, str) else c
     out = F.round(col.cast("double"), 6) + F.lit(0.0)
     return out.alias(name or c) if (name or isinstance(c, str)) else out
+
+
+def r4(c: str) -> Column:
+    """Four digits for money-sized values; the small shift keeps exact halves from rounding either way."""
+    return (F.round(F.col(c).cast("double") + 3e-7, 4) + F.lit(0.0)).alias(c)
+
+
+def four_digits(sql: str) -> str:
+    return sql.replace(", 6)", " + 3e-7, 4)")
