@@ -41,20 +41,31 @@ def spread(ratings: DataFrame, directed: DataFrame, num: Column, den: Column) ->
         "j", "item_id")
 
 
-def item_cf_scores(ratings: DataFrame, sim: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def of_users(rows: DataFrame, only: DataFrame | None) -> DataFrame:
+    """Rows of the requested users; the filter sits in front of every join."""
+    return rows if only is None else rows.join(only.select("user_id").distinct(), "user_id", "left_semi")
+
+
+def item_cf_scores(
+    ratings: DataFrame, sim: DataFrame, threshold: float = THRESHOLD, only: DataFrame | None = None
+) -> DataFrame:
     """Score of every unseen item: rating mean weighted by similarity to the user's rated items."""
     directed = mirrored(sim.filter(F.col("sim") > threshold))
+    mine = of_users(ratings, only)
     parts = spread(
-        ratings.select("user_id", "item_id", "rating"), directed, F.col("sim") * F.col("rating"), F.col("sim"))
-    return unseen_scores(parts, ratings, 0.0)
+        mine.select("user_id", "item_id", "rating"), directed, F.col("sim") * F.col("rating"), F.col("sim"))
+    return unseen_scores(parts, mine, 0.0)
 
 
-def item_cf(ratings: DataFrame, n: int = TOP_N, threshold: float = THRESHOLD, sim: DataFrame | None = None):
+def item_cf(
+    ratings: DataFrame, n: int = TOP_N, threshold: float = THRESHOLD, sim: DataFrame | None = None,
+    only: DataFrame | None = None,
+) -> DataFrame:
     sim = item_cosine(ratings) if sim is None else sim
-    return top_scored(item_cf_scores(ratings, sim, threshold), ["user_id"], "score", "item_id", n)
+    return top_scored(item_cf_scores(ratings, sim, threshold, only), ["user_id"], "score", "item_id", n)
 
 
-def user_cf_scores(ratings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def user_cf_scores(ratings: DataFrame, threshold: float = THRESHOLD, only: DataFrame | None = None) -> DataFrame:
     """Neighbour-weighted mean rating of every unseen item, without a user x user table.
 
     The weighted sum over neighbours is linear in the similarity, so it factors through item pairs:
@@ -73,9 +84,10 @@ def user_cf_scores(ratings: DataFrame, threshold: float = THRESHOLD) -> DataFram
     )
     directed = mirrored(kernel, {"hi": "hj", "hj": "hi"}).select("i", "j", "g", "hi")
     parts = spread(
-        unit.select("user_id", "item_id", "u"), directed, F.col("u") * F.col("g"), F.col("u") * F.col("hi"))
-    weak = weak_user_parts(ratings, threshold)
-    return unseen_scores(parts.unionByName(weak), ratings, threshold / 2)
+        of_users(unit, only).select("user_id", "item_id", "u"), directed,
+        F.col("u") * F.col("g"), F.col("u") * F.col("hi"))
+    weak = of_users(weak_user_parts(ratings, threshold), only)
+    return unseen_scores(parts.unionByName(weak), of_users(ratings, only), threshold / 2)
 
 
 def weak_user_parts(ratings: DataFrame, threshold: float) -> DataFrame:
@@ -96,13 +108,15 @@ def weak_user_parts(ratings: DataFrame, threshold: float) -> DataFrame:
         F.sum(-F.col("sim") * F.col("rating")).alias("num"), F.sum(-F.col("sim")).alias("den"))
 
 
-def user_cf(ratings: DataFrame, n: int = TOP_N, threshold: float = THRESHOLD) -> DataFrame:
-    return top_scored(user_cf_scores(ratings, threshold), ["user_id"], "score", "item_id", n)
+def user_cf(
+    ratings: DataFrame, n: int = TOP_N, threshold: float = THRESHOLD, only: DataFrame | None = None
+) -> DataFrame:
+    return top_scored(user_cf_scores(ratings, threshold, only), ["user_id"], "score", "item_id", n)
 
 
 def blended_cf(
     ratings: DataFrame, sim: DataFrame, table: VectorTable, cf_weight: float, n: int = TOP_N,
-    threshold: float = THRESHOLD, candidates: DataFrame | None = None,
+    threshold: float = THRESHOLD, candidates: DataFrame | None = None, only: DataFrame | None = None,
 ) -> DataFrame:
     """Item CF under ``cf_weight * cf + (1 - cf_weight) * feature`` similarity.
 
@@ -112,7 +126,7 @@ def blended_cf(
     shared = table.where_in(
         candidates if candidates is not None else ratings.select(F.col("item_id").alias("id"))).materialised()
     ids = shared.df.select(F.col("id").alias("item_id"))
-    rated = materialise(ratings.join(ids, "item_id", "left_semi"))
+    rated = materialise(of_users(ratings, only).join(ids, "item_id", "left_semi"))
     w, fw = cf_weight, 1 - cf_weight
     cf = materialise(sim.join(ids.withColumnRenamed("item_id", "i"), "i", "left_semi").join(
         ids.withColumnRenamed("item_id", "j"), "j", "left_semi").filter(F.col("sim") > 0))
@@ -287,3 +301,49 @@ def replace_recs(stored: DataFrame, new: DataFrame) -> DataFrame:
     touched = new.select("user_id", "recommendation_type").distinct()
     return stored.join(touched, ["user_id", "recommendation_type"], "left_anti").unionByName(
         new.select(*stored.columns))
+
+
+def all_users(lists: dict[str, DataFrame], items: DataFrame, users: DataFrame, n: int = 20) -> DataFrame:
+    """Every recommendation type for every user in one frame.
+
+    ``lists`` maps a type to ranked recommendations; popular and trending lists of ``n`` items are added for all users.
+    """
+    parts = {
+        "popular": for_every_user(users, top_catalog(items, "popularity_score", n), n),
+        "trending": for_every_user(users, top_catalog(items, "trend_score", n), n),
+        **lists,
+    }
+    out = None
+    for kind, recs in parts.items():
+        one = recs.select(
+            "user_id", "item_id", F.col("score").cast("double").alias("score"), F.col("rank").cast("int").alias("rank"),
+            F.lit(kind).alias("recommendation_type"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def cold_start(
+    users: DataFrame, ratings: DataFrame, items: DataFrame, table: VectorTable, cf_weight: float, n: int = TOP_N,
+    interests: DataFrame | None = None, seed: int = 42,
+) -> DataFrame:
+    """Lists for users without history.
+
+    Interest lists come first; who gets fewer than n items from them continues with a hybrid over three seeded
+    ratings at weights .05/.05/.9, and with trending items while that list is shorter than n / 2.
+    """
+    full = None
+    rest = users.select("user_id")
+    if interests is not None:
+        found = materialise(interest_recs(interests, items, n))
+        done = found.groupBy("user_id").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= n)
+        full = found.join(done, "user_id", "left_semi").select("user_id", "item_id", "score", "rank")
+        rest = materialise(rest.join(done, "user_id", "left_anti"))
+    seeded = materialise(ratings.select("user_id", "item_id", "rating").unionByName(seed_ratings(rest, items, seed)))
+    sim = materialise(item_cosine(ratings))
+    hybrid_recs = hybrid(
+        user_cf(seeded, 2 * n, only=rest), item_cf(seeded, 2 * n, sim=sim, only=rest),
+        blended_cf(seeded, sim, table, cf_weight, 2 * n, only=rest), items, rest, n, weights=(0.05, 0.05, 0.9))
+    short = hybrid_recs.groupBy("user_id").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") < n // 2)
+    trending = for_every_user(short, top_catalog(items, "trend_score", n), n)
+    warm = first_of([hybrid_recs, trending], n)
+    return warm if full is None else full.unionByName(warm.select(*full.columns))
