@@ -11,4 +11,4 @@ def load() -> None:
         importlib.import_module(f"marketloom.registry.{group}")
 
 
-GROUPS = ["recs", "toolbox", "market", "lists", "evals"]
+GROUPS = ["recs", "toolbox", "market", "lists", "evals", "io"]
