@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketloom.operators.scale import (
-    clean_number, dense_codes, quantiles, salted_join, scalars, value_counts,
+    clean_number, dense_codes, quantiles, salted_join, scalars, use_all_cores, value_counts,
 )
 
 # Category and platform flags of the feature matrix.
@@ -169,7 +169,7 @@ def tf_idf(
     """
     stops = english_stop_words() if stop_words is None else stop_words
     n = scalars(docs, n=F.count(F.lit(1)))["n"]
-    words = docs.select(
+    words = use_all_cores(docs.select(key, text)).select(
         key, F.explode(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), F.lit(1)))
         .alias("term")
     ).filter(~F.col("term").isin(stops))

@@ -73,14 +73,22 @@ def _match_share(left: pd.DataFrame, right: pd.DataFrame, n: int) -> np.ndarray:
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column indexes of the k best finite scores per row, ties to the smaller id."""
-    order = np.argsort(ids, kind="stable")
-    ranked = np.round(scores[:, order], SCORE_DIGITS)
-    take = np.argsort(-ranked, axis=1, kind="stable")[:, :k]
-    rows = np.repeat(np.arange(scores.shape[0]), take.shape[1])
-    cols = order[take.ravel()]
-    ok = np.isfinite(scores[rows, cols])
-    return rows[ok], cols[ok]
+    """Row and column indexes of the k best finite scores per row, ties to the smaller id.
+
+    Everything at or above the row's k-th score is kept before the tie is broken, so ties at the cut are decided by id.
+    """
+    rounded = np.round(scores, SCORE_DIGITS)
+    if k < rounded.shape[1]:
+        cut = np.partition(rounded, rounded.shape[1] - k, axis=1)[:, rounded.shape[1] - k]
+        rows, cols = np.nonzero((rounded >= cut[:, None]) & np.isfinite(scores))
+    else:
+        rows, cols = np.nonzero(np.isfinite(scores))
+    place = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+    order = np.lexsort((place[cols], -rounded[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    starts = np.searchsorted(rows, rows, side="left")
+    keep = np.arange(len(rows)) - starts < k
+    return rows[keep], cols[keep]
 
 
 def _both_sides(table: VectorTable, blocks: Column) -> DataFrame:

@@ -214,41 +214,68 @@ def modes(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
     return agg.select(*keys, F.col("b.v").alias(column))
 
 
+def spread_rows(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash rows over the session's shuffle partitions ahead of a join that multiplies them.
+
+    A fixed count keeps adaptive execution from merging the small input into a few tasks that then expand it.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
+def use_all_cores(df: DataFrame) -> DataFrame:
+    """Redistribute a scan that has fewer splits than cores; larger inputs are already split and stay in place."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join to a side with one row per key. Small sides are broadcast by size; otherwise adaptive execution splits
+    the partitions of hot left keys, which is enough because the right side has nothing to repeat."""
+    return left.join(right, list(keys), how)
+
+
 def co_occurrence(
-    rows: DataFrame, group: str, member: str, value_cols: Sequence[str], sums: dict[str, Column], cell: int = 2048
+    rows: DataFrame, group: str, member: str, value_cols: Sequence[str], sums: dict[str, Column], cell: int = 512
 ) -> DataFrame:
     """Sum expressions over all unordered member pairs that share a group.
 
     ``rows`` is unique on (group, member). Groups larger than ``cell`` members are cut into chunks and the self-join
-    runs on chunk pairs, so no join key holds more than about ``cell`` rows a side. In ``sums`` the two sides are
-    columns ``l_<name>`` and ``r_<name>``; the result is keyed by ``i < j``, with l belonging to i and r to j.
+    runs on chunk pairs, so no join key holds more than about ``cell`` rows a side; the chunk columns are left out
+    when the largest group fits one cell. In ``sums`` the two sides are columns ``l_<name>`` and ``r_<name>``; the
+    result is keyed by ``i < j``, with l belonging to i and r to j.
     """
-    big = (
-        rows.groupBy(group)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > cell)
-        .select(group, F.ceil(F.col("_n") / cell).cast("int").alias("_chunks"))
-    )
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    vals = list(value_cols)
+    if largest <= cell:
+        left = rows.select(
+            F.col(group).alias("_g"), F.col(member).alias("i"), *[F.col(c).alias(f"l_{c}") for c in vals])
+        right = rows.select(
+            F.col(group).alias("_g"), F.col(member).alias("j"), *[F.col(c).alias(f"r_{c}") for c in vals])
+        pairs = spread_rows(left, "_g").join(spread_rows(right, "_g"), "_g").filter(F.col("i") < F.col("j"))
+        return pairs.groupBy("i", "j").agg(*[c.alias(n) for n, c in sums.items()])
+    big = sizes.filter(F.col("_n") > cell).select(group, F.ceil(F.col("_n") / cell).cast("int").alias("_chunks"))
     cut = rows.join(big, group, "left").select(
-        group, member, *value_cols,
-        F.coalesce("_chunks", F.lit(1)).alias("_chunks"),
+        group, member, *vals, F.coalesce("_chunks", F.lit(1)).alias("_chunks"),
     ).withColumn("_chunk", F.pmod(F.xxhash64(member), F.col("_chunks")).cast("int"))
     left = cut.select(
         F.col(group).alias("_g"), F.col("_chunk").alias("_a"),
         F.explode(F.sequence(F.col("_chunk"), F.col("_chunks") - 1)).alias("_b"),
-        F.col(member).alias("x"), *[F.col(c).alias(f"x_{c}") for c in value_cols],
+        F.col(member).alias("x"), *[F.col(c).alias(f"x_{c}") for c in vals],
     )
     right = cut.select(
         F.col(group).alias("_g"), F.explode(F.sequence(F.lit(0), F.col("_chunk"))).alias("_a"),
         F.col("_chunk").alias("_b"),
-        F.col(member).alias("y"), *[F.col(c).alias(f"y_{c}") for c in value_cols],
+        F.col(member).alias("y"), *[F.col(c).alias(f"y_{c}") for c in vals],
     )
-    pairs = left.join(right, ["_g", "_a", "_b"]).filter((F.col("_a") < F.col("_b")) | (F.col("x") < F.col("y")))
+    keys = ["_g", "_a", "_b"]
+    pairs = spread_rows(left, *keys).join(spread_rows(right, *keys), keys).filter(
+        (F.col("_a") < F.col("_b")) | (F.col("x") < F.col("y")))
     swap = F.col("x") > F.col("y")
     pairs = pairs.select(
         F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"),
-        *[F.when(swap, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")).alias(f"l_{c}") for c in value_cols],
-        *[F.when(swap, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")).alias(f"r_{c}") for c in value_cols],
+        *[F.when(swap, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")).alias(f"l_{c}") for c in vals],
+        *[F.when(swap, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")).alias(f"r_{c}") for c in vals],
     )
     return pairs.groupBy("i", "j").agg(*[c.alias(n) for n, c in sums.items()])
 

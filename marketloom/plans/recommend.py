@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.operators.grid import VectorTable, pair_grid, user_grid
-from marketloom.operators.scale import co_occurrence, mirrored, salted_join, scalars, top_k, top_scored
+from marketloom.operators.scale import (
+    co_occurrence, lookup_join, mirrored, salted_join, scalars, spread_rows, top_k, top_scored,
+)
 from marketloom.plans.similarity import item_cosine, user_cosine, with_unit
 from marketloom.session import materialise
 
@@ -36,7 +38,7 @@ def unseen_scores(parts: DataFrame, ratings: DataFrame, min_weight: float) -> Da
 def spread(ratings: DataFrame, directed: DataFrame, num: Column, den: Column) -> DataFrame:
     """Partial sums per (user, candidate item): every rating meets the neighbours of its item."""
     source = directed.withColumnRenamed("i", "item_id")
-    met = salted_join(ratings, source, ["item_id"])
+    met = salted_join(spread_rows(ratings, "user_id", "item_id"), source, ["item_id"])
     return met.groupBy("user_id", "j").agg(F.sum(num).alias("num"), F.sum(den).alias("den")).withColumnRenamed(
         "j", "item_id")
 
@@ -160,7 +162,7 @@ def blended_cf(
 def attach_items(recs: DataFrame, items: DataFrame, columns: list[str]) -> DataFrame:
     """Item details next to each recommendation; an unknown item keeps id and score with placeholder values (JN3)."""
     known = items.select(F.col("id").alias("item_id"), *columns, F.lit(True).alias("_known"))
-    joined = salted_join(recs, known, ["item_id"], how="left")
+    joined = lookup_join(recs, known, ["item_id"])
     fill = {"name": F.col("item_id").cast("string"), "symbol": F.lit("")}
     return joined.select(
         *recs.columns,
@@ -208,7 +210,7 @@ def hybrid(
             + F.when(best["trend"] > 0, F.col("trend_score") / best["trend"]).otherwise(0.0) * trend_weight
         ).alias("bonus"),
     )
-    scored = salted_join(blended, bonus, ["item_id"], how="left").select(
+    scored = lookup_join(blended, bonus, ["item_id"]).select(
         "user_id", "item_id", (F.col("s") + F.coalesce("bonus", F.lit(0.0))).alias("score"))
     ranked = top_scored(scored, ["user_id"], "score", "item_id", n)
     idle = users.select("user_id").distinct().join(blended.select("user_id").distinct(), "user_id", "left_anti")
