@@ -223,7 +223,7 @@ def spread_rows(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def use_all_cores(df: DataFrame) -> DataFrame:
-    """Redistribute a scan that has fewer splits than cores; larger inputs are already split and stay in place."""
+    """Redistribute a plain file scan with fewer splits than cores; larger scans are already split and stay in place."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -235,16 +235,18 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
 
 def co_occurrence(
-    rows: DataFrame, group: str, member: str, value_cols: Sequence[str], sums: dict[str, Column], cell: int = 512
+    rows: DataFrame, group: str, member: str, value_cols: Sequence[str], sums: dict[str, Column], cell: int = 512,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Sum expressions over all unordered member pairs that share a group.
 
     ``rows`` is unique on (group, member). Groups larger than ``cell`` members are cut into chunks and the self-join
     runs on chunk pairs, so no join key holds more than about ``cell`` rows a side; the chunk columns are left out
     when the largest group fits one cell. In ``sums`` the two sides are columns ``l_<name>`` and ``r_<name>``; the
-    result is keyed by ``i < j``, with l belonging to i and r to j.
+    result is keyed by ``i < j``, with l belonging to i and r to j. ``sized_by`` may name a cheaper frame with the same
+    groups for measuring their sizes.
     """
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = (rows if sized_by is None else sized_by).groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     largest = sizes.agg(F.max("_n")).first()[0] or 0
     vals = list(value_cols)
     if largest <= cell:

@@ -13,7 +13,7 @@ def _num(c: str) -> Column:
 
 
 def _clip(c: Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(lo)), F.lit(hi)))
 
 
 def popularity_score() -> Column:

@@ -83,6 +83,7 @@ def user_cf_scores(ratings: DataFrame, threshold: float = THRESHOLD, only: DataF
             "hi": F.sum("l_u"),
             "hj": F.sum("r_u"),
         },
+        sized_by=ratings,
     )
     directed = mirrored(kernel, {"hi": "hj", "hj": "hi"}).select("i", "j", "g", "hi")
     parts = spread(

@@ -32,7 +32,7 @@ def with_unit(ratings: DataFrame, key: str, name: str) -> DataFrame:
 def cosine_pairs(ratings: DataFrame, member: str, group: str) -> DataFrame:
     """Cosine of all member vectors with a common group, ``(i, j, sim)`` with i < j; other pairs are zero."""
     unit = with_unit(ratings, member, "u")
-    return co_occurrence(unit, group, member, ["u"], {"sim": F.sum(F.col("l_u") * F.col("r_u"))})
+    return co_occurrence(unit, group, member, ["u"], {"sim": F.sum(F.col("l_u") * F.col("r_u"))}, sized_by=ratings)
 
 
 def item_cosine(ratings: DataFrame) -> DataFrame:
@@ -154,3 +154,21 @@ def blended_neighbours(cf: DataFrame, table: VectorTable, cf_weight: float, k: i
         ids.withColumnRenamed("id", "j"), "j", "left_semi")
     extra = shared.select("i", "j", (F.col("sim") * cf_weight).alias("value"))
     return pair_grid(table, k=k, extra=extra, scale=1 - cf_weight)
+
+
+def common_index_join(a: DataFrame, b: DataFrame, weight: float) -> DataFrame:
+    """``weight * a + (1 - weight) * b`` of two sparse pair tables on the ids known to both; a missing pair is 0 (JN6)."""
+
+    def ids(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("i", "j")).alias("id")).distinct()
+
+    shared = ids(a).intersect(ids(b))
+
+    def inside(pairs: DataFrame, name: str) -> DataFrame:
+        kept = pairs.join(shared.withColumnRenamed("id", "i"), "i", "left_semi").join(
+            shared.withColumnRenamed("id", "j"), "j", "left_semi")
+        return kept.select("i", "j", F.col("sim").alias(name))
+
+    both = inside(a, "a").join(inside(b, "b"), ["i", "j"], "full_outer")
+    zero = F.lit(0.0)
+    return both.select("i", "j", (F.coalesce("a", zero) * weight + F.coalesce("b", zero) * (1 - weight)).alias("sim"))

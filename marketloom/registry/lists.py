@@ -67,6 +67,20 @@ def combined_cf(spark, sf):
     return show(rc.blended_cf(ratings, sm.item_cosine(ratings), flag_table(spark, sf), 0.5, 10))
 
 
+@query("common_index_join", V("ratings ratings_large", f"""{COS_ITEM}, c1 AS (SELECT i, j, sim FROM cos WHERE i < j),
+  c2 AS (SELECT a.item_id AS i, b.item_id AS j, sum(a.rating * b.rating) / (max(na.n) * max(nb.n)) AS sim FROM ratings_large a
+    JOIN ratings_large b ON a.user_id = b.user_id AND a.item_id < b.item_id
+    JOIN (SELECT item_id, sqrt(sum(rating*rating)) AS n FROM ratings_large GROUP BY 1) na ON na.item_id = a.item_id
+    JOIN (SELECT item_id, sqrt(sum(rating*rating)) AS n FROM ratings_large GROUP BY 1) nb ON nb.item_id = b.item_id GROUP BY 1, 2),
+  ids AS (SELECT item_id FROM ratings INTERSECT SELECT item_id FROM ratings_large)
+  SELECT coalesce(c1.i, c2.i) AS i, coalesce(c1.j, c2.j) AS j, round(0.6::DOUBLE * coalesce(c1.sim, 0) + 0.4::DOUBLE * coalesce(c2.sim, 0), 6) AS sim
+  FROM c1 FULL OUTER JOIN c2 ON c1.i = c2.i AND c1.j = c2.j
+  WHERE coalesce(c1.i, c2.i) IN (SELECT item_id FROM ids) AND coalesce(c1.j, c2.j) IN (SELECT item_id FROM ids)"""))
+def common_index_join(spark, sf):
+    a, b = sm.item_cosine(fx.ratings(spark, sf)), sm.item_cosine(fx.ratings_large(spark, sf))
+    return show_pairs(sm.common_index_join(a, b, 0.6), rank=False)
+
+
 # --- filters on the hybrid list, cold start, jobs -----------------------------------------------------------------
 
 

@@ -16,6 +16,8 @@ from marketloom.operators import encoding as en
 from marketloom.operators import filters as fl
 from marketloom.operators import joins as jn
 from marketloom.operators import scores as sc
+from marketloom.operators.scale import top_k, use_all_cores
+from marketloom.operators.scale import value_counts as scale_counts
 from marketloom.plans.recommend import attach_items, top_catalog
 from marketloom.registry.base import query, r6
 from marketloom.registry.recs import SCORED
@@ -236,6 +238,19 @@ def union_dedupe(spark, sf):
         "id", [F.col("name")])
 
 
+@query("top_k_per_group", V("items", SCORED + """ SELECT primary_category, id, round(popularity_score, 6) AS popularity_score,
+    row_number() OVER (PARTITION BY primary_category ORDER BY round(popularity_score, 8) DESC, id) AS rank FROM scored QUALIFY rank <= 5"""))
+def top_k_per_group(spark, sf):
+    items = sc.basic_scores(fx.items(spark, sf))
+    best = top_k(items, ["primary_category"], [F.round("popularity_score", 8).desc(), F.col("id")], 5)
+    return as_long(best.select("primary_category", "id", r6("popularity_score"), "rank"), "rank")
+
+
+@query("value_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def value_counts(spark, sf):
+    return scale_counts(fx.table(spark, sf, "events"), "event_type")
+
+
 @query("except_seen", """WITH c AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS item_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
   s AS (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id FROM events WHERE event_type <> 'error')
   SELECT user_id, item_id FROM c EXCEPT SELECT user_id, item_id FROM s""")
@@ -715,13 +730,15 @@ def tfidf_sql() -> str:
 
 @query("tf_idf", tfidf_sql())
 def tf_idf(spark, sf):
-    out = en.tf_idf(fx.table(spark, sf, "documents"), "doc_id", "text", stop_words=[""])
+    docs = use_all_cores(fx.table(spark, sf, "documents").select("doc_id", "text"))
+    out = en.tf_idf(docs, "doc_id", "text", stop_words=[""])
     return out.withColumn("weight", r6("weight"))
 
 
 @query("text_features")
 def text_features(spark, sf):
-    return en.text_features(fx.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text").drop("text")
+    docs = use_all_cores(fx.table(spark, sf, "documents").select("doc_id", "text"))
+    return en.text_features(docs, "doc_id", "text").drop("text")
 
 
 # --- scores -------------------------------------------------------------------------------------------------------
@@ -771,7 +788,5 @@ def stored_scores(spark, sf):
 def trending_boost(spark, sf):
     items = sc.basic_scores(fx.items(spark, sf))
     first = items.orderBy(F.round("total_volume", 4).desc(), "id").limit(15).select("id", F.round("total_volume", 4).alias("v"))
-    from marketloom.operators.scale import top_k
-
     ranked = top_k(first.withColumn("_all", F.lit(0)), ["_all"], [F.col("v").desc(), F.col("id")], 15, "place")
     return sc.trending_boost(items, ranked.select("id", (F.col("place") - 1).alias("place"))).select("id", r6("trend_score"))
