@@ -289,7 +289,7 @@ def brand_portfolios(spark: SparkSession, sf: str) -> DataFrame:
 
 def stored_signals(spark: SparkSession, sf: str) -> DataFrame:
     """Two generations of stored technical actions per (user, brand), derived from ids; some users have none."""
-    held = brand_portfolios(spark, sf).filter(F.pmod("user_id", F.lit(5)) != 0)
+    held = brand_portfolios(spark, sf).filter("amount > 10")
     age = held.withColumn("age", F.explode(F.array(F.lit(1), F.lit(2))))
     pick = F.pmod(F.col("user_id") + F.col("age"), F.lit(3))
     return age.select(
@@ -307,6 +307,6 @@ SQL["brand_portfolios"] = """brand_portfolios AS (
 SQL["stored_signals"] = """stored_signals AS (
   SELECT user_id, project_id, CASE (user_id + age) % 3 WHEN 0 THEN 'hold' WHEN 1 THEN 'buy' ELSE 'sell' END AS action_type,
          TIMESTAMP '2024-06-10' - to_days(age) AS created_at
-  FROM brand_portfolios, (SELECT unnest([1, 2]) AS age) WHERE user_id % 5 <> 0)"""
+  FROM brand_portfolios, (SELECT unnest([1, 2]) AS age) WHERE amount > 10)"""
 NEEDS["brand_portfolios"] = ["portfolios"]
 NEEDS["stored_signals"] = ["brand_portfolios"]

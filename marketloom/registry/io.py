@@ -63,9 +63,13 @@ def latest_snapshot(spark, sf):
     return fi.latest_snapshot(spark, path)
 
 
-@query("list_files")
+@query("list_files", "SELECT DISTINCT date_trunc('day', ts)::TIMESTAMP AS name_ts, true AS has_rows FROM events")
 def list_files(spark, sf):
-    return fi.list_files(spark, sf, suffix=".parquet", min_size=1).select("name", "length", "name_ts")
+    path = staging_path(spark, "daily")
+    events = fx.table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    events.repartition("day").write.partitionBy("day").parquet(path)
+    files = fi.list_files(spark, path, prefix="part-", suffix=".parquet", recursive=True, min_size=1)
+    return files.groupBy(fi.file_timestamp(F.col("path")).alias("name_ts")).agg((F.sum("length") > 0).alias("has_rows"))
 
 
 @query("load_item_details", """SELECT 'p' || p_partkey AS id, CAST(p_size AS BIGINT) AS github_stars, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey END AS reddit_subscribers,
@@ -108,13 +112,13 @@ def sim_store(spark, sf):
     path = staging_path(spark, "sim")
     large = sm.item_cosine(fx.ratings_large(spark, sf))
     st.save_similarity(sm.item_cosine(fx.ratings(spark, sf)), "events", path)
-    st.save_similarity(large.limit(10), "orders", path)
+    st.save_similarity(large.filter("sim > 0.5"), "orders", path)
     st.save_similarity(large, "orders", path)
     return st.load_similarity(spark, path, "orders").select("i", "j", r6("sim"))
 
 
-@query("upsert_items", """WITH old AS (SELECT p_partkey AS id, p_name AS name, p_size * 1000.0::DOUBLE AS market_cap FROM part WHERE p_partkey % 2 = 0),
-  new AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE upper(p_name) END AS name, p_size * 2000.0::DOUBLE AS market_cap FROM part WHERE p_partkey % 3 = 0)
+@query("upsert_items", """WITH old AS (SELECT p_partkey AS id, p_name AS name, p_size * 1000.0::DOUBLE AS market_cap FROM part WHERE p_size > 20),
+  new AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE upper(p_name) END AS name, p_size * 2000.0::DOUBLE AS market_cap FROM part WHERE p_size < 35)
   SELECT coalesce(old.id, new.id) AS id, coalesce(new.name, old.name) AS name, round(100 * 0.4::DOUBLE * ln(1 + coalesce(new.market_cap, old.market_cap)) / 30, 6) AS popularity_score
   FROM old FULL OUTER JOIN new ON old.id = new.id""")
 def upsert_items(spark, sf):
@@ -123,19 +127,19 @@ def upsert_items(spark, sf):
         k.alias("id"), F.col("p_name").alias("name"), "p_size", F.lit(0.0).alias("total_volume"),
         F.lit(0).alias("reddit_subscribers"), F.lit(0).alias("twitter_followers"),
         F.array().cast("array<string>").alias("categories"), F.create_map().cast("map<string,string>").alias("platforms"))
-    old = base.filter("id % 2 = 0").withColumn("market_cap", F.col("p_size") * 1000.0)
-    new = base.filter("id % 3 = 0").withColumns(
+    old = base.filter("p_size > 20").withColumn("market_cap", F.col("p_size") * 1000.0)
+    new = base.filter("p_size < 35").withColumns(
         {"market_cap": F.col("p_size") * 2000.0, "name": F.when(F.col("id") % 6 != 0, F.upper("name"))})
     return st.upsert_items(old, new).select("id", "name", r6("popularity_score"))
 
 
-@query("upsert_prices", V("prices", """new AS (SELECT project_id, "timestamp", price * 2 AS price FROM prices WHERE project_id <> 'view' AND hour("timestamp") % 2 = 0)
+@query("upsert_prices", V("prices", """new AS (SELECT project_id, "timestamp", price * 2 AS price FROM prices WHERE project_id <> 'view' AND volume > 50)
   SELECT project_id, "timestamp", round(price + 1e-9, 6) AS price FROM prices WHERE "timestamp" < TIMESTAMP '2024-01-24' OR project_id = 'view' UNION ALL
   SELECT project_id, "timestamp", round(price + 1e-9, 6) FROM new WHERE "timestamp" >= TIMESTAMP '2024-01-24'"""))
 def upsert_prices(spark, sf):
     prices = fx.prices(spark, sf)
     point = lambda c: F.sort_array(F.collect_list(F.array(F.unix_millis(F.col("timestamp").cast("timestamp")).cast("double"), c)))
-    some = prices.filter((F.col("project_id") != "view") & (F.hour("timestamp") % 2 == 0))
+    some = prices.filter((F.col("project_id") != "view") & (F.col("volume") > 50))
     charts = some.groupBy("project_id", F.to_date("timestamp").alias("day")).agg(  # one document per series and day
         point(F.col("price") * 2).alias("prices"), point(F.col("volume")).alias("total_volumes"),
         point(F.col("market_cap")).alias("market_caps"))
@@ -143,14 +147,14 @@ def upsert_prices(spark, sf):
     return merged.select("project_id", "timestamp", r6(F.col("price") + 1e-9, "price"))
 
 
-@query("combine_pages", """WITH d AS (SELECT p_partkey AS id, p_brand AS brand FROM part WHERE p_partkey % 5 <> 0)
-  SELECT p.p_partkey AS id, CASE WHEN p.p_partkey % 2 = 0 THEN p.p_name ELSE p.p_type END AS label, CASE WHEN p.p_partkey % 2 = 0 THEN NULL ELSE p.p_size END AS size, d.brand
+@query("combine_pages", """WITH d AS (SELECT p_partkey AS id, p_brand AS brand FROM part WHERE p_retailprice > 950)
+  SELECT p.p_partkey AS id, CASE WHEN p.p_size > 25 THEN p.p_name ELSE p.p_type END AS label, CASE WHEN p.p_size > 25 THEN NULL ELSE p.p_size END AS size, d.brand
   FROM part p LEFT JOIN d ON d.id = p.p_partkey""")
 def combine_pages(spark, sf):
     k, part = F.col("p_partkey"), fx.table(spark, sf, "part")
-    first = part.filter(k % 2 == 0).select(k.alias("id"), F.col("p_name").alias("label"))
+    first = part.filter("p_size > 25").select(k.alias("id"), F.col("p_name").alias("label"))
     second = part.select(k.alias("id"), F.col("p_type").alias("label"), F.col("p_size").alias("size"))
-    details = part.filter(k % 5 != 0).select(k.alias("id"), F.col("p_brand").alias("brand"))
+    details = part.filter("p_retailprice > 950").select(k.alias("id"), F.col("p_brand").alias("brand"))
     return st.combine_pages([first, second], details)
 
 
@@ -195,7 +199,7 @@ def run(spark, df):
 @query("stream_ratings", V("ratings", "SELECT user_id, item_id, rating FROM ratings"))
 def stream_ratings(spark, sf):
     raw = fx.raw_interactions(spark, sf)
-    twice = raw.unionByName(raw.filter("event_id % 3 = 0"))
+    twice = raw.unionByName(raw.filter("interaction_type = 'view'"))
     path = slices(spark, twice.withColumn("_t", F.unix_millis(F.col("ts").cast("timestamp"))))
     stream = sj.file_stream(spark, path, raw.schema, 1)
     return sj.merged_ratings(run(spark, sj.valid_interactions(stream)))

@@ -126,7 +126,8 @@ def cold_start(spark, sf):
     items = materialise(basic_scores(fx.items(spark, sf)))
     ratings = materialise(fx.ratings(spark, sf))
     cold = materialise(rc.cold_users(fx.users(spark, sf), fx.interactions(spark, sf)))
-    some = interests(spark, sf).filter(F.col("user_id") % 2 == 0)
+    low_risk = fx.users(spark, sf).filter("risk_tolerance = 'low'")
+    some = interests(spark, sf).join(low_risk.select("user_id"), "user_id", "left_semi")
     return show(rc.cold_start(cold, ratings, items, sm.feature_vectors(items), sm.CF_WEIGHT, 10, some))
 
 
@@ -179,17 +180,18 @@ def fresh_recs(spark, sf):
         "user_id", "item_id", r6("score"), F.col("rank").cast("long").alias("rank"), "created_at", "name", "chain")
 
 
-@query("replace_recs", V("ratings", f"""{COS_ITEM}, {cf_sql('iscores', 'cos')}, {ranked('top', 'iscores', 10)},
-  new AS (SELECT user_id, item_id, rank, CASE WHEN user_id % 3 = 0 THEN 'old' ELSE 'new' END AS t FROM top)
-  SELECT user_id, item_id, 6 - rank AS rank, 'item_based' AS recommendation_type FROM top WHERE user_id % 3 = 0 AND rank <= 5 UNION ALL
-  SELECT user_id, item_id, rank, 'item_based' FROM top WHERE user_id % 3 <> 0 UNION ALL
+@query("replace_recs", V("ratings users", f"""{COS_ITEM}, {cf_sql('iscores', 'cos')}, {ranked('top', 'iscores', 10)},
+  low AS (SELECT user_id FROM users WHERE risk_tolerance = 'low')
+  SELECT user_id, item_id, 6 - rank AS rank, 'item_based' AS recommendation_type FROM top WHERE user_id IN (SELECT user_id FROM low) AND rank <= 5 UNION ALL
+  SELECT user_id, item_id, rank, 'item_based' FROM top WHERE user_id NOT IN (SELECT user_id FROM low) UNION ALL
   SELECT user_id, item_id, rank, 'user_based' FROM top"""))
 def replace_recs(spark, sf):
     top = materialise(rc.item_cf(fx.ratings(spark, sf)).select("user_id", "item_id", F.col("rank").cast("long").alias("rank")))
     item_lists = top.withColumn("recommendation_type", F.lit("item_based"))
     stored = item_lists.unionByName(top.withColumn("recommendation_type", F.lit("user_based")))
-    new = item_lists.filter((F.col("user_id") % 3 == 0) & (F.col("rank") <= 5)).withColumn("rank", 6 - F.col("rank"))
-    return rc.replace_recs(stored, new)
+    low_risk = fx.users(spark, sf).filter("risk_tolerance = 'low'").select("user_id")
+    new = item_lists.join(low_risk, "user_id", "left_semi").filter("rank <= 5").withColumn("rank", 6 - F.col("rank"))
+    return rc.replace_recs(stored, new.select(*stored.columns))
 
 
 @query("rec_overlap", V("ratings items", f"""{COS_ITEM}, {COS_USER}, {NUMERIC}, {ENHANCED}, {cf_sql('iscores', 'cos')}, {USER_SCORES}, {cf_sql('fscores', 'esim')},

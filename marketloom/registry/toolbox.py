@@ -137,24 +137,24 @@ def narrow_types(spark, sf):
 
 
 @query("merge_dataframes", """WITH a AS (SELECT CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_partkey::DOUBLE END AS id, p_name AS label
-    FROM part WHERE p_partkey % 3 <> 0),
-  b AS (SELECT CASE WHEN s_suppkey = 5 THEN NULL ELSE s_suppkey::DOUBLE END AS id, s_name AS label FROM supplier)
+    FROM part),
+  b AS (SELECT CASE WHEN s_suppkey = 5 THEN NULL ELSE (s_suppkey * 30)::DOUBLE END AS id, s_name AS label FROM supplier)
   SELECT coalesce(a.id, b.id) AS id, a.label AS label_x, b.label AS label_y,
     CASE WHEN a.label IS NOT NULL AND b.label IS NOT NULL THEN 'both' WHEN a.label IS NOT NULL THEN 'left_only'
          ELSE 'right_only' END AS _merge
   FROM a FULL OUTER JOIN b ON a.id IS NOT DISTINCT FROM b.id""")
 def merge_dataframes(spark, sf):
-    part = fx.table(spark, sf, "part").filter(F.col("p_partkey") % 3 != 0).select(
+    part = fx.table(spark, sf, "part").select(
         F.when(F.col("p_partkey") % 11 != 0, F.col("p_partkey")).alias("id"), F.col("p_name").alias("label"))
     supplier = fx.table(spark, sf, "supplier").select(
-        F.when(F.col("s_suppkey") != 5, F.col("s_suppkey").cast("double")).alias("id"), F.col("s_name").alias("label"))
+        F.when(F.col("s_suppkey") != 5, (F.col("s_suppkey") * 30).cast("double")).alias("id"), F.col("s_name").alias("label"))
     return jn.merge_dataframes(part, supplier, ["id"], "outer", validate="m:1", indicator=True)
 
 
 @query("enrich_items", """WITH cat AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_size END AS stars,
     'base ' || p_name AS description, p_brand AS chain FROM part),
   det AS (SELECT p_partkey AS id, p_size + 100 AS stars, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'detail' END AS description
-    FROM part WHERE p_partkey % 2 = 0)
+    FROM part WHERE p_size > 25)
   SELECT c.id, coalesce(d.stars, c.stars) AS stars,
     CASE WHEN length(d.description) > 0 THEN d.description ELSE c.description END AS description,
     CASE WHEN d.id IS NULL OR c.id % 6 = 0 THEN c.chain ELSE 'solana' END AS chain FROM cat c LEFT JOIN det d ON c.id = d.id""")
@@ -164,7 +164,7 @@ def enrich_items(spark, sf):
         k.alias("id"), F.when(k % 4 != 0, F.col("p_size")).alias("stars"),
         F.concat(F.lit("base "), "p_name").alias("description"), F.col("p_brand").alias("chain"),
         F.create_map().cast("map<string,string>").alias("platforms"))
-    details = part.filter(k % 2 == 0).select(
+    details = part.filter("p_size > 25").select(
         k.alias("id"), (F.col("p_size") + 100).alias("stars"),
         F.when(k % 5 == 0, "").otherwise("detail").alias("description"),
         F.when(k % 6 == 0, F.create_map().cast("map<string,string>")).otherwise(
@@ -224,16 +224,16 @@ def top_by_market_cap(spark, sf):
 
 
 @query("union_dedupe", """WITH u AS (
-    SELECT p_partkey AS id, p_name AS name, 0 AS source_rank FROM part WHERE p_partkey % 2 = 0 UNION ALL
-    SELECT p_partkey, upper(p_name), 1 FROM part WHERE p_partkey % 3 = 0 UNION ALL
+    SELECT p_partkey AS id, p_name AS name, 0 AS source_rank FROM part WHERE p_size > 25 UNION ALL
+    SELECT p_partkey, upper(p_name), 1 FROM part WHERE p_type = 'SMALL' UNION ALL
     SELECT p_partkey, p_type, 2 FROM part)
   SELECT id, name, source_rank FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY source_rank) = 1""")
 def union_dedupe(spark, sf):
     part = fx.table(spark, sf, "part")
     k = F.col("p_partkey")
     return jn.union_dedupe(
-        [part.filter(k % 2 == 0).select(k.alias("id"), F.col("p_name").alias("name")),
-         part.filter(k % 3 == 0).select(k.alias("id"), F.upper("p_name").alias("name")),
+        [part.filter("p_size > 25").select(k.alias("id"), F.col("p_name").alias("name")),
+         part.filter("p_type = 'SMALL'").select(k.alias("id"), F.upper("p_name").alias("name")),
          part.select(k.alias("id"), F.col("p_type").alias("name"))],
         "id", [F.col("name")])
 
