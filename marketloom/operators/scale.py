@@ -16,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketloom.session import materialise
 
@@ -95,15 +96,30 @@ def with_position(
     ``bucket`` must be monotone in ``order`` (a truncated timestamp, a hash range). Rows are numbered inside
     (key, bucket); bucket totals give the offset. Only the totals are sorted per key.
     """
-    keys = list(keys)
-    binned = df.withColumn("_bucket", bucket)
-    totals = binned.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inner = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    binned, safe = null_free(df.withColumn("_bucket", bucket), [*keys, "_bucket"])
+    owner, place = safe[:-2], safe[-2:]
+    totals = binned.groupBy(*safe).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*owner).orderBy(place[1].desc(), place[0]).rowsBetween(
+        Window.unboundedPreceding, -1)
+    starts = totals.select(*safe, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inner = Window.partitionBy(*safe).orderBy(*order)
     numbered = binned.withColumn("_rn", F.row_number().over(inner))
-    joined = null_safe_join(numbered, starts, [*keys, "_bucket"])
-    return joined.withColumn(name, F.col("_start") + F.col("_rn") - 1).drop("_bucket", "_rn", "_start")
+    names = [f"_k{n}" for n in range(len(safe))]
+    joined = numbered.join(starts, names)
+    return joined.withColumn(name, F.col("_start") + F.col("_rn") - 1).drop("_bucket", "_rn", "_start", *names)
+
+
+def null_free(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """Two helper columns per key, a value without nulls and a null mark, so that grouping, windows and plain joins on
+    them share one partitioning and treat null as a key of its own."""
+    added: dict[str, Column] = {}
+    for n, k in enumerate(keys):
+        t = df.schema[k].dataType
+        zero = F.lit("") if isinstance(t, T.StringType) else F.lit(0).cast("timestamp") if isinstance(
+            t, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.lit(0)
+        added[f"_k{2 * n}"] = F.coalesce(F.col(k), zero.cast(t))
+        added[f"_k{2 * n + 1}"] = F.col(k).isNull()
+    return df.withColumns(added), [F.col(c) for c in added]
 
 
 def with_halo(df: DataFrame, size: int, before: int = 0, after: int = 0, pos: str = "pos") -> DataFrame:

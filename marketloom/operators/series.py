@@ -144,7 +144,6 @@ def market_metrics(
     f = Frames(keys)
     p = F.col(price)
     reach = max(max(periods) + 1, ewm_reach(26) + ewm_reach(9))
-    n_rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     blocks = with_halo(positioned(df, keys, ts), BLOCK, before=reach)
     a = blocks.withColumns(
         {
@@ -152,7 +151,10 @@ def market_metrics(
             "_e12": f.ewm(p, 12), "_e26": f.ewm(p, 26),
         }
     ).withColumn(f"{prefix}macd", F.col("_e12") - F.col("_e26"))
+    # a block holds more than 26 rows, so only the first block of a series can be too short
+    longest = F.max("pos").over(Window.partitionBy(*keys, "_block"))
     cols: dict[str, Column] = {
+        "_enough": longest >= 25,
         f"{prefix}volume_to_mcap": _ratio(F.col(volume), F.col(market_cap)),
         f"{prefix}macd_signal": f.ewm(F.col(f"{prefix}macd"), 9),
     }
@@ -170,16 +172,15 @@ def market_metrics(
         bands[f"{prefix}bb_upper_{d}d"] = ma + 2 * sd
         bands[f"{prefix}bb_lower_{d}d"] = ma - 2 * sd
         bands[f"{prefix}bb_pct_{d}d"] = _ratio(p - (ma - 2 * sd), 4 * sd)
-    joined = null_safe_join(b.withColumns(bands), n_rows, list(keys))
-    enough = F.col("_rows") >= 26
-    out = joined.withColumns(
+    enough = F.col("_enough")
+    out = b.withColumns(bands).withColumns(
         {
             f"{prefix}macd": F.when(enough, F.col(f"{prefix}macd")),
             f"{prefix}macd_signal": F.when(enough, F.col(f"{prefix}macd_signal")),
             f"{prefix}macd_hist": F.when(enough, F.col(f"{prefix}macd") - F.col(f"{prefix}macd_signal")),
         }
     )
-    return out.drop("_rows", "_delta", "_e12", "_e26", "pos", *[f"_sd_{d}" for d in periods])
+    return out.drop("_enough", "_delta", "_e12", "_e26", "pos", *[f"_sd_{d}" for d in periods])
 
 
 # Event names; later entries win over earlier ones.

@@ -36,11 +36,13 @@ def unseen_scores(parts: DataFrame, ratings: DataFrame, min_weight: float) -> Da
 
 
 def spread(ratings: DataFrame, directed: DataFrame, num: Column, den: Column) -> DataFrame:
-    """Partial sums per (user, candidate item): every rating meets the neighbours of its item."""
+    """Contributions to (user, candidate item): every rating meets the neighbours of its item.
+
+    The rows are not grouped here; the caller's aggregation adds them up map-side, together with the seen marks.
+    """
     source = directed.withColumnRenamed("i", "item_id")
     met = salted_join(spread_rows(ratings, "user_id", "item_id"), source, ["item_id"])
-    return met.groupBy("user_id", "j").agg(F.sum(num).alias("num"), F.sum(den).alias("den")).withColumnRenamed(
-        "j", "item_id")
+    return met.select("user_id", F.col("j").alias("item_id"), num.alias("num"), den.alias("den"))
 
 
 def of_users(rows: DataFrame, only: DataFrame | None) -> DataFrame:
