@@ -100,18 +100,18 @@ def popularity(spark, sf):
   FROM top LEFT JOIN (SELECT * FROM items WHERE total_volume > 500) i ON i.id = item_id GROUP BY 1"""))
 def diversity(spark, sf):
     items = fx.items(spark, sf).filter("total_volume > 500")
-    return ev.diversity(rc.item_cf(fx.ratings(spark, sf)), items, "chain").withColumn("diversity", r6("diversity"))
+    return ev.diversity(rc.item_cf(materialise(fx.ratings(spark, sf))), items, "chain").withColumn("diversity", r6("diversity"))
 
 
 @query("novelty", V("ratings items", f"""{ITEM_TOP}, {POP} SELECT user_id, round(coalesce(avg(1 / greatest(popularity, 1e-6)), 0), 6) AS novelty
   FROM top LEFT JOIN pop ON pop.item_id = top.item_id GROUP BY 1"""))
 def novelty(spark, sf):
-    return ev.novelty(rc.item_cf(fx.ratings(spark, sf)), popularity(spark, sf)).withColumn("novelty", r6("novelty"))
+    return ev.novelty(rc.item_cf(materialise(fx.ratings(spark, sf))), popularity(spark, sf)).withColumn("novelty", r6("novelty"))
 
 
 @query("coverage", V("ratings items", f"{ITEM_TOP} SELECT round(count(DISTINCT item_id)::DOUBLE / (SELECT count(*) FROM items), 6) AS coverage FROM top"))
 def coverage(spark, sf):
-    return ev.coverage(rc.item_cf(fx.ratings(spark, sf)), fx.items(spark, sf)).select(r6("coverage"))
+    return ev.coverage(rc.item_cf(materialise(fx.ratings(spark, sf))), fx.items(spark, sf)).select(r6("coverage"))
 
 
 @query("serendipity", V("ratings items", f"""{ITEM_TOP}, {POP}, s AS (SELECT user_id, avg(1 - popularity / (SELECT max(popularity) FROM pop)) AS s

@@ -99,12 +99,12 @@ def show_pairs(pairs, rank: bool = True):
 
 @query("item_cosine", with_views("ratings", COS_ITEM + " SELECT i, j, round(sim, 6) AS sim FROM cos WHERE i < j"))
 def item_cosine(spark, sf):
-    return show_pairs(sm.item_cosine(fx.ratings(spark, sf)), rank=False)
+    return show_pairs(sm.item_cosine(materialise(fx.ratings(spark, sf))), rank=False)
 
 
 @query("user_cosine", with_views("ratings", COS_USER + " SELECT u AS i, v AS j, round(sim, 6) AS sim FROM ucos WHERE u < v"))
 def user_cosine(spark, sf):
-    return show_pairs(sm.user_cosine(fx.ratings(spark, sf)), rank=False)
+    return show_pairs(sm.user_cosine(materialise(fx.ratings(spark, sf))), rank=False)
 
 
 LARGE = "ratings AS (SELECT * FROM ratings_large)"
@@ -112,13 +112,13 @@ LARGE = "ratings AS (SELECT * FROM ratings_large)"
 
 @query("item_neighbours_large", with_views("ratings_large", f"{LARGE}, {COS_ITEM}, " + neighbours_sql("cos", 5)))
 def item_neighbours_large(spark, sf):
-    return show_pairs(sm.neighbours(sm.item_cosine(fx.ratings_large(spark, sf)), 5))
+    return show_pairs(sm.neighbours(sm.item_cosine(materialise(fx.ratings_large(spark, sf))), 5))
 
 
 @query("user_neighbours_large", with_views(
     "ratings_large", f"{LARGE}, {COS_USER}, u2 AS (SELECT u AS i, v AS j, sim FROM ucos), " + neighbours_sql("u2", 5)))
 def user_neighbours_large(spark, sf):
-    return show_pairs(sm.neighbours(sm.user_cosine(fx.ratings_large(spark, sf)), 5))
+    return show_pairs(sm.neighbours(sm.user_cosine(materialise(fx.ratings_large(spark, sf))), 5))
 
 
 @query("feature_cosine", """WITH pairs AS (
@@ -136,21 +136,21 @@ def feature_cosine(spark, sf):
     "items", f"cs AS (SELECT a.id AS i, b.id AS j, {CAT_COS} AS sim FROM items a JOIN items b ON a.id <> b.id "
     "AND (a.chain = b.chain OR a.primary_category = b.primary_category)), " + neighbours_sql("cs", 10)))
 def category_cosine(spark, sf):
-    return show_pairs(sm.category_cosine(fx.items(spark, sf), 10))
+    return show_pairs(sm.category_cosine(materialise(fx.items(spark, sf)), 10))
 
 
 @query("numeric_cosine", with_views(
     "items", f"{NUMERIC}, ns AS (SELECT a.id AS i, b.id AS j, {NUM_COS} AS sim FROM vec a JOIN vec b ON a.id <> b.id), "
     + neighbours_sql("ns", 5)))
 def numeric_cosine(spark, sf):
-    return show_pairs(sm.numeric_cosine(fx.items(spark, sf), 5))
+    return show_pairs(sm.numeric_cosine(materialise(fx.items(spark, sf)), 5))
 
 
 @query("weighted_feature_sim", with_views(
     "items", f"{NUMERIC}, ws AS (SELECT a.id AS i, b.id AS j, {FEAT} AS sim FROM vec a JOIN vec b ON a.id <> b.id), "
     + neighbours_sql("ws", 5)))
 def weighted_feature_sim(spark, sf):
-    return show_pairs(sm.weighted_feature_similarity(fx.items(spark, sf), 5))
+    return show_pairs(sm.weighted_feature_similarity(materialise(fx.items(spark, sf)), 5))
 
 
 @query("similar_items", with_views(
@@ -160,13 +160,13 @@ def weighted_feature_sim(spark, sf):
        SELECT i, j, items.name, items.chain, items.primary_category, round(sim, 6) AS sim, rank
        FROM nb JOIN items ON items.id = j"""))
 def similar_items(spark, sf):
-    return sm.similar_items(fx.items(spark, sf), 5).withColumn("sim", r6("sim")).withColumn(
+    return sm.similar_items(materialise(fx.items(spark, sf)), 5).withColumn("sim", r6("sim")).withColumn(
         "rank", F.col("rank").cast("long"))
 
 
 @query("enhanced_sim", with_views("ratings items", f"{COS_ITEM}, {NUMERIC}, {ENHANCED}, " + neighbours_sql("esim", 10)))
 def enhanced_sim(spark, sf):
-    ratings, items = fx.ratings(spark, sf), fx.items(spark, sf)
+    ratings, items = materialise(fx.ratings(spark, sf)), fx.items(spark, sf)
     table = sm.common(sm.feature_vectors(items), ratings)
     return show_pairs(sm.blended_neighbours(sm.item_cosine(ratings), table, sm.CF_WEIGHT, 10))
 
@@ -177,12 +177,12 @@ def enhanced_sim(spark, sf):
 @query("item_cf", with_views(
     "ratings", f"{COS_ITEM}, {cf_sql('iscores', 'cos')}, {ranked('top', 'iscores', 10)} {TOP} top"))
 def item_cf(spark, sf):
-    return show(rc.item_cf(fx.ratings(spark, sf)))
+    return show(rc.item_cf(materialise(fx.ratings(spark, sf))))
 
 
 @query("user_cf", with_views("ratings", f"{COS_USER}, {USER_SCORES}, {ranked('top', 'uscores', 10)} {TOP} top"))
 def user_cf(spark, sf):
-    return show(rc.user_cf(fx.ratings(spark, sf)))
+    return show(rc.user_cf(materialise(fx.ratings(spark, sf))))
 
 
 def feature_recs(spark, sf, n):

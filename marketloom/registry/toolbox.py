@@ -21,6 +21,7 @@ from marketloom.operators.scale import value_counts as scale_counts
 from marketloom.plans.recommend import attach_items, top_catalog
 from marketloom.registry.base import query, r6
 from marketloom.registry.recs import SCORED
+from marketloom.session import materialise
 
 V = fx.with_views
 AS_OF = "2026-01-01"
@@ -684,7 +685,7 @@ FEATS = """, q AS (SELECT {q} FROM items),
 
 @query("feature_matrix", V("items", SCORED + FEATS))
 def feature_matrix(spark, sf):
-    items = sc.basic_scores(fx.items(spark, sf))
+    items = materialise(sc.basic_scores(fx.items(spark, sf)))
     out = en.item_features(
         items, REGULAR, ["market_cap", "total_volume"], ["reddit_subscribers", "twitter_followers", "github_stars"],
         ["popularity_score", "trend_score"], {"chain": "chain", "primary_category": "category"})
@@ -755,7 +756,7 @@ def popularity_trend_scores(spark, sf):
   SELECT id, round(greatest(0, least(100, 100 * e / (SELECT quantile_cont(e, 0.95) FROM e))), 6) AS social_engagement_score FROM e"""))
 def social_engagement(spark, sf):
     items = fx.items(spark, sf).withColumn("market_cap", F.when(F.col("id") % 7 != 0, F.col("market_cap")).otherwise(0.0))
-    return sc.social_engagement(items).select("id", r6("social_engagement_score"))
+    return sc.social_engagement(materialise(items)).select("id", r6("social_engagement_score"))
 
 
 @query("maturity_score", V("items", f"""a AS (SELECT id, market_cap, CASE WHEN id % 7 <> 0 THEN CAST(date_diff('day', genesis_date, DATE '{AS_OF}') AS DOUBLE) END AS d FROM items),
@@ -764,13 +765,13 @@ def social_engagement(spark, sf):
     + 0.4::DOUBLE * ln(1 + market_cap) / 30))), 6) AS maturity_score FROM f"""))
 def maturity_score(spark, sf):
     items = fx.items(spark, sf).withColumn("genesis_date", F.when(F.col("id") % 7 != 0, F.col("genesis_date")))
-    return sc.maturity(items, F.lit(AS_OF).cast("date")).select("id", r6("maturity_score"))
+    return sc.maturity(materialise(items), F.lit(AS_OF).cast("date")).select("id", r6("maturity_score"))
 
 
 @query("developer_activity", V("items", """d AS (SELECT id, ln(1 + github_stars) + ln(1 + github_forks) AS d FROM items)
   SELECT id, round(100 * greatest(0, least(1, d / (SELECT quantile_cont(d, 0.95) FROM d))), 6) AS developer_activity_score FROM d"""))
 def developer_activity(spark, sf):
-    return sc.developer_activity(fx.items(spark, sf)).select("id", r6("developer_activity_score"))
+    return sc.developer_activity(materialise(fx.items(spark, sf))).select("id", r6("developer_activity_score"))
 
 
 @query("stored_scores", V("items", """SELECT id, round(100*(0.4::DOUBLE*ln(1+market_cap)/30 + 0.3::DOUBLE*ln(1+total_volume)/25 + 0.15::DOUBLE*ln(1+reddit_subscribers)/15
