@@ -230,12 +230,18 @@ def modes(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
     return agg.select(*keys, F.col("b.v").alias(column))
 
 
-def spread_rows(df: DataFrame, *cols: str) -> DataFrame:
-    """Hash rows over the session's shuffle partitions ahead of a join that multiplies them.
+def spread_rows(df: DataFrame, *cols: str, tasks: int | None = None) -> DataFrame:
+    """Hash rows over ``tasks`` (the session's shuffle partitions by default) ahead of a join that multiplies them.
 
     A fixed count keeps adaptive execution from merging the small input into a few tasks that then expand it.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+    return df.repartition(tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
+def tasks_for(df: DataFrame, produced: int, per_task: int = 4_000_000, most: int = 200_000) -> int:
+    """Task count for a join that yields ``produced`` rows: at least one per core, about ``per_task`` rows each."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(cores, min(most, math.ceil(produced / per_task)))
 
 
 def use_all_cores(df: DataFrame) -> DataFrame:
@@ -263,14 +269,15 @@ def co_occurrence(
     groups for measuring their sizes.
     """
     sizes = (rows if sized_by is None else sized_by).groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    measured = sizes.agg(F.max("_n"), F.sum(F.col("_n").cast("double") * F.col("_n"))).first()
+    largest, tasks = measured[0] or 0, tasks_for(rows, measured[1] or 0)
     vals = list(value_cols)
     if largest <= cell:
         left = rows.select(
             F.col(group).alias("_g"), F.col(member).alias("i"), *[F.col(c).alias(f"l_{c}") for c in vals])
         right = rows.select(
             F.col(group).alias("_g"), F.col(member).alias("j"), *[F.col(c).alias(f"r_{c}") for c in vals])
-        pairs = spread_rows(left, "_g").join(spread_rows(right, "_g"), "_g").filter(F.col("i") < F.col("j"))
+        pairs = spread_rows(left, "_g", tasks=tasks).join(spread_rows(right, "_g", tasks=tasks), "_g").filter(F.col("i") < F.col("j"))
         return pairs.groupBy("i", "j").agg(*[c.alias(n) for n, c in sums.items()])
     big = sizes.filter(F.col("_n") > cell).select(group, F.ceil(F.col("_n") / cell).cast("int").alias("_chunks"))
     cut = rows.join(big, group, "left").select(
@@ -287,7 +294,7 @@ def co_occurrence(
         F.col(member).alias("y"), *[F.col(c).alias(f"y_{c}") for c in vals],
     )
     keys = ["_g", "_a", "_b"]
-    pairs = spread_rows(left, *keys).join(spread_rows(right, *keys), keys).filter(
+    pairs = spread_rows(left, *keys, tasks=tasks).join(spread_rows(right, *keys, tasks=tasks), keys).filter(
         (F.col("_a") < F.col("_b")) | (F.col("x") < F.col("y")))
     swap = F.col("x") > F.col("y")
     pairs = pairs.select(

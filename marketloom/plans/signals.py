@@ -11,6 +11,21 @@ from marketloom.operators.joins import portfolio_items, top_by_market_cap
 from marketloom.operators.scale import salted_join, top_k
 from marketloom.operators.series import latest_rows, technical_indicators
 
+# Reason texts of the signals.
+OVERSOLD = "RSI indicates oversold condition ("
+CROSS_UP = "MACD shows bullish crossover from negative territory"
+DIP = "Price dip with recovery"
+MANY_BUY = "Multiple technical indicators suggest buying opportunity"
+OVERBOUGHT = "RSI indicates overbought condition ("
+CROSS_DOWN = "MACD shows bearish crossover from positive territory"
+REVERSAL = "Sharp price increase followed by reversal"
+MANY_SELL = "Multiple technical indicators suggest selling opportunity"
+NO_SIGNAL = "No clear signals detected"
+TONED_DOWN = ") adjusted to HOLD due to your conservative risk profile"
+ORIGINAL = "Original signal ("
+MOMENTUM_BUY = "Momentum trending positive - opportunistic buy for aggressive risk profile"
+MOMENTUM_SELL = "Momentum trending negative - opportunistic sell for aggressive risk profile"
+
 HISTORY_ROWS = 168
 MIN_ROWS = 50
 REC_ROWS = 24
@@ -71,21 +86,21 @@ def determine_signal(state: DataFrame) -> DataFrame:
         yes((rsi > 70) & (macd < line)) | yes((d24 > 15) & (d1 < -1)) | yes((rsi > 70) & (d7 > 30))))
     moves = F.concat(F.lit(" (24h: "), _fixed(d24), F.lit("%, 1h: "), _fixed(d1), F.lit("%)"))
     buy_reason = (
-        F.when(rsi < 30, F.concat(F.lit("RSI indicates oversold condition ("), _fixed(rsi), F.lit(")")))
-        .when((macd > line) & (line < 0), "MACD shows bullish crossover from negative territory")
-        .when(d24 < -10, F.concat(F.lit("Price dip with recovery"), moves))
-        .otherwise("Multiple technical indicators suggest buying opportunity")
+        F.when(rsi < 30, F.concat(F.lit(OVERSOLD), _fixed(rsi), F.lit(")")))
+        .when((macd > line) & (line < 0), CROSS_UP)
+        .when(d24 < -10, F.concat(F.lit(DIP), moves))
+        .otherwise(MANY_BUY)
     )
     sell_reason = (
-        F.when(rsi > 70, F.concat(F.lit("RSI indicates overbought condition ("), _fixed(rsi), F.lit(")")))
-        .when((macd < line) & (line > 0), "MACD shows bearish crossover from positive territory")
-        .when(d24 > 15, F.concat(F.lit("Sharp price increase followed by reversal"), moves))
-        .otherwise("Multiple technical indicators suggest selling opportunity")
+        F.when(rsi > 70, F.concat(F.lit(OVERBOUGHT), _fixed(rsi), F.lit(")")))
+        .when((macd < line) & (line > 0), CROSS_DOWN)
+        .when(d24 > 15, F.concat(F.lit(REVERSAL), moves))
+        .otherwise(MANY_SELL)
     )
     return labelled.withColumn("action", F.when(buy, "buy").when(sell, "sell").otherwise("hold")).withColumns(
         {
             "reason": F.when(F.col("action") == "buy", buy_reason).when(F.col("action") == "sell", sell_reason)
-            .otherwise("No clear signals detected"),
+            .otherwise(NO_SIGNAL),
             "target_price": F.when(F.col("action") == "buy", price * (1 + F.abs(d24) / 200))
             .when(F.col("action") == "sell", price),
             "stop_loss": F.when(F.col("action") == "buy", price * 0.95),
@@ -136,9 +151,9 @@ def by_risk(signals: DataFrame) -> DataFrame:
     new_action = F.when(cautious, "hold").when(eager, F.when(up, "buy").otherwise("sell")).otherwise(action)
     new_reason = (
         F.when(cautious, F.concat(
-            F.lit("Original signal ("), action, F.lit(") adjusted to HOLD due to your conservative risk profile")))
-        .when(eager & up, "Momentum trending positive - opportunistic buy for aggressive risk profile")
-        .when(eager, "Momentum trending negative - opportunistic sell for aggressive risk profile")
+            F.lit(ORIGINAL), action, F.lit(TONED_DOWN)))
+        .when(eager & up, MOMENTUM_BUY)
+        .when(eager, MOMENTUM_SELL)
         .otherwise(F.col("reason"))
     )
     new_conf = (
