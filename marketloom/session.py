@@ -26,9 +26,16 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, or a fresh one when unset."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (one machine, as in tests) gets a temporary folder; a cluster session is refused,
+    because its executors would not see the driver's folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="marketloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
