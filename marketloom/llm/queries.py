@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.llm import pieces
 from marketloom.llm import simhash as near
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = near.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def piece_vocabulary() -> bytes:
+    """The public 32k merge vocabulary; read by the driver, shipped with the tasks."""
+    import public_tokenizers
+
+    return pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op9_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return pieces.encode_documents(docs, piece_vocabulary()).select(
+        "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
