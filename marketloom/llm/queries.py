@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import pieces
+from marketloom.llm import linededup, pieces
 from marketloom.llm import simhash as near
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,29 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    joined, cut = linededup.cut_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return joined.withColumn("cut", cut).select(
+        "doc_id", "cut.n_lines", "cut.n_dropped", F.sha2("cut.kept", 256).alias("kept_sha256"))
+
+
+SQL["op5_line_dedup"] = """
+WITH lines AS (
+  SELECT doc_id, unnest(generate_series(1, len(parts))) AS place, unnest(parts) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
+keys AS (
+  SELECT doc_id, place, line,
+         translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+often AS (SELECT key FROM keys WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE key IN (SELECT key FROM often)) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE key NOT IN (SELECT key FROM often)), ''))
+         AS kept_sha256
+FROM keys GROUP BY doc_id
+"""
+
+
 def piece_vocabulary() -> bytes:
     """The public 32k merge vocabulary; read by the driver, shipped with the tasks."""
     import public_tokenizers
