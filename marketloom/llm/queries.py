@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marketloom.llm import decontaminate as bench
 from marketloom.llm import linededup, pieces
 from marketloom.llm import simhash as near
+from marketloom.llm import substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -102,3 +103,26 @@ SELECT c.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM cut c LEFT JOIN hit h ON c.doc_id = h.doc_id LEFT JOIN named n ON c.doc_id = n.doc_id
 """
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cut = substring.cut_repeats(table(spark, sf, "documents"))
+    return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op6_substring_dedup"] = """
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS t
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM cut WHERE len(w) >= 50)),
+owners AS (SELECT t, min(doc_id) AS owner FROM windows GROUP BY t),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS p
+         FROM windows JOIN owners USING (t) WHERE doc_id > owner),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM cut),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT c.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM cut c LEFT JOIN lost l ON c.doc_id = l.doc_id LEFT JOIN kept k ON c.doc_id = k.doc_id
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-ODD = 0x9E3779B97F4A7C15 | 1
+ODD, OTHER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03  # odd multipliers; use both for 128 bits
 KEPT_WORDS = 1_000_000  # remembered word hashes of a worker; a full memory is emptied, which costs time only
 
 
@@ -32,7 +32,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def rolling(words: np.ndarray, k: int) -> np.ndarray:
+def rolling(words: np.ndarray, k: int, odd: int = ODD) -> np.ndarray:
     """Hash of every run of ``k`` words, modulo 2^64; none if there are fewer words."""
     n = len(words) - k + 1
     if n <= 0:
@@ -40,14 +40,14 @@ def rolling(words: np.ndarray, k: int) -> np.ndarray:
     if k <= 16:
         out = words[:n].copy()
         for j in range(1, k):
-            out *= np.uint64(ODD)
+            out *= np.uint64(odd)
             out += words[j: j + n]
         return mixed(out)
-    powers = np.full(len(words), ODD, np.uint64)
+    powers = np.full(len(words), odd, np.uint64)
     powers[0] = 1
     powers = np.multiply.accumulate(powers)
     sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(words * powers)])
-    back = np.full(n, pow(ODD, -1, 1 << 64), np.uint64)  # the multiplier is odd, so it has an inverse
+    back = np.full(n, pow(odd, -1, 1 << 64), np.uint64)  # the multiplier is odd, so it has an inverse
     back[0] = 1
     return mixed((sums[k:] - sums[:-k]) * np.multiply.accumulate(back))
 
