@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marketloom.llm import decontaminate as bench
 from marketloom.llm import linededup, pieces
 from marketloom.llm import simhash as near
-from marketloom.llm import substring
+from marketloom.llm import substring, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +31,28 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op2_topk(spark: SparkSession, sf: str) -> DataFrame:
+    points = topk.scaled(table(spark, sf, "embeddings"))
+    return topk.nearest(points, points.filter("id % 100 = 0"), 10)
+
+
+SQL["op2_topk"] = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+         vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
 @query
 def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     joined, cut = linededup.cut_lines(table(spark, sf, "documents").select("doc_id", "text"))
