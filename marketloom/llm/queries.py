@@ -11,7 +11,7 @@ from marketloom.llm import chat
 from marketloom.llm import decontaminate as bench
 from marketloom.llm import linededup, pieces
 from marketloom.llm import simhash as near
-from marketloom.llm import substring, topk
+from marketloom.llm import substring, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,6 +86,15 @@ FROM whole JOIN escapes ON whole.conv_id = escapes.conv_id
 """
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.fit(docs, labels.filter(~toxicity.held_out(F.col("doc_id"), 5, 0)))
+    scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id"), 5, 0).alias("held_out"),
+                         model.score(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @query
 def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     joined, cut = linededup.cut_lines(table(spark, sf, "documents").select("doc_id", "text"))
