@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -28,6 +28,26 @@ CHUNK = 2_000_000  # characters of the texts that are cut at a time
 NEVER = 1 << 30
 
 
+def segment_finder(pieces: Iterable[str]) -> Callable[[str], list[str]]:
+    """Function that cuts a text, its spaces written as ``SPACE``, where no piece can continue.
+
+    Cuts lie in front of word starts, around ASCII characters that no longer piece has, and behind runs of letters. All
+    three are derived from, and checked against, the pairs of neighbours inside pieces.
+    """
+    pairs = {p[i: i + 2] for p in pieces for i in range(len(p) - 1)}
+    if any(re.match(f"[^{SPACE}]{SPACE}", p, re.S) for p in pairs):
+        raise ValueError("a piece runs over the start of a word")
+    joined = set("".join(pairs))
+    alone = re.escape("".join(chr(c) for c in range(128) if chr(c) not in joined))
+
+    def classes(but: str) -> tuple[str, str]:
+        return rf"[^\W\d_{but}]", rf"(?:(?![{SPACE}{alone}])[\W\d_{but}])"
+
+    open_letters = {p[0] for p in pairs if re.match("".join(classes("")), p, re.S)}  # letters that pieces continue
+    letter, other = classes(re.escape("".join(open_letters)))
+    return re.compile(f"{SPACE}+{other}*{letter}*|{letter}+|[{alone}]|{other}+{letter}*", re.S).findall
+
+
 class PieceModel:
     """Vocabulary, library handle and segment memory of one worker."""
 
@@ -40,18 +60,9 @@ class PieceModel:
         self.pieces = {lib.id_to_piece(i): (-lib.get_score(i), i) for i in usual}
         self.bytes = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.begin, self.end = (array("I", [i]).tobytes() for i in (lib.bos_id(), lib.eos_id()))
-        pairs = {p[i: i + 2] for p in self.pieces for i in range(len(p) - 1)}
-        if any(re.match(f"[^{SPACE}]{SPACE}", p) for p in pairs) or not all(map(lib.is_byte, self.bytes)):
-            raise ValueError("a piece runs over the start of a word, or byte pieces are missing")
-        joined = set("".join(pairs))
-        alone = re.escape("".join(chr(c) for c in range(128) if chr(c) not in joined))
-        def classes(but: str) -> tuple[str, str]:
-            return rf"[^\W\d_{but}]", rf"(?:(?![{SPACE}{alone}])[\W\d_{but}])"
-
-        open_letters = {p[0] for p in pairs if re.match("".join(classes("")), p, re.S)}  # letters that pieces continue
-        letter, other = classes(re.escape("".join(open_letters)))
-        self.segments = re.compile(
-            f"{SPACE}+{other}*{letter}*|{letter}+|[{alone}]|{other}+{letter}*", re.S).findall
+        if not all(map(lib.is_byte, self.bytes)):
+            raise ValueError("byte pieces are missing")
+        self.segments = segment_finder(self.pieces)
         self.known: dict[str, bytes] = {}
         self._symbols()
 

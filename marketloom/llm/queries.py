@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from marketloom.llm import chat
 from marketloom.llm import decontaminate as bench
-from marketloom.llm import linededup, pieces
+from marketloom.llm import langid, linededup, pieces
 from marketloom.llm import simhash as near
-from marketloom.llm import substring, topk, toxicity
+from marketloom.llm import substring, tokencount, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -125,6 +125,22 @@ def piece_vocabulary() -> bytes:
     return pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    vocabulary = tokencount.vocabulary_of(piece_vocabulary())
+    return tokencount.with_token_counts(table(spark, sf, "documents").select("doc_id", "text"), vocabulary).select(
+        "doc_id", "n_tokens")
+
+
+@query
+def op8_langid(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    out = toxicity.held_out(F.col("doc_id"), 3, 1)
+    model = langid.fit(docs.filter(~out))
+    return docs.select("doc_id", out.alias("held_out"), langid.labelled(F.col("text"), model).alias("found")).select(
+        "doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
+
+
 @query
 def op9_pieces(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
