@@ -78,14 +78,17 @@ def flatten_json(df: DataFrame, key: str, column: str, depth: int, separator: st
     """Unknown schema: ``(key, path, value)`` rows for every leaf, paths like ``a.b`` and ``a[0]``.
 
     Each level explodes objects and arrays one step; ``depth`` is the deepest nesting to open. A row that is still
-    nested after ``depth`` steps is kept with its JSON text as value.
+    nested after ``depth`` steps is kept with its JSON text as value. A string leaf stays as it is, also one that starts
+    with a bracket, unless all of it is one JSON value. Empty objects and arrays have no leaf.
     """
     rows = df.select(key, F.lit("").alias("path"), F.col(column).alias("value"))
     for _ in range(depth):
         as_map = F.from_json("value", "map<string,string>")
         as_list = F.from_json("value", "array<string>")
-        is_map = F.ltrim("value").startswith("{")
-        is_list = F.ltrim("value").startswith("[")
+        wrapped = F.concat(F.lit("["), "value", F.lit("]"))  # readers ignore what follows a value; a list of it doesn't
+        single = F.try_parse_json(wrapped).isNotNull() & (F.size(F.from_json(wrapped, "array<string>")) == 1)
+        is_map = F.ltrim("value").startswith("{") & single
+        is_list = F.ltrim("value").startswith("[") & single
         dotted = lambda k: F.when(F.col("path") == "", k).otherwise(F.concat("path", F.lit(separator), k))
         children = (
             F.when(is_map, F.transform(

@@ -44,16 +44,28 @@ def pivot_table(
 
 
 # Calendar units of the window sizes.
-UNITS = {"H": "hour", "D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year"}
+UNITS = {"MIN": "minute", "T": "minute", "H": "hour", "D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year"}
+MONTHS = {"month": 1, "quarter": 3, "year": 12}
 
 
 def time_bucket(ts: Column, size: str) -> Column:
-    """Start of the calendar bucket (``1D``, ``1W`` from Monday, ``1M`` ...), or of an epoch window for other sizes."""
+    """Start of the calendar bucket (``15min``, ``5T``, ``1D``, ``1W`` from Monday, ``2M``, ``1Q`` ...).
+
+    Multiples of minutes to weeks count from 1970-01-01 (weeks: from the first Monday), multiples of months, quarters and
+    years from January 1970. Unknown units raise ``ValueError``.
+    """
     number = int("".join(ch for ch in size if ch.isdigit()) or 1)
-    unit = UNITS[size.lstrip("0123456789").upper()]
+    unit = UNITS.get(size.lstrip("0123456789").upper())
+    if unit is None or number < 1:
+        raise ValueError(f"unknown window size {size!r}")
     if number == 1:
         return F.date_trunc(unit, ts)
-    return F.window(ts, f"{number} {unit}")["start"]
+    if unit in MONTHS:
+        step = number * MONTHS[unit]
+        months = (F.year(ts) - 1970) * 12 + F.month(ts) - 1
+        return F.add_months(F.lit("1970-01-01").cast("date"), months - F.pmod(months, F.lit(step))).cast("timestamp")
+    offset = "4 days" if unit == "week" else "0 days"
+    return F.window(ts, f"{number} {unit}", startTime=offset)["start"]
 
 
 def time_windows(
@@ -88,8 +100,8 @@ def time_windows(
     return out
 
 
-# Rows kept per requested period.
-PERIOD_ROWS = {"1d": 24, "7d": 168, "30d": 720, "90d": 2160, "1y": 8760, "all": 100_000}
+# Rows kept per requested period; ``all`` has no limit.
+PERIOD_ROWS = {"1d": 24, "7d": 168, "30d": 720, "90d": 2160, "1y": 8760, "all": None}
 
 
 def history_buckets(prices: DataFrame, interval: str = "1h", period: str = "7d") -> DataFrame:
@@ -97,6 +109,8 @@ def history_buckets(prices: DataFrame, interval: str = "1h", period: str = "7d")
 
     The period limits rows, not time. Output is unordered; sort by timestamp when showing one series.
     """
+    if period not in PERIOD_ROWS or interval not in ("1h", "4h", "1d", "1w"):
+        raise ValueError(f"unknown period {period!r} or interval {interval!r}")
     if interval == "4h":
         rows = prices.filter(F.hour("timestamp") % 4 == 0)
     elif interval in ("1d", "1w"):
@@ -106,7 +120,9 @@ def history_buckets(prices: DataFrame, interval: str = "1h", period: str = "7d")
     else:
         rows = prices
     rows = rows.select("project_id", "timestamp", "price", "volume", "market_cap")
-    limit = PERIOD_ROWS.get(period, PERIOD_ROWS["7d"])
+    limit = PERIOD_ROWS[period]
+    if limit is None:
+        return rows
     return top_k(rows, ["project_id"], [F.col("timestamp").desc()], limit, "_r").drop("_r")
 
 

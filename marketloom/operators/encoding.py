@@ -66,8 +66,9 @@ def encode_categorical(
                 out = joined.withColumn(f"{c}_encoded", F.col("_code").cast("double")).drop("_code")
             else:
                 n = (codes.agg(F.max("_code")).first()[0] or 0) + 1
-                bits = max(1, int(np.ceil(np.log2(max(n, 1)))))
-                code = F.coalesce("_code", F.lit(-1))
+                nulls = df.agg(F.bool_or(F.col(c).isNull())).first()[0]
+                bits = max(1, (n if nulls else n - 1).bit_length())  # null has a code of its own, all bits set
+                code = F.coalesce("_code", F.lit((1 << bits) - 1))
                 out = joined.withColumns(
                     {f"{c}_bin_{b}": F.shiftright(code, b).bitwiseAND(F.lit(1)).cast("int") for b in range(bits)}
                 ).drop("_code")

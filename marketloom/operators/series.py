@@ -20,7 +20,16 @@ BLOCK = 2048
 
 def ewm_reach(span: int) -> int:
     """Rows after which a term's weight in the recursive mean is below double precision."""
-    return math.ceil(37 / -math.log1p(-2 / (span + 1)))
+    return math.ceil(37 / _decay(span)) if span > 1 else 0
+
+
+def ewm_block(span: int) -> int:
+    """Rows of a block whose weights, halo included, stay far inside the range of a double."""
+    return min(BLOCK, max(1, int(560 / _decay(span)))) if span > 1 else BLOCK
+
+
+def _decay(span: int) -> float:
+    return -math.log1p(-2 / (span + 1))
 
 
 def positioned(
@@ -64,6 +73,10 @@ class Frames:
         The first row of the series has weight one. Offsets restart in every block, which keeps the powers in range;
         the block's leading rows reach back far enough that the missing past is below rounding.
         """
+        if span < 1:
+            raise ValueError("span must be at least 1")
+        if span == 1:
+            return c
         a = 2.0 / (span + 1)
         q = 1 - a
         offset = F.col("pos") - F.min("pos").over(self.base)
@@ -87,7 +100,7 @@ def _rsi(f: Frames, delta: Column, n: int, saturate: bool = False) -> Column:
 def ewm_mean(df: DataFrame, keys: Sequence[str], ts: str, column: str, span: int, out: str) -> DataFrame:
     """Exponential mean of a column without nulls."""
     f = Frames(keys)
-    blocks = with_halo(positioned(df, keys, ts), BLOCK, before=ewm_reach(span))
+    blocks = with_halo(positioned(df, keys, ts), ewm_block(span), before=ewm_reach(span))
     return drop_halo(blocks.withColumn(out, f.ewm(F.col(column), span))).drop("pos")
 
 

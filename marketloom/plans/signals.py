@@ -27,6 +27,7 @@ MOMENTUM_BUY = "Momentum trending positive - opportunistic buy for aggressive ri
 MOMENTUM_SELL = "Momentum trending negative - opportunistic sell for aggressive risk profile"
 
 HISTORY_ROWS = 168
+WEEK_ROWS = 168
 MIN_ROWS = 50
 REC_ROWS = 24
 
@@ -38,30 +39,33 @@ def _fixed(c: Column) -> Column:
 def latest_state(prices: DataFrame, keys: Sequence[str] = ("project_id",), history: int = HISTORY_ROWS) -> DataFrame:
     """One row per series: last price, indicators, changes over 1, 24 and 168 rows, volume spike.
 
-    Only the newest ``history`` rows per key enter, so a key is bounded before any window runs.
+    Only the newest ``history`` rows per key enter the indicators, and one more row the change over 168 rows, so a key is
+    bounded before any window runs.
     """
     keys = list(keys)
-    recent = latest_rows(prices, keys, "timestamp", history).drop("recency")
+    newest = latest_rows(prices, keys, "timestamp", max(history, WEEK_ROWS + 1))
+    week_ago = F.max(F.when(F.col("recency") == WEEK_ROWS + 1, F.col("price"))).over(Window.partitionBy(*keys))
+    recent = newest.withColumn("_week_ago", week_ago).filter(F.col("recency") <= history).drop("recency")
     ind = technical_indicators(recent, keys)
     last = Window.partitionBy(*keys).orderBy(F.col("pos").desc())
     base = Window.partitionBy(*keys).orderBy("pos")
     p, v = F.col("price"), F.col("volume")
 
     def change(h: int) -> Column:
-        old = F.lag(p, h).over(base)
+        old = F.col("_week_ago") if h == WEEK_ROWS else F.lag(p, h).over(base)
         return F.coalesce((p - old) / F.nullif(old, F.lit(0.0)) * 100, F.lit(0.0))
 
     before = base.rowsBetween(-23, -1)
     mean = F.when(F.count(v).over(before) >= 23, F.nullif(F.avg(v).over(before), F.lit(0.0)))
     rows = ind.withColumns(
         {
-            "change_1h": change(1), "change_24h": change(24), "change_7d": change(168),
+            "change_1h": change(1), "change_24h": change(24), "change_7d": change(WEEK_ROWS),
             "volume_change": F.coalesce((v - mean) / mean * 100, F.lit(0.0)),
             "n_rows": F.count(F.lit(1)).over(Window.partitionBy(*keys)),
             "_r": F.row_number().over(last),
         }
     )
-    return rows.filter("_r = 1").drop("_r", "pos").withColumn("spike", F.col("volume_change") > 50)
+    return rows.filter("_r = 1").drop("_r", "pos", "_week_ago").withColumn("spike", F.col("volume_change") > 50)
 
 
 def determine_signal(state: DataFrame) -> DataFrame:

@@ -58,11 +58,20 @@ def technical_indicators(spark, sf):
         "project_id", "timestamp", *[r4(c) for c in se.INDICATORS])
 
 
-@query("ewm_mean", four_digits(V(
-    "prices_long", f"""{ema('prices_long')} SELECT project_id, "timestamp", round(e12, 6) AS ema FROM g""", recursive=True)))
+EWM_SPANS = [1, 2, 3, 5, 12]
+
+
+@query("ewm_mean", four_digits(V("prices_long", f"""p AS (SELECT *, row_number() OVER (PARTITION BY project_id
+    ORDER BY "timestamp") AS pos FROM prices_long),
+  e AS (SELECT project_id, "timestamp", pos, {', '.join(f'price AS e{n}' for n in EWM_SPANS)} FROM p WHERE pos = 1 UNION ALL
+    SELECT p.project_id, p."timestamp", p.pos, {', '.join(f'e.e{n} + (p.price - e.e{n}) * 2.0::DOUBLE / {n + 1}' for n in EWM_SPANS)}
+    FROM e JOIN p ON p.project_id = e.project_id AND p.pos = e.pos + 1)
+  SELECT project_id, "timestamp", {', '.join(f'round(e{n}, 6) AS ema_{n}' for n in EWM_SPANS)} FROM e""", recursive=True)))
 def ewm_mean(spark, sf):
-    out = se.ewm_mean(fx.prices_long(spark, sf), ["project_id"], "timestamp", "price", 12, "ema")
-    return out.select("project_id", "timestamp", r4("ema"))
+    out = fx.prices_long(spark, sf)
+    for n in EWM_SPANS:
+        out = se.ewm_mean(out, ["project_id"], "timestamp", "price", n, f"ema_{n}")
+    return out.select("project_id", "timestamp", *[r4(f"ema_{n}") for n in EWM_SPANS])
 
 
 def metric_cols(d: int) -> list[str]:
@@ -158,12 +167,15 @@ def latest_per_key(spark, sf):
 
 # --- signals ------------------------------------------------------------------------------------------------------
 
-STATE = f"""recent AS (SELECT * FROM prices_long QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY "timestamp" DESC) <= 168),
+STATE = f"""ago AS (SELECT project_id, price AS week_ago FROM prices_long
+    QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY "timestamp" DESC) = 169),
+  recent AS (SELECT l.*, week_ago FROM prices_long l LEFT JOIN ago USING (project_id)
+    QUALIFY row_number() OVER (PARTITION BY l.project_id ORDER BY "timestamp" DESC) <= 168),
   {ema('recent')}, {W1},
   c AS (SELECT *, count(*) OVER (PARTITION BY project_id) AS n,
       coalesce((price - lag(price, 1) {LAG}) / nullif(lag(price, 1) {LAG}, 0) * 100, 0) AS d1,
       coalesce((price - lag(price, 24) {LAG}) / nullif(lag(price, 24) {LAG}, 0) * 100, 0) AS d24,
-      coalesce((price - lag(price, 168) {LAG}) / nullif(lag(price, 168) {LAG}, 0) * 100, 0) AS d7,
+      coalesce((price - week_ago) / nullif(week_ago, 0) * 100, 0) AS d7,
       CASE WHEN count(volume) {PREV} >= 23 THEN nullif(avg(volume) {PREV}, 0) END AS vm FROM i),
   st AS (SELECT *, coalesce((volume - vm) / vm * 100, 0) AS vc, coalesce((volume - vm) / vm * 100, 0) > 50 AS spike FROM c WHERE pos = n),
   lb AS (SELECT *, CASE WHEN sma_20 > sma_50 THEN 'bullish' ELSE 'bearish' END AS ma_label,

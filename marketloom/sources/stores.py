@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,20 +85,33 @@ def chart_rows(charts: DataFrame, key: str = "project_id") -> DataFrame:
     )
 
 
-def upsert_prices(stored: DataFrame, incoming: DataFrame, as_of: Column, days: int) -> DataFrame:
-    """Replace the last ``days`` of every incoming series; unique (key, time), the incoming row wins (IO12)."""
+def upsert_prices(
+    stored: DataFrame, incoming: DataFrame, as_of: Column, days: int, order: Sequence[str] = ()
+) -> DataFrame:
+    """Replace the last ``days`` of every incoming series; unique (key, time), the incoming row wins (IO12).
+
+    Of several incoming rows for one key and time the one with the greatest ``order`` columns wins, then the one with the
+    greatest values; a row is always taken whole. Stored history before the window is passed on untouched.
+    """
     since = as_of - F.make_interval(days=F.lit(days))
     fresh = incoming.filter(F.col("timestamp") >= since)
     touched = fresh.select("project_id").distinct()
     old = stored.filter(F.col("timestamp") >= since).join(touched, "project_id", "left_anti").unionByName(
         stored.filter(F.col("timestamp") < since))
-    return old.unionByName(fresh.select(*stored.columns)).groupBy("project_id", "timestamp").agg(
-        *[F.first(c).alias(c) for c in stored.columns if c not in ("project_id", "timestamp")])
+    values = [c for c in stored.columns if c not in ("project_id", "timestamp")]
+    newest = fresh.groupBy("project_id", "timestamp").agg(
+        F.max_by(F.struct(*values), F.struct(*[F.col(c).alias(f"o{n}") for n, c in enumerate([*order, *values])])).alias("v"))
+    return old.unionByName(newest.select("project_id", "timestamp", "v.*").select(*stored.columns))
 
 
-def combine_pages(pages: list[DataFrame], details: DataFrame | None = None) -> DataFrame:
-    """Extract pages in order, the first row per id, details joined on (IO13)."""
-    first = union_dedupe(pages, "id", []).drop("source_rank")
+def combine_pages(pages: list[DataFrame], details: DataFrame | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """Extract pages in order, the first row per id, details joined on (IO13).
+
+    Inside a page the row with the smallest ``order`` columns is the first; without them, or among equal ones, the row
+    with the smallest values.
+    """
+    sort = [*order, *[c for c in pages[0].columns if c != "id"]]
+    first = union_dedupe(pages, "id", [F.col(c) for c in sort]).drop("source_rank")
     return first if details is None else first.join(details, "id", "left")
 
 
