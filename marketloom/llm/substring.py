@@ -2,10 +2,13 @@
 
 1. *Seed.* Of every window of 50 words, the smallest hash among its 10-word runs is the window's anchor. Equal windows
    have equal anchors, so only windows whose anchor occurs in two different texts can repeat. About one word in twenty
-   is an anchor.
-2. *Extend.* Around each recurring anchor a text emits its windows in both directions (a window is one start within 40
-   words before the anchor), as two 64-bit rolling hashes. Grouping equal windows replaces comparing pairs of documents:
-   each window keeps its smallest document, so a passage that thousands of documents share costs one row for each.
+   is an anchor. The windows of one anchor are consecutive; together they span a *block*.
+2. *Extend.* An anchor's block is the anchor extended both ways as far as its windows reach. Blocks that are equal word
+   for word have the same windows, so the smallest document with the block owns them all, and the others need no closer
+   look: this settles the inside of a passage, and a passage that thousands of documents share costs one row for each
+   anchor. Where an anchor has several different blocks (at the ends of passages, at edits) the blocks without a smaller
+   owner are opened into their windows, and equal windows are grouped in the same way. Grouping replaces comparing pairs
+   of documents.
 3. *Maximal repeats.* Starts whose window has a smaller document are joined back to the text; overlapping and adjacent
    windows merge into maximal runs of at least 50 words, which are removed.
 
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import map_columns, stage, worker_cache
-from marketloom.llm.wordhash import OTHER, WordHashes, rolling, winnowed
+from marketloom.llm.wordhash import OTHER, WordHashes, rolling, spans, winnowed
 
 WINDOW, GRAM = 50, 10
 
@@ -40,47 +43,44 @@ def _hashes(text: bytes) -> np.ndarray:
     return worker_cache("word hashes").setdefault(1, WordHashes(1)).of(text.split())
 
 
-def _anchors(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor position of every window, and the hashes of all runs of ``gram`` words."""
-    grams = rolling(hashes, gram)
-    return winnowed(grams, window - gram + 1), grams
-
-
 def _seeds(texts: DataFrame, window: int, gram: int) -> DataFrame:
+    """``t1``, ``t2``, ``lo``, ``hi`` (first and last start with this anchor), ``anchor``, ``block``."""
+
     def cut(t1: list, t2: list, texts: list) -> list:
-        ats, codes = [], []
+        found = []
         for text in texts:
-            at, grams = _anchors(_hashes(text), window, gram)
-            at = np.unique(at)
-            ats.append(at.astype(np.int32))
-            codes.append(grams[at].view(np.int64))
-        counts = [len(a) for a in ats]
+            hashes = _hashes(text)
+            grams = rolling(hashes, gram)
+            at = winnowed(grams, window - gram + 1)
+            lo = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else at
+            hi = np.append(lo[1:], len(at)) - 1 if len(at) else at
+            found.append((lo.astype(np.int32), hi.astype(np.int32), grams[at[lo]].view(np.int64),
+                          spans(hashes, lo, hi + window).view(np.int64)))
+        counts = [len(f[0]) for f in found]
         return [*(pa.array(np.repeat(np.array(t, np.int64), counts)) for t in (t1, t2)),
-                *(pa.array(np.concatenate(x) if x else [], t) for x, t in ((ats, pa.int32()), (codes, pa.int64())))]
+                *(pa.array(np.concatenate(x)) for x in zip(*found))] if found else [[]] * 6
 
-    return map_columns(texts.select("t1", "t2", "text"), cut, "t1 long, t2 long, at int, anchor long")
+    return map_columns(texts.select("t1", "t2", "text"), cut,
+                       "t1 long, t2 long, lo int, hi int, anchor long, block long")
 
 
-def _windows(seeded: DataFrame, window: int, gram: int) -> DataFrame:
-    """Windows with a recurring anchor; ``seeded``: ``t1``, ``t2``, ``first_id``, ``text``, ``ats``."""
-    kind = seeded.schema["first_id"].dataType.simpleString()
+def _windows(opened: DataFrame, window: int) -> DataFrame:
+    """Windows of the open blocks; ``opened``: ``t1``, ``t2``, ``first_id``, ``text``, ``ranges`` of starts."""
+    kind = opened.schema["first_id"].dataType.simpleString()
 
-    def emit(t1: list, t2: list, first: list, texts: list, ats: list) -> list:
-        starts, one, two = [], [], []
-        for text, at in zip(texts, ats):
+    def emit(t1: list, t2: list, first: list, texts: list, ranges: list) -> list:
+        found = []
+        for text, own in zip(texts, ranges):
             hashes = _hashes(text)
-            anchors, _ = _anchors(hashes, window, gram)
-            s = np.flatnonzero(np.isin(anchors, np.array(at, np.int64)))
-            starts.append(s.astype(np.int32))
-            one.append(rolling(hashes, window)[s].view(np.int64))
-            two.append(rolling(hashes, window, OTHER)[s].view(np.int64))
-        index = pa.array(np.repeat(np.arange(len(starts)), [len(s) for s in starts]), pa.int64())
+            s = np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in own])
+            found.append((s.astype(np.int32), spans(hashes, s, s + window).view(np.int64),
+                          (spans(hashes, s, s + window, OTHER) >> np.uint64(33)).astype(np.int32)))
+        index = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]), pa.int64())
         return [*(pa.array(v, t).take(index) for v, t in ((t1, pa.int64()), (t2, pa.int64()), (first, None))),
-                *(pa.array(np.concatenate(x) if x else [], t) for x, t in (
-                    (starts, pa.int32()), (one, pa.int64()), (two, pa.int64())))]
+                *(pa.array(np.concatenate(x)) for x in zip(*found))] if found else [[]] * 6
 
-    return map_columns(seeded.select("t1", "t2", "first_id", "text", "ats"), emit,
-                       f"t1 long, t2 long, first_id {kind}, start int, w1 long, w2 long")
+    return map_columns(opened.select("t1", "t2", "first_id", "text", "ranges"), emit,
+                       f"t1 long, t2 long, first_id {kind}, start int, w1 long, w2 int")
 
 
 def _cut(window: int):
@@ -88,18 +88,18 @@ def _cut(window: int):
                       ("runs", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
     @F.arrow_udf("struct<kept string, n_words bigint, n_removed bigint, runs array<struct<start int, `end` int>>>")
-    def cut(texts: pa.Array, copies: pa.Array, found: pa.Array) -> pa.Array:
+    def cut(texts: pa.Array, copies: pa.Array, late: pa.Array) -> pa.Array:
         out = []
-        for text, copy, starts in zip(texts.to_pylist(), copies.to_pylist(), found.to_pylist()):
+        for text, copy, found in zip(texts.to_pylist(), copies.to_pylist(), late.to_pylist()):
             words = text.split()
             runs: list[dict] = []
             if copy and len(words) >= window:
                 runs = [{"start": 0, "end": len(words)}]
-            for s in sorted(starts or ()) if not runs else ():
-                if runs and s <= runs[-1]["end"]:
-                    runs[-1]["end"] = s + window
+            for lo, hi in sorted((r["lo"], r["hi"]) for r in found or ()) if not runs else ():
+                if runs and lo <= runs[-1]["end"]:
+                    runs[-1]["end"] = max(hi + window, runs[-1]["end"])
                 else:
-                    runs.append({"start": s, "end": s + window})
+                    runs.append({"start": lo, "end": hi + window})
             kept, at = [], 0
             for run in runs:
                 kept += words[at: run["start"]]
@@ -124,21 +124,29 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not 0 < gram <= window:
         raise ValueError("gram must be between 1 and window")
     texts = _texts(docs, id_col, text_col)
+    key = ["t1", "t2"]
+    firsts = stage(texts.groupBy(*key).agg(F.min("id").alias("first_id")), "texts")
     seeds = stage(_seeds(texts.filter("id is not null"), window, gram), "anchors")
-    recurring = seeds.groupBy("anchor").agg(
-        *[f(c).alias(f"{n}_{c}") for c in ("t1", "t2") for n, f in (("low", F.min), ("high", F.max))]).filter(
-        "low_t1 <> high_t1 or low_t2 <> high_t2").select("anchor")
-    seeded = seeds.join(recurring, "anchor", "left_semi").groupBy("t1", "t2").agg(F.collect_set("at").alias("ats"))
-    firsts = texts.groupBy("t1", "t2").agg(F.min("id").alias("first_id"))
-    known = stage(firsts.join(seeded, ["t1", "t2"], "left"), "seeded-texts")
-
-    sources = texts.join(known, ["t1", "t2"]).filter("ats is not null and id = first_id")
-    windows = _windows(sources, window, gram)
-    owners = windows.groupBy("w1", "w2").agg(F.min("first_id").alias("owner"), F.max("first_id").alias("last")).filter(
-        "owner < last").select("w1", "w2", "owner")
-    late = windows.join(owners, ["w1", "w2"]).filter("first_id > owner").groupBy("t1", "t2").agg(
-        F.collect_set("start").alias("starts"))
-    judged = texts.join(known.select("t1", "t2", "first_id").join(late, ["t1", "t2"], "left"), ["t1", "t2"])
+    recurring = seeds.groupBy("anchor").agg(F.min("t1").alias("low"), F.max("t1").alias("high")).filter(
+        "low <> high").select("anchor")
+    shared = stage(seeds.join(recurring, "anchor", "left_semi").dropDuplicates([*key, "lo"]).join(firsts, key), "seeds")
+
+    owners = shared.groupBy("anchor", "block").agg(F.min("first_id").alias("owner"))
+    mixed = shared.groupBy("anchor").agg(F.min("block").alias("low"), F.max("block").alias("high")).select(
+        "anchor", (F.col("low") != F.col("high")).alias("mixed"))
+    settled = stage(shared.join(owners, ["anchor", "block"]).join(mixed, "anchor").select(
+        *key, "first_id", F.struct("lo", "hi").alias("range"), (F.col("first_id") > F.col("owner")).alias("late"),
+        "mixed"), "blocks")
+
+    opened = settled.filter("mixed and not late").groupBy(*key, "first_id").agg(F.collect_list("range").alias("ranges"))
+    windows = _windows(texts.join(opened, key).filter("id = first_id"), window)
+    window_owners = windows.groupBy("w1", "w2").agg(
+        F.min("first_id").alias("owner"), F.max("first_id").alias("last")).filter("owner < last").drop("last")
+    late = windows.join(window_owners, ["w1", "w2"]).filter("first_id > owner").select(
+        *key, F.struct(F.col("start").alias("lo"), F.col("start").alias("hi")).alias("range"))
+    ranges = settled.filter("late").select(*key, "range").unionByName(late).groupBy(*key).agg(
+        F.collect_set("range").alias("ranges"))
+    judged = texts.join(firsts.join(ranges, key, "left"), key)
     copy = F.coalesce(F.col("id") > F.col("first_id"), F.lit(False))
-    starts = F.when(F.col("id").isNotNull(), F.col("starts"))
-    return judged.withColumn("cut", _cut(window)("text", copy, starts)).select("id", "cut.*")
+    found = F.when(F.col("id").isNotNull(), F.col("ranges"))
+    return judged.withColumn("cut", _cut(window)("text", copy, found)).select("id", "cut.*")

@@ -43,13 +43,16 @@ def rolling(words: np.ndarray, k: int, odd: int = ODD) -> np.ndarray:
             out *= np.uint64(odd)
             out += words[j: j + n]
         return mixed(out)
-    powers = np.full(len(words), odd, np.uint64)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(words * powers)])
-    back = np.full(n, pow(odd, -1, 1 << 64), np.uint64)  # the multiplier is odd, so it has an inverse
-    back[0] = 1
-    return mixed((sums[k:] - sums[:-k]) * np.multiply.accumulate(back))
+    return spans(words, np.arange(n), np.arange(n) + k, odd)
+
+
+def spans(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, odd: int = ODD) -> np.ndarray:
+    """Hash of every word range, end exclusive, modulo 2^64."""
+    powers, back = (np.full(len(words) + 1, p, np.uint64) for p in (odd, pow(odd, -1, 1 << 64)))
+    powers[0] = back[0] = 1  # the multiplier is odd, so it has an inverse
+    powers, back = np.multiply.accumulate(powers), np.multiply.accumulate(back)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(words * powers[:-1])])
+    return mixed((sums[ends] - sums[starts]) * back[starts])
 
 
 def winnowed(hashes: np.ndarray, window: int) -> np.ndarray:
