@@ -77,7 +77,8 @@ _INTEGERS = [("tinyint", -(2**7), 2**7 - 1), ("smallint", -(2**15), 2**15 - 1),
 
 
 def narrow_types(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """Smallest integer type that fits, float for double; low-cardinality text is reported as categorical (F8).
+    """Smallest integer type that fits, float where no double loses digits; low-cardinality text is reported as categorical
+    (F8).
 
     One aggregation pass. Text needs no cast because Parquet dictionary-encodes it. Returns the frame and the chosen
     type per column.
@@ -89,6 +90,7 @@ def narrow_types(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
         F.count(F.lit(1)).alias("n"),
         *[F.min(c).alias(f"lo_{c}") for c in whole],
         *[F.max(c).alias(f"hi_{c}") for c in whole],
+        *[F.bool_and(F.col(c).eqNullSafe(F.col(c).cast("float").cast("double"))).alias(f"f_{c}") for c in real],
         *[F.approx_count_distinct(c).alias(f"d_{c}") for c in text],
     ).first()
     chosen: dict[str, str] = {}
@@ -97,7 +99,7 @@ def narrow_types(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
         fits = [name for name, a, b in _INTEGERS if lo is not None and a <= lo and hi <= b]
         chosen[c] = fits[0] if fits else "bigint"
     for c in real:
-        chosen[c] = "float"
+        chosen[c] = "float" if row[f"f_{c}"] else "double"
     for c in text:
         chosen[c] = "category" if row["n"] and row[f"d_{c}"] < 0.5 * row["n"] else "string"
     casts = {c: F.col(c).cast(t) for c, t in chosen.items() if t not in ("category", "string")}

@@ -98,17 +98,27 @@ def user_cf_scores(ratings: DataFrame, threshold: float = THRESHOLD, only: DataF
 def weak_user_parts(ratings: DataFrame, threshold: float) -> DataFrame:
     """Negative contributions of neighbours with ``0 < sim <= threshold``.
 
-    A shared item gives a dot product of at least ``min(rating)^2``, so both vector lengths must reach
-    ``min(rating)^2 / (threshold * longest)``; all other users are pruned before the pair join.
+    A shared item gives a dot product of at least the square of the least positive rating, so the lengths of such a pair
+    multiply to at least that square over the threshold. One of both users must then reach the root of this bound: those
+    few are joined with all, and the bound is checked for each pair in the join, before products are summed.
     """
     sizes = ratings.groupBy("user_id").agg(F.sqrt(F.sum(F.col("rating") * F.col("rating"))).alias("length"))
-    longest = scalars(sizes, m=F.max("length"))["m"]
-    least = scalars(ratings, m=F.min("rating"))["m"]
-    long_users = sizes.filter(F.col("length") * longest * threshold >= least * least).select("user_id")
-    few = ratings.join(long_users, "user_id", "left_semi")
-    pairs = mirrored(user_cosine(few).filter(F.col("sim") <= threshold))
-    met = salted_join(
-        few.select(F.col("user_id").alias("j"), "item_id", "rating"), pairs, ["j"])
+    least = scalars(ratings.filter("rating > 0"), m=F.min("rating"))["m"]
+    bound = least * least / threshold * (1 - 1e-9)
+    sized = ratings.select("user_id", "item_id", "rating").join(sizes, "user_id")
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("item_id", F.col("user_id").alias(name), F.col("rating").alias(f"r_{name}"),
+                           F.col("length").alias(f"l_{name}"))
+
+    long_rows = sized.filter(F.col("length") * F.col("length") >= bound)
+    lengths = F.col("l_i") * F.col("l_j")
+    once = (F.col("l_i") * F.col("l_i") < bound) | (F.col("i") < F.col("j"))
+    met = salted_join(side(sized, "i"), side(long_rows, "j"), ["item_id"]).filter(
+        (F.col("i") != F.col("j")) & (lengths >= bound) & once)
+    sims = met.groupBy("i", "j").agg((F.sum(F.col("r_i") * F.col("r_j")) / F.max(lengths)).alias("sim"))
+    pairs = mirrored(sims.filter((F.col("sim") > 0) & (F.col("sim") <= threshold)))
+    met = salted_join(ratings.select(F.col("user_id").alias("j"), "item_id", "rating"), pairs, ["j"])
     return met.groupBy(F.col("i").alias("user_id"), "item_id").agg(
         F.sum(-F.col("sim") * F.col("rating")).alias("num"), F.sum(-F.col("sim")).alias("den"))
 

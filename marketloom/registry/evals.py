@@ -88,18 +88,18 @@ def feature_cf_eval(spark, sf):
 
 
 ITEM_TOP = f"{COS_ITEM}, {cf_sql('iscores', 'cos')}, {ranked('top', 'iscores', 10)}"
-POP = "pop AS (SELECT id AS item_id, ln(1 + market_cap) AS popularity FROM items WHERE total_volume > 500)"
+POP = "pop AS (SELECT id AS item_id, ln(1 + market_cap) AS popularity FROM items)"
 
 
 def popularity(spark, sf):
-    return fx.items(spark, sf).filter("total_volume > 500").select(
+    return fx.items(spark, sf).select(
         F.col("id").alias("item_id"), F.log1p("market_cap").alias("popularity"))
 
 
 @query("diversity", V("ratings items", f"""{ITEM_TOP} SELECT user_id, round(CASE WHEN count(i.id) > 1 THEN count(DISTINCT i.chain)::DOUBLE / count(i.id) ELSE 0 END, 6) AS diversity
-  FROM top LEFT JOIN (SELECT * FROM items WHERE total_volume > 500) i ON i.id = item_id GROUP BY 1"""))
+  FROM top LEFT JOIN items i ON i.id = item_id GROUP BY 1"""))
 def diversity(spark, sf):
-    items = fx.items(spark, sf).filter("total_volume > 500")
+    items = fx.items(spark, sf)
     return ev.diversity(rc.item_cf(materialise(fx.ratings(spark, sf))), items, "chain").withColumn("diversity", r6("diversity"))
 
 

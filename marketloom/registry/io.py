@@ -53,12 +53,12 @@ def write_json(spark, sf):
     return fi.read_json(spark, path, "event_id long, ts string")
 
 
-@query("latest_snapshot", """SELECT p_partkey, p_retailprice * 1.2::DOUBLE AS price, '20240103_000000' AS snapshot_ts FROM part WHERE p_size > 5""")
+@query("latest_snapshot", """SELECT p_partkey, p_retailprice * 1.2::DOUBLE AS price, '20240103_000000' AS snapshot_ts FROM part""")
 def latest_snapshot(spark, sf):
     path = staging_path(spark, "snap")
     part = fx.table(spark, sf, "part")
     for day, factor in (("2024-01-01", 1.0), ("2024-01-03", 1.2), ("2024-01-02", 1.1)):
-        rows = part.filter("p_size > 5").select("p_partkey", (F.col("p_retailprice") * factor).alias("price"))
+        rows = part.select("p_partkey", (F.col("p_retailprice") * factor).alias("price"))
         fi.save_snapshot(rows, path, F.lit(day).cast("timestamp"))
     return fi.latest_snapshot(spark, path)
 
@@ -133,13 +133,13 @@ def upsert_items(spark, sf):
     return st.upsert_items(old, new).select("id", "name", r6("popularity_score"))
 
 
-@query("upsert_prices", V("prices", """new AS (SELECT project_id, "timestamp", price * 2 AS price FROM prices WHERE project_id <> 'view' AND volume > 50)
+@query("upsert_prices", V("prices", """new AS (SELECT project_id, "timestamp", price * 2 AS price FROM prices WHERE project_id <> 'view')
   SELECT project_id, "timestamp", round(price + 1e-9, 6) AS price FROM prices WHERE "timestamp" < TIMESTAMP '2024-01-24' OR project_id = 'view' UNION ALL
   SELECT project_id, "timestamp", round(price + 1e-9, 6) FROM new WHERE "timestamp" >= TIMESTAMP '2024-01-24'"""))
 def upsert_prices(spark, sf):
     prices = fx.prices(spark, sf)
     point = lambda c: F.sort_array(F.collect_list(F.array(F.unix_millis(F.col("timestamp").cast("timestamp")).cast("double"), c)))
-    some = prices.filter((F.col("project_id") != "view") & (F.col("volume") > 50))
+    some = prices.filter(F.col("project_id") != "view")
     charts = some.groupBy("project_id", F.to_date("timestamp").alias("day")).agg(  # one document per series and day
         point(F.col("price") * 2).alias("prices"), point(F.col("volume")).alias("total_volumes"),
         point(F.col("market_cap")).alias("market_caps"))

@@ -233,7 +233,7 @@ def personalize_signals(spark, sf):
         "project_id", "risk_tolerance", "action", "reason", r6("confidence"))
 
 
-@query("technical_recs", V("prices_long brand_items users", f"""{STATE}, {BY_RISK}, lead AS (SELECT id FROM brand_items WHERE current_price > 0 ORDER BY market_cap DESC, id LIMIT 10)
+@query("technical_recs", V("prices_long brand_items users", f"""{STATE}, {BY_RISK}, lead AS (SELECT id FROM brand_items WHERE current_price > 0 ORDER BY market_cap DESC, id LIMIT 50)
   SELECT u.user_id, p.project_id, round(p.confidence * 100, 6) AS score, 'technical' AS recommendation_type, p.action AS action_type,
     round(p.confidence, 6) AS confidence_score, round(p.target_price, 6) AS target_price, p.reason AS explanation,
     TIMESTAMP '2024-06-11 00:00:00' AS expires_at
@@ -241,7 +241,7 @@ def personalize_signals(spark, sf):
 def technical_recs(spark, sf):
     recs = sg.technical_recs(
         fx.prices_long(spark, sf), fx.brand_items(spark, sf), fx.users(spark, sf),
-        F.lit("2024-06-10").cast("timestamp"), top=10)
+        F.lit("2024-06-10").cast("timestamp"))
     return recs.select(
         "user_id", "project_id", r6("score"), "recommendation_type", "action_type", r6("confidence_score"),
         r6("target_price"), "explanation", "expires_at")
