@@ -34,9 +34,14 @@ def obfuscated(value: Column, data_type: T.DataType) -> Column:
 
 
 def noisy(df: DataFrame, column: str, key: list[str], seed: int) -> Column:
-    """Gaussian noise of a tenth of the standard deviation, drawn from row keys so that retries agree."""
+    """Gaussian noise of a tenth of the standard deviation, drawn from digests of the row keys so that retries agree."""
     sd = scalars(df, sd=F.stddev_samp(column))["sd"] * 0.1
-    unit = lambda s: (F.pmod(F.xxhash64(*key, F.lit(s)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+    keys = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]
+
+    def unit(s: int) -> Column:
+        head = F.substring(F.md5(F.concat_ws(":", *keys, F.lit(str(s)))), 1, 10)
+        return (F.conv(head, 16, 10).cast("double") + 1) / float((1 << 40) + 1)
+
     gauss = F.sqrt(-2 * F.log(unit(seed))) * F.cos(2 * F.pi() * unit(seed + 1))
     return F.col(column) + gauss * sd
 

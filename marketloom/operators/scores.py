@@ -77,10 +77,6 @@ def developer_activity(items: DataFrame) -> DataFrame:
     return logged.withColumn("developer_activity_score", score).drop("_dev")
 
 
-def all_scores(items: DataFrame, as_of: Column) -> DataFrame:
-    return developer_activity(maturity(social_engagement(basic_scores(items)), as_of))
-
-
 def stored_scores(items: DataFrame) -> DataFrame:
     """M6: the variant kept with stored items: other popularity weights, social score, short chain and category rule."""
 

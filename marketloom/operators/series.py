@@ -33,7 +33,7 @@ def _decay(span: int) -> float:
 
 
 def positioned(
-    df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] = (), span: str = "month"
+    df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] = (), span: str = "day"
 ) -> DataFrame:
     """Exact row number ``pos`` per series; ``span`` is the calendar bucket numbered in one task."""
     order = [F.col(ts).asc(), *[F.col(t).asc() for t in tie]]

@@ -8,32 +8,31 @@ from pyspark.sql import functions as F
 from marketloom.operators.scale import dense_codes, salted_join, scalars, top_k, with_position
 from marketloom.plans.evaluation import digest
 
-# Primes used as strides of the draw walk.
-STRIDES = [1_000_003, 1_000_033, 1_000_037, 1_000_039, 1_000_081, 1_000_099, 1_000_117, 1_000_121]
+STEP_ROWS = 65_536  # draws of a user that one row expands to at most
 
 
 def negative_samples(ratings: DataFrame, catalog: DataFrame, ratio: int = 4, seed: int = 42) -> DataFrame:
     """Per user ``min(ratio * positives, remaining)`` unseen items, as ``(user_id, item_id, label)`` with label 0.
 
-    Every user walks the numbered catalog from a hashed start with a stride prime to its size, so draws never repeat;
-    ``(ratio + 1) * positives`` steps always contain enough unseen items. Work grows with the positives only.
+    The catalog is numbered in the order of its items' digests, a permutation keyed by ``seed``; every user walks it from
+    a start of its own, so draws never repeat and neighbouring draws are unrelated items. ``(ratio + 1) * positives`` steps
+    always contain enough unseen items. Work grows with the positives only.
     """
-    numbered = dense_codes(catalog.select(F.col("id").alias("item_id")), "item_id", "_no")
+    shuffled = catalog.select(F.col("id").alias("item_id")).distinct().withColumn("_d", digest("item_id", seed=seed))
+    numbered = shuffled.join(dense_codes(shuffled, "_d", "_no"), "_d").drop("_d")
     size_n = catalog.select("id").distinct().count()
     size = F.lit(size_n)
-    strides = [p for p in STRIDES if size_n % p] or [1]
     users = ratings.groupBy("user_id").agg(F.count(F.lit(1)).alias("_pos"))
     steps = F.least(F.col("_pos") * (ratio + 1), size)
-    stride = F.array(*[F.lit(p) for p in strides])[
-        F.pmod(F.xxhash64(F.lit(seed), "user_id"), F.lit(len(strides))).cast("int")]
-    start = F.pmod(F.xxhash64("user_id", F.lit(seed)), size)
-    walk = users.select(
-        "user_id", "_pos", F.explode(F.sequence(F.lit(0), (steps - 1).cast("int"))).alias("_t"), start.alias("_s"),
-        stride.cast("long").alias("_p"),
-    ).withColumn("_no", F.pmod(F.col("_s") + F.col("_t") * F.col("_p"), size))
+    start = F.conv(F.substring(digest("user_id", seed=seed), 1, 12), 16, 10).cast("long") % size
+    parts = users.select("user_id", "_pos", start.alias("_s"), steps.alias("_n"), F.explode(
+        F.sequence(F.lit(0), steps.cast("int") - 1, F.lit(STEP_ROWS))).alias("_from"))
+    walk = parts.select("user_id", "_pos", "_s", F.explode(F.sequence(
+        "_from", F.least(F.col("_from") + STEP_ROWS, F.col("_n").cast("int")) - 1)).alias("_t")).withColumn(
+        "_no", (F.col("_s") + F.col("_t")) % size)
     drawn = salted_join(walk.select("user_id", "_pos", "_t", "_no"), numbered, ["_no"])
     unseen = drawn.join(ratings.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    placed = with_position(unseen, ["user_id"], [F.col("_t")], F.floor(F.col("_t") / 65536), "_k")
+    placed = with_position(unseen, ["user_id"], [F.col("_t")], F.floor(F.col("_t") / STEP_ROWS), "_k")
     return placed.filter(F.col("_k") < ratio * F.col("_pos")).select(
         "user_id", "item_id", F.lit(0.0).alias("label"))
 
@@ -57,16 +56,3 @@ def weighted_sample(candidates: DataFrame, k: int, seed: int = 42) -> DataFrame:
     w = F.greatest(F.col("weight"), F.lit(0.001))
     keyed = candidates.withColumn("key", F.log(uniform_key("user_id", "item_id", seed=seed)) / w)
     return top_k(keyed, ["user_id"], [F.col("key").desc(), F.col("item_id").asc()], k)
-
-
-def persona_weights(items: DataFrame) -> dict[str, Column]:
-    """Draw weights per persona from item scores (fixed rules: value, popularity, volatility or trend times popularity)."""
-    pop = F.coalesce("popularity_score", F.lit(50.0))
-    trend = F.coalesce("trend_score", F.lit(50.0))
-    return {
-        "defi_enthusiast": pop * F.log1p(F.coalesce("market_cap", F.lit(0.0))),
-        "nft_collector": pop,
-        "trader": pop * (1 + F.abs(F.coalesce("price_change_percentage_24h", F.lit(0.0))) / 100),
-        "gamer": pop * trend,
-        "meme_investor": pop * trend,
-    }

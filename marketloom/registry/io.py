@@ -178,14 +178,17 @@ def map_batches(spark, sf):
 # --- streams ------------------------------------------------------------------------------------------------------
 
 
+FILES = 4  # of a slice; a trigger reads one slice
+
+
 def slices(spark, df, n=4):
-    """A folder with ``n`` files in time order, as a stream of arriving files would leave it."""
+    """A folder with ``n`` slices of ``FILES`` files in time order, as a stream of arriving files would leave it."""
     path = staging_path(spark, "in")
     cuts = df.approxQuantile("_t", [i / n for i in range(1, n)], 0.001) if "_t" in df.columns else []
     for i in range(n):
         lo = F.lit(True) if i == 0 else F.col("_t") > cuts[i - 1]
         hi = F.lit(True) if i == n - 1 else F.col("_t") <= cuts[i]
-        df.filter(lo & hi).drop("_t").coalesce(1).write.mode("append").parquet(path)
+        df.filter(lo & hi).drop("_t").repartition(FILES).write.mode("append").parquet(path)
     return path
 
 
@@ -201,7 +204,7 @@ def stream_ratings(spark, sf):
     raw = fx.raw_interactions(spark, sf)
     twice = raw.unionByName(raw.filter("interaction_type = 'view'"))
     path = slices(spark, twice.withColumn("_t", F.unix_millis(F.col("ts").cast("timestamp"))))
-    stream = sj.file_stream(spark, path, raw.schema, 1)
+    stream = sj.file_stream(spark, path, raw.schema, FILES)
     return sj.merged_ratings(run(spark, sj.valid_interactions(stream)))
 
 
@@ -209,7 +212,7 @@ def stream_ratings(spark, sf):
 def stream_dead_letters(spark, sf):
     raw = fx.raw_interactions(spark, sf)
     path = slices(spark, raw.withColumn("_t", F.unix_millis(F.col("ts").cast("timestamp"))))
-    return run(spark, sj.invalid_interactions(sj.file_stream(spark, path, raw.schema, 1))).select(
+    return run(spark, sj.invalid_interactions(sj.file_stream(spark, path, raw.schema, FILES))).select(
         "event_id", "user_id", "item_id", "ts")
 
 
@@ -219,7 +222,7 @@ def stream_dead_letters(spark, sf):
 def stream_price_buckets(spark, sf):
     ticks = fx.table(spark, sf, "events").select(F.col("event_type").alias("project_id"), "ts", "value")
     path = slices(spark, ticks.withColumn("_t", F.unix_millis(F.col("ts").cast("timestamp"))))
-    out = run(spark, sj.price_buckets(sj.file_stream(spark, path, ticks.schema, 1)))
+    out = run(spark, sj.price_buckets(sj.file_stream(spark, path, ticks.schema, FILES)))
     return out.select(
         "project_id", "window_start", "window_end", r6(F.col("price") + 1e-9, "price"), r6("volume"), "n")
 
@@ -237,7 +240,7 @@ def stream_price_alerts(spark, sf):
         (F.col("p_retailprice") * F.when(k % 2 == 0, 45).otherwise(12)).alias("target_price"))
     bars = fx.prices_long(spark, sf).select("project_id", "timestamp", "price")
     path = slices(spark, bars.withColumn("_t", F.unix_millis(F.col("timestamp").cast("timestamp"))))
-    hits = sj.alert_hits(sj.file_stream(spark, path, bars.schema, 1), alerts)
+    hits = sj.alert_hits(sj.file_stream(spark, path, bars.schema, FILES), alerts)
     return run(spark, sj.fire_once(hits)).select("alert_id", "project_id", "timestamp")
 
 
@@ -247,5 +250,5 @@ def stream_price_alerts(spark, sf):
 def stream_events(spark, sf):
     bars = fx.prices_long(spark, sf).select("project_id", "timestamp", "price")
     path = slices(spark, bars.withColumn("_t", F.unix_millis(F.col("timestamp").cast("timestamp"))))
-    return run(spark, sj.pump_dump(sj.file_stream(spark, path, bars.schema, 1))).select(
+    return run(spark, sj.pump_dump(sj.file_stream(spark, path, bars.schema, FILES))).select(
         "project_id", "timestamp", "pump", "dump")

@@ -232,7 +232,13 @@ def weighted_sample(spark, sf):
         "user_id", "item_id", F.round("key", 9).alias("key"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("negative_sampling")
+@query("negative_sampling", V("ratings_large", """n AS (SELECT p_partkey AS item_id,
+    row_number() OVER (ORDER BY md5(p_partkey || ':42')) - 1 AS no, count(*) OVER () AS size FROM part),
+  u AS (SELECT user_id, count(*) AS pos, CAST('0x' || substr(md5(user_id || ':42'), 1, 12) AS BIGINT) AS h FROM ratings_large GROUP BY 1),
+  w AS (SELECT user_id, item_id, pos, (no - h % size + size) % size AS t FROM u, n WHERE (no - h % size + size) % size < least(pos * 5, size)),
+  left_over AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS k FROM w ANTI JOIN ratings_large USING (user_id, item_id))
+  SELECT user_id, item_id, 0.0::DOUBLE AS label FROM left_over WHERE k < 4 * pos
+  UNION ALL SELECT user_id, item_id, rating / 5 FROM ratings_large"""))
 def negative_sampling(spark, sf):
     ratings = materialise(fx.ratings_large(spark, sf))
     return sa.training_samples(ratings, fx.table(spark, sf, "part").select(F.col("p_partkey").alias("id")))

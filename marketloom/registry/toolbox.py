@@ -532,10 +532,14 @@ def anonymize(spark, sf):
     return reduce(lambda d, s: pv.anonymize(d, s[0], s[1], salt="pepper"), steps, c)
 
 
-@query("anonymize_noise")
+@query("anonymize_noise", """WITH s AS (SELECT stddev_samp(c_acctbal) * 0.1::DOUBLE AS sd FROM customer),
+  u AS (SELECT c_custkey, c_acctbal, (CAST('0x' || substr(md5(c_custkey || ':42'), 1, 10) AS BIGINT) + 1)::DOUBLE / 1099511627777 AS a,
+    (CAST('0x' || substr(md5(c_custkey || ':43'), 1, 10) AS BIGINT) + 1)::DOUBLE / 1099511627777 AS b FROM customer)
+  SELECT c_custkey, c_acctbal, round(c_acctbal + sqrt(-2 * ln(a)) * cos(2 * pi() * b) * sd, 6) AS c_acctbal_anon FROM u, s""")
 def anonymize_noise(spark, sf):
     c = fx.table(spark, sf, "customer").select("c_custkey", "c_acctbal")
-    return pv.anonymize(c, "c_acctbal", "noise", keep_original=True, key=["c_custkey"], seed=42)
+    noise = pv.anonymize(c, "c_acctbal", "noise", keep_original=True, key=["c_custkey"], seed=42)
+    return noise.withColumn("c_acctbal_anon", r6("c_acctbal_anon"))
 
 
 # --- cleaning, scaling, encoding ----------------------------------------------------------------------------------

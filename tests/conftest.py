@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -10,6 +11,6 @@ from marketloom.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[8]", 8)
+    session = build_session("local[8]", 8, spark__checkpoint__dir=tempfile.mkdtemp(prefix="marketloom-tests-"))
     yield session
     session.stop()
