@@ -89,3 +89,32 @@ def test_pages_keep_the_first_row_by_order(spark):
     other = spark.createDataFrame([("x", "never", 0), ("z", "new", 5)], "id string, v string, n int")
     out = stores.combine_pages([page.repartition(4), other], order=["n"]).collect()
     assert {(r.id, r.v) for r in out} == {("x", "early"), ("y", "a"), ("z", "new")}
+
+
+def test_weak_neighbours_are_found_by_the_bound_of_each_pair(spark):
+    import math
+    import random
+    from collections import defaultdict
+
+    from marketloom.plans.recommend import weak_user_parts
+
+    rng = random.Random(4)
+    rows = {(u, i): float(rng.randrange(1, 6)) for u in range(25) for i in rng.sample(range(4000), 6)}
+    rows |= {(100, i): 5.0 for i in range(4000)} | {(101, i): 3.0 for i in range(0, 4000, 3)} | {(7, 1): 0.0}
+    frame = spark.createDataFrame([(u, i, r) for (u, i), r in rows.items()], "user_id long, item_id long, rating double")
+    by_user = defaultdict(dict)
+    for (u, i), r in rows.items():
+        by_user[u][i] = r
+    length = {u: math.sqrt(sum(r * r for r in m.values())) for u, m in by_user.items()}
+    want = defaultdict(lambda: [0.0, 0.0])
+    for u in by_user:
+        for v in by_user:
+            dot = sum(r * by_user[v].get(i, 0.0) for i, r in by_user[u].items())
+            sim = dot / (length[u] * length[v])
+            if u != v and 0 < sim <= 0.1:
+                for i, r in by_user[v].items():
+                    want[u, i][0] -= sim * r
+                    want[u, i][1] -= sim
+    got = {(r.user_id, r.item_id): (r.num, r.den) for r in weak_user_parts(frame, 0.1).collect()}
+    assert want and got.keys() == want.keys()
+    assert all(abs(got[k][0] - want[k][0]) < 1e-9 and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)

@@ -6,7 +6,7 @@ from oracle import compare, duck
 from marketloom import registry
 
 registry.load()
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +17,8 @@ def con():
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, con, name):
     ok, message = compare(spark, SF, name, con)
+    if message.startswith("0 rows equal"):  # no rows prove nothing
+        ok, message = compare(spark, LARGER, name)
     assert ok, message
 
 
