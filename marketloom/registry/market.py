@@ -215,6 +215,28 @@ def trading_signals(spark, sf):
         "ma_label", "rsi_label", "macd_label", "volume_label", "momentum_label")
 
 
+# Item facts of a brand from its number: no maturity for every fifth one, a wild day above 20 %.
+INFO = """info AS (SELECT id AS project_id, CASE WHEN n % 5 <> 0 THEN n * 3 END AS maturity_score, n - 3 AS price_change_percentage_24h
+  FROM (SELECT id, CAST(regexp_replace(id, '[^0-9]', '', 'g') AS DOUBLE) AS n FROM brand_items))"""
+
+
+@query("signal_confidence", V("prices_long brand_items", f"""{STATE}, {INFO}, v AS (
+    SELECT s.*, i.price_change_percentage_24h AS pct, CASE WHEN maturity_score IS NULL THEN base ELSE least(0.95::DOUBLE, base + maturity_score / 200) END AS c
+    FROM (SELECT *, 0.3::DOUBLE + 0.4::DOUBLE * (CASE WHEN action = 'buy' THEN
+          CAST(ma_label = 'bullish' AS INT) + CAST(rsi_label = 'oversold' AS INT) + CAST(macd_label = 'bullish' AS INT)
+          + CAST(spike AS INT) + CAST(momentum_label = 'positive' AS INT)
+        ELSE CAST(ma_label = 'bearish' AS INT) + CAST(rsi_label = 'overbought' AS INT) + CAST(macd_label = 'bearish' AS INT)
+          + CAST(spike AS INT) + CAST(momentum_label = 'negative' AS INT) END) / 5 AS base FROM lb) s LEFT JOIN info i USING (project_id))
+  SELECT project_id, action, CASE WHEN action = 'hold' THEN 0.5::DOUBLE
+    ELSE round(CASE WHEN abs(pct) > 20 THEN greatest(0.05::DOUBLE, c - 0.1::DOUBLE) ELSE c END, 2) END AS confidence FROM v""", recursive=True))
+def signal_confidence(spark, sf):
+    number = F.regexp_replace("id", "[^0-9]", "").cast("double")
+    info = fx.brand_items(spark, sf).select(
+        F.col("id").alias("project_id"), F.when(number % 5 != 0, number * 3).alias("maturity_score"),
+        (number - 3).alias("price_change_percentage_24h"))
+    return sg.trading_signals(fx.prices_long(spark, sf), info).select("project_id", "action", r6("confidence"))
+
+
 BY_RISK = """risks AS (SELECT s.*, r AS risk FROM signals s, (SELECT unnest(['low', 'medium', 'high']) AS r)),
   personal AS (SELECT project_id, risk, target_price,
     CASE WHEN risk = 'low' AND action = 'buy' AND confidence < 0.7 THEN 'hold'

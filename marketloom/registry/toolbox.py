@@ -331,6 +331,19 @@ def history_buckets_1d(spark, sf):
     return h.select("project_id", "timestamp", r6(F.col("price") + 1e-9, "price"), r6("volume"), r6("market_cap"))
 
 
+@query("history_buckets_1w", history_sql("""SELECT project_id, date_trunc('week', "timestamp") AS "timestamp", avg(price) AS price,
+    sum(volume) AS volume, max(market_cap) AS market_cap FROM prices GROUP BY 1, 2""", 168))
+def history_buckets_1w(spark, sf):
+    h = ag.history_buckets(fx.prices(spark, sf), "1w", "7d")
+    return h.select("project_id", "timestamp", r6(F.col("price") + 1e-9, "price"), r6("volume"), r6("market_cap"))
+
+
+@query("history_buckets_1h", history_sql("SELECT * FROM prices", 1_000_000_000))
+def history_buckets_1h(spark, sf):
+    h = ag.history_buckets(fx.prices(spark, sf), "1h", "all")
+    return h.select("project_id", "timestamp", r6(F.col("price") + 1e-9, "price"), r6("volume"), r6("market_cap"))
+
+
 @query("category_counts", V("items", "SELECT primary_category, count(*) AS n FROM items WHERE primary_category IS NOT NULL AND primary_category <> 'unknown' GROUP BY 1"))
 def category_counts(spark, sf):
     return ag.name_counts(fx.items(spark, sf), "primary_category")
