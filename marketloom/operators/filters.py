@@ -99,9 +99,20 @@ def catalog_query(
 
 
 def item_lookup(items: DataFrame, item_id) -> DataFrame:
+    """The row of one item; the filter reaches the scan."""
     return items.filter(F.col("id") == F.lit(item_id))
 
 
+def item_with_similar(items: DataFrame, similar: DataFrame, item_id, k: int = 5) -> DataFrame:
+    """An item with its ``k`` most similar ones, one row for each; a single row without partners if there are none.
+
+    ``similar`` is a neighbour table (``i``, ``j``, ``name``, ``sim``, ``rank``); only the item's rows are read from it.
+    """
+    mine = similar.filter((F.col("i") == F.lit(item_id)) & (F.col("rank") <= k)).select(
+        F.col("i").alias("_i"), F.col("j").alias("similar_id"), F.col("name").alias("similar_name"), "sim", "rank")
+    return item_lookup(items, item_id).join(mine, F.col("id") == F.col("_i"), "left").drop("_i")
+
+
 def user_history(
     interactions: DataFrame, items: DataFrame, user_id, limit: int = 50, offset: int = 0
 ) -> DataFrame:

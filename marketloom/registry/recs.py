@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from marketloom import fixtures as fx
+from marketloom.operators import filters as fl
 from marketloom.operators.scale import top_scored
 from marketloom.operators.scores import basic_scores
 from marketloom.plans import recommend as rc
@@ -164,6 +165,17 @@ def similar_items(spark, sf):
         "rank", F.col("rank").cast("long"))
 
 
+@query("item_lookup_similar", with_views(
+    "items", f"{NUMERIC}, ws AS (SELECT a.id AS i, b.id AS j, {FEAT} AS sim FROM vec a JOIN vec b ON a.id = 42 AND b.id <> 42), "
+    """nb AS (SELECT *, row_number() OVER (ORDER BY round(sim, 8) DESC, j) AS rank FROM ws)
+       SELECT a.id, a.name, a.current_price, j AS similar_id, b.name AS similar_name, round(sim, 6) AS sim, rank
+       FROM items a, nb JOIN items b ON b.id = j WHERE a.id = 42 AND rank <= 5"""))
+def item_lookup_similar(spark, sf):
+    items = materialise(fx.items(spark, sf))
+    found = fl.item_with_similar(items, sm.similar_items(items, 5), 42)
+    return found.select("id", "name", "current_price", "similar_id", "similar_name", r6("sim"), F.col("rank").cast("long"))
+
+
 @query("enhanced_sim", with_views("ratings items", f"{COS_ITEM}, {NUMERIC}, {ENHANCED}, " + neighbours_sql("esim", 10)))
 def enhanced_sim(spark, sf):
     ratings, items = materialise(fx.ratings(spark, sf)), fx.items(spark, sf)
