@@ -77,10 +77,11 @@ def catalog_query(
     items: DataFrame, category: str | None = None, chain: str | None = None, search: str | None = None,
     sort_by: str = "popularity_score", descending: bool = True, limit: int = 50, offset: int = 0,
 ) -> DataFrame:
-    """One page of the catalog with ``total`` and ``has_more`` on every row."""
+    """One page of the catalog with ``total`` and ``has_more`` on every row; a page has at most ``PAGE_LIMIT`` rows."""
+    if not 0 <= limit <= PAGE_LIMIT or offset < 0:
+        raise ValueError(f"limit must be between 0 and {PAGE_LIMIT}, offset at least 0")
     if sort_by not in SORT_COLUMNS:
         raise ValueError(f"sort_by must be one of {SORT_COLUMNS}")
-    limit = min(limit, PAGE_LIMIT)
     found = items
     if category:
         found = found.filter(

@@ -15,10 +15,13 @@ STORED_SIMILARITY = 0.1
 
 
 def save_matrices(path: str, **tables: DataFrame) -> None:
-    """Long ratings and similarity tables, clustered by their first id for later joins (IO8)."""
+    """Long ratings and similarity tables, clustered by their first id for later joins (IO8).
+
+    Ranges run over the first two columns, so an id with very many rows is spread over several files.
+    """
     for name, df in tables.items():
         key = df.columns[0]
-        df.repartition(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/{name}")
+        df.repartitionByRange(*df.columns[:2]).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load_matrices(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
