@@ -192,7 +192,10 @@ def slices(spark, df, n=4):
     return path
 
 
-def run(spark, df):
+def run(spark, df, state="memory"):
+    """Run a stream to its end and read what it wrote; ``state='rocksdb'`` keeps large state on disk."""
+    if state == "rocksdb":
+        sj.use_rocksdb(spark)
     out = staging_path(spark, "out")
     q = sj.to_files(df, out, staging_path(spark, "cp"))
     q.awaitTermination()
@@ -241,7 +244,7 @@ def stream_price_alerts(spark, sf):
     bars = fx.prices_long(spark, sf).select("project_id", "timestamp", "price")
     path = slices(spark, bars.withColumn("_t", F.unix_millis(F.col("timestamp").cast("timestamp"))))
     hits = sj.alert_hits(sj.file_stream(spark, path, bars.schema, FILES), alerts)
-    return run(spark, sj.fire_once(hits)).select("alert_id", "project_id", "timestamp")
+    return run(spark, sj.fire_once(hits), "rocksdb").select("alert_id", "project_id", "timestamp")
 
 
 @query("stream_events", V("prices_long", f"""p AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY "timestamp") AS pos FROM prices_long)
@@ -250,5 +253,5 @@ def stream_price_alerts(spark, sf):
 def stream_events(spark, sf):
     bars = fx.prices_long(spark, sf).select("project_id", "timestamp", "price")
     path = slices(spark, bars.withColumn("_t", F.unix_millis(F.col("timestamp").cast("timestamp"))))
-    return run(spark, sj.pump_dump(sj.file_stream(spark, path, bars.schema, FILES))).select(
+    return run(spark, sj.pump_dump(sj.file_stream(spark, path, bars.schema, FILES)), "rocksdb").select(
         "project_id", "timestamp", "pump", "dump")
