@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import worker_cache
 
 SPACE = "▁"
-KEPT_SEGMENTS = 400_000  # remembered segments of a worker; a full memory is emptied, which costs time only
+KEPT_SEGMENTS = 120_000  # remembered segments of a worker; a full memory is emptied, which costs time only
 LONGEST_KEPT = 40  # characters
-CHUNK = 2_000_000  # characters of the texts that are cut at a time
+CHUNK = 1_000_000  # characters of the texts that are cut at a time
+ROWS = 500  # texts that are held as Python objects at a time
 NEVER = 1 << 30
 
 
@@ -220,11 +221,15 @@ def encoded(text: Column, model: bytes, check: bool = True) -> Column:
     @F.arrow_udf("struct<ids binary, decoded string>")
     def encode(texts: pa.Array) -> pa.Array:
         own = piece_model(model)
-        ids, back = [], []
-        for packed in own.encode([t or "" for t in texts.to_pylist()], check):
-            ids.append(packed)
-            back.append(own.library.decode(array("I", packed).tolist()))
-        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(back, pa.string())], fields=list(kind))
+        parts = []
+        for at in range(0, len(texts), ROWS):  # Arrow buffers are smaller than Python objects
+            ids, back = [], []
+            for packed in own.encode([t or "" for t in texts.slice(at, ROWS).to_pylist()], check):
+                ids.append(packed)
+                back.append(own.library.decode(array("I", packed).tolist()))
+            parts.append(pa.StructArray.from_arrays(
+                [pa.array(ids, pa.binary()), pa.array(back, pa.string())], fields=list(kind)))
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return encode(text)
 

@@ -22,7 +22,7 @@ from marketloom.llm.common import worker_cache
 from marketloom.llm.pieces import SPACE, segment_finder
 
 UNKNOWN_PENALTY = 10.0
-KEPT_SEGMENTS = 1_000_000
+KEPT_SEGMENTS = 200_000
 LONGEST_KEPT = 40
 
 

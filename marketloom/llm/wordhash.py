@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 ODD, OTHER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03  # odd multipliers; use both for 128 bits
-KEPT_WORDS = 1_000_000  # remembered word hashes of a worker; a full memory is emptied, which costs time only
+KEPT_WORDS = 200_000  # remembered word hashes of a worker; a full memory is emptied, which costs time only
 
 
 class WordHashes(dict):
