@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import map_columns, worker_cache
+from marketloom.llm.common import map_columns, stage, worker_cache
 from marketloom.llm.wordhash import WordHashes, rolling, winnowed
 
 WINDOW, GRAM = 13, 5
@@ -146,8 +146,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
     pairs = train.join(test.select(F.col("key").alias("item"), "length", "print", F.col("at").alias("of")),
                        ["length", "print"]).select("key", "item", "at", "of").distinct()
     by_item = pairs.groupBy("key", "item").agg(F.collect_list(F.struct("at", "of")).alias("pairs"))
-    by_text = by_item.join(items.select(F.col("key").alias("item"), "text", "ids"), "item").groupBy("key").agg(
-        F.collect_list(F.struct(F.col("text").cast("binary").alias("text"), "ids", "pairs")).alias("_loom_items"))
+    by_text = stage(by_item.join(items.select(F.col("key").alias("item"), "text", "ids"), "item").groupBy("key").agg(
+        F.collect_list(F.struct(F.col("text").cast("binary").alias("text"), "ids", "pairs")).alias("_loom_items")), "overlaps")
+    # a plain stored table: Spark can then split the documents that repeat one text very often
     joined = docs.withColumn("_loom_key", _digest(F.col(text_col).cast("string"))).join(
         by_text.withColumnRenamed("key", "_loom_key"), "_loom_key", "left")
     return joined, _found(window)(F.col(text_col).cast("string").cast("binary"), F.col("_loom_items"))
