@@ -129,15 +129,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first_id", F.coalesce("label", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = rooted.join(least, "root").select("fp", "component_id")
+    # stored as a plain table: Spark can split the rows of a fingerprint with very many copies only if both sides are plain
+    by_fp = stage(rooted.join(least, "root").select("fp", "component_id"), "fingerprint-components")
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of every group of near-duplicates, the one with the smallest id.
 
-    Keeps all columns. Rows that repeat the kept id stay; rows without id stay only if their whole group has none.
+    Keeps all columns. Rows that repeat the kept id stay; so do rows without id, as nothing names them.
     """
     found = near_duplicates(docs, id_col, text_col)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_loom_kept"))
+    kept = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(
+        F.col("doc_id").alias("_loom_kept"))
     return docs.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col("_loom_kept")), "left_semi")
