@@ -27,8 +27,9 @@ SWITCH = 14.0
 MAX_PER_LANGUAGE = 4_000  # texts a language is learned from (expected number of a hash sample)
 RARE_SCRIPT = 0.01  # a language has a script if this part of its words are written in it
 UNKNOWN = "und"
-KEPT_WORDS = 300_000
-CHUNK = 1 << 24  # cells (words times languages) of one Viterbi pass
+KEPT_WORDS = 150_000
+CHUNK = 1 << 22  # cells (words times languages) of one Viterbi pass
+HELD_WORDS = 100_000  # words held as strings at a time
 WORD = re.compile(r"[^\W\d_]+")
 #: First code points of the ranges that tell scripts apart, with the script that starts there (fixed values of Unicode).
 SCRIPTS = [
@@ -83,19 +84,23 @@ class LanguageModel:
                 scores[n, ~named] = -np.inf
         return np.where(np.isneginf(scores), -1e6, scores).astype(np.float32)
 
-    def paths(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Language number of every word of every text."""
+    def fresh_memory(self) -> dict:
+        """Words seen by this worker with their scores and lengths; emptied here, and only here, when it is full."""
         memory = worker_cache("word languages")
         if memory.get("of") is not self.table or len(memory["row"]) > KEPT_WORDS:
-            memory.update({"of": self.table, "row": {}, "scores": np.empty((0, len(self.languages)), np.float32)})
+            memory.update({"of": self.table, "row": {}, "scores": np.empty((0, len(self.languages)), np.float32),
+                           "lengths": np.empty(0, np.int32)})
+        return memory
+
+    def codes(self, texts: list[list[str]], memory: dict) -> list[np.ndarray]:
+        """The words of each text as rows of the memory."""
         row = memory["row"]
         new = list({w for words in texts for w in words if w not in row})
         if new:
             memory["scores"] = np.concatenate([memory["scores"], self.word_scores(new)])
+            memory["lengths"] = np.concatenate([memory["lengths"], np.fromiter(map(len, new), np.int32, len(new))])
             row.update(zip(new, range(len(row), len(row) + len(new))))
-        scores = memory["scores"]
-        codes = [np.fromiter(map(row.__getitem__, words), np.int64, len(words)) for words in texts]
-        return best_paths(codes, scores, self.switch)
+        return [np.fromiter(map(row.__getitem__, words), np.int32, len(words)) for words in texts]
 
 
 def best_paths(codes: list[np.ndarray], scores: np.ndarray, switch: float) -> list[np.ndarray]:
@@ -190,23 +195,33 @@ def labelled(text: Column, model: LanguageModel, spans: bool = False) -> Column:
 
     @F.arrow_udf("struct<lang string, score double, spans array<struct<start bigint, `end` bigint, lang string>>>")
     def label(texts: pa.Array) -> pa.Array:
-        out, chunk, size = [], [], 0
+        out: list[dict] = []
+        memory = model.fresh_memory() if model.languages else {}
+        held, codes, words, n_words, cells = [], [], [], 0, 0
         for text in texts.to_pylist():
-            words = WORD.findall((text or "").lower()) if model.languages else []
-            chunk.append((text, words))
-            size += len(words) * max(1, len(model.languages))
-            if size >= CHUNK:
-                out += judged(chunk)
-                chunk, size = [], 0
-        return pa.array(out + judged(chunk), kind)
-
-    def judged(chunk: list) -> list[dict]:
+            held.append(text)
+            words.append(WORD.findall((text or "").lower()) if model.languages else [])
+            n_words += len(words[-1])
+            cells += len(words[-1]) * len(model.languages)
+            if n_words >= HELD_WORDS:  # strings are much larger than codes
+                codes += model.codes(words, memory)
+                words, n_words = [], 0
+            if cells >= CHUNK:
+                out += judged(held, codes + model.codes(words, memory), memory)
+                memory = model.fresh_memory()
+                held, codes, words, n_words, cells = [], [], [], 0, 0
+        if model.languages:
+            codes += model.codes(words, memory)
+        return pa.array(out + judged(held, codes, memory), kind)
+
+    def judged(texts: list, codes: list, memory: dict) -> list[dict]:
         out = []
-        for (text, words), path in zip(chunk, model.paths([w for _, w in chunk]) if model.languages else [()] * len(chunk)):
+        found = best_paths(codes, memory["scores"], model.switch) if model.languages else [()] * len(texts)
+        for n, (text, path) in enumerate(zip(texts, found)):
             if not len(path):
                 out.append({"lang": UNKNOWN, "score": 0.0, "spans": [] if spans else None})
                 continue
-            letters = np.bincount(path, np.fromiter(map(len, words), np.int64, len(words)), len(model.languages))
+            letters = np.bincount(path, memory["lengths"][codes[n]], len(model.languages))
             best = int(letters.argmax())
             out.append({"lang": model.languages[best], "score": float(letters[best] / letters.sum()),
                         "spans": cut(text, path) if spans else None})
