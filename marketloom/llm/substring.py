@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import map_columns, stage, worker_cache
@@ -30,13 +30,11 @@ WINDOW, GRAM = 50, 10
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``text`` and the text's key ``t1``, ``t2`` (128 bits)."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("text")).withColumns(_key(F.col("text")))
-
-
-def _key(text: Column) -> dict[str, Column]:
-    return {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)}
+    """``id``, ``text``, the text's key ``t1``, ``t2`` (128 bits), and ``row`` (hash of id and text key, never null)."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    keyed = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumns(
+        {"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
+    return keyed.withColumn("row", F.xxhash64("id", "t1", "t2"))
 
 
 def _hashes(text: bytes) -> np.ndarray:
@@ -124,29 +122,33 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not 0 < gram <= window:
         raise ValueError("gram must be between 1 and window")
     texts = _texts(docs, id_col, text_col)
-    key = ["t1", "t2"]
-    firsts = stage(texts.groupBy(*key).agg(F.min("id").alias("first_id")), "texts")
+    # Whatever may hold a hot key (an anchor, a text with many copies) is joined as a plain stored table, which leaves Spark
+    # free to split the key's rows over several tasks; it can't do that above a grouping. Whole texts are only moved by
+    # ``own``, the row's id and text together, which has no hot values; both joins of texts share that exchange.
+    key, own = ["t1", "t2"], ["row", "t1", "t2"]
+    firsts = stage(texts.groupBy(*key).agg(F.min("id").alias("first_id")), "first-ids")
+    rows = stage(texts.select("id", *own).distinct().join(firsts, key), "rows")
+    reps = rows.filter("id = first_id").select(*own, "first_id")
     seeds = stage(_seeds(texts.filter("id is not null"), window, gram), "anchors")
-    recurring = seeds.groupBy("anchor").agg(F.min("t1").alias("low"), F.max("t1").alias("high")).filter(
-        "low <> high").select("anchor")
+    recurring = stage(seeds.groupBy("anchor").agg(F.min("t1").alias("low"), F.max("t1").alias("high")).filter(
+        "low <> high").select("anchor"), "recurring-anchors")
     shared = stage(seeds.join(recurring, "anchor", "left_semi").dropDuplicates([*key, "lo"]).join(firsts, key), "seeds")
 
-    owners = shared.groupBy("anchor", "block").agg(F.min("first_id").alias("owner"))
-    mixed = shared.groupBy("anchor").agg(F.min("block").alias("low"), F.max("block").alias("high")).select(
-        "anchor", (F.col("low") != F.col("high")).alias("mixed"))
+    owners = stage(shared.groupBy("anchor", "block").agg(F.min("first_id").alias("owner")), "block-owners")
+    mixed = stage(owners.groupBy("anchor").agg(F.min("block").alias("low"), F.max("block").alias("high")).select(
+        "anchor", (F.col("low") != F.col("high")).alias("mixed")), "mixed-anchors")
     settled = stage(shared.join(owners, ["anchor", "block"]).join(mixed, "anchor").select(
         *key, "first_id", F.struct("lo", "hi").alias("range"), (F.col("first_id") > F.col("owner")).alias("late"),
         "mixed"), "blocks")
 
-    opened = settled.filter("mixed and not late").groupBy(*key, "first_id").agg(F.collect_list("range").alias("ranges"))
-    windows = _windows(texts.join(opened, key).filter("id = first_id"), window)
+    opened = settled.filter("mixed and not late").groupBy(*key).agg(F.collect_list("range").alias("ranges")).join(reps, key)
+    windows = _windows(texts.join(opened, own), window)
     window_owners = windows.groupBy("w1", "w2").agg(
         F.min("first_id").alias("owner"), F.max("first_id").alias("last")).filter("owner < last").drop("last")
     late = windows.join(window_owners, ["w1", "w2"]).filter("first_id > owner").select(
         *key, F.struct(F.col("start").alias("lo"), F.col("start").alias("hi")).alias("range"))
     ranges = settled.filter("late").select(*key, "range").unionByName(late).groupBy(*key).agg(
-        F.collect_set("range").alias("ranges"))
-    judged = texts.join(firsts.join(ranges, key, "left"), key)
-    copy = F.coalesce(F.col("id") > F.col("first_id"), F.lit(False))
-    found = F.when(F.col("id").isNotNull(), F.col("ranges"))
-    return judged.withColumn("cut", _cut(window)("text", copy, found)).select("id", "cut.*")
+        F.collect_set("range").alias("ranges")).join(reps, key).select(*own, "ranges")
+    verdicts = rows.select(*own, F.coalesce(F.col("id") > F.col("first_id"), F.lit(False)).alias("copy")).join(
+        ranges, own, "left")
+    return texts.join(verdicts, own).withColumn("cut", _cut(window)("text", "copy", "ranges")).select("id", "cut.*")
