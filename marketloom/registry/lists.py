@@ -254,7 +254,6 @@ def latent_topn(spark, sf):
 def latent_rerank(spark, sf):
     ratings = materialise(fx.ratings(spark, sf))
     catalog = fx.table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
-    rated = catalog.join(ratings.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi")
-    model = la.fit_factors(ratings, rank=8, iterations=5)
-    classifier = la.fit_reranker(ratings, rated, model, hidden=(32, 16), iterations=30)
-    return show(la.rerank(la.recommend(model, ratings, 50), model, classifier, 10))
+    model = la.fit_factors(ratings)
+    classifier = la.fit_reranker(ratings, catalog, model)
+    return show(la.rerank_all(ratings, catalog, model, classifier, 10))
