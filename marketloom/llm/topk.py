@@ -56,7 +56,7 @@ def walk(query: np.ndarray, points: np.ndarray, order: np.ndarray, k: int, own:
         rows = np.flatnonzero(met & ~seen)
         seen[rows] = True
         best, scores = np.concatenate([best, rows]), np.concatenate([scores, points[rows] @ query])
-        if len(best) > k:
+        if len(best) >= k:
             top = np.lexsort((best, -scores))[:k]
             best, scores = best[top], scores[top]
         at, depth = end, end * 2

@@ -64,3 +64,16 @@ def test_the_walk_stops_early_and_stays_exact():
 def test_empty(spark):
     none = topk.scaled(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.nearest(none, none).count() == 0
+
+
+@pytest.mark.parametrize("k", [15, 16, 20])
+def test_the_walk_is_exact_when_a_step_meets_just_k_rows(k):
+    for seed in range(300):
+        rng = np.random.default_rng(seed)
+        points = np.floor(rng.normal(size=(60, 1)) * 4 + rng.normal(size=(60, 2)) * 2)
+        order = np.argsort(points, axis=0, kind="stable")
+        for own in (-1, 7):
+            rows, scores = topk.walk(np.array([3.0, 2.0]), points, order, k, own)
+            every = points @ np.array([3.0, 2.0])
+            best = [i for i in np.lexsort((np.arange(60), -every)) if i != own][:k]
+            assert rows.tolist() == best and scores.tolist() == every[best].tolist()
