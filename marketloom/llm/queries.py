@@ -34,7 +34,7 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op2_topk(spark: SparkSession, sf: str) -> DataFrame:
-    points = topk.scaled(table(spark, sf, "embeddings"))
+    points = topk.scaled(table(spark, sf, "embeddings"), unique=False)
     return topk.nearest(points, points.filter("id % 100 = 0"), 10)
 
 

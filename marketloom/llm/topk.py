@@ -23,29 +23,31 @@ FIRST_DEPTH = 16
 EXACT = float(1 << 53)
 
 
-def scaled(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", factor: int = 1024) -> DataFrame:
+def scaled(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", factor: int = 1024,
+           unique: bool = True) -> DataFrame:
     """``id`` and ``v``: every component x becomes floor(factor * x), computed in double precision.
 
     Rows with a null id, a null vector, or a null or non-finite component take no part. Of rows that repeat an id the
-    smallest vector stays.
+    smallest vector stays; without ``unique`` every row stays.
     """
     v = F.col("v").cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     kept = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter(
         F.col("id").isNotNull() & F.col("v").isNotNull() & finite)
     whole = kept.select("id", F.transform(v, lambda x: F.floor(x * F.lit(float(factor))).cast("double")).alias("v"))
-    return whole.groupBy("id").agg(F.min("v").alias("v"))
+    return whole.groupBy("id").agg(F.min("v").alias("v")) if unique else whole
 
 
-def walk(query: np.ndarray, points: np.ndarray, order: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
+def walk(query: np.ndarray, points: np.ndarray, order: np.ndarray, k: int, own: int,
+         copies: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Rows and scores of the best k points for one query; ``order`` holds one ascending list per dimension (column),
-    rows of ``points`` ascend by id, ``own`` is the query's own row or -1."""
+    rows of ``points`` ascend by id, ``own`` is the first of the ``copies`` rows with the query's id or -1."""
     n = len(points)
     live = np.flatnonzero(query)
     down = query[live] > 0
     seen = np.zeros(n, bool)
     if own >= 0:
-        seen[own] = True
+        seen[own: own + copies] = True
     best, scores = np.empty(0, np.int64), np.empty(0, points.dtype)
     at, depth = 0, FIRST_DEPTH
     while at < n:
@@ -88,7 +90,8 @@ def _cell(k: int):
             order = np.argsort(c, axis=0, kind="stable")
             place = np.searchsorted(c_ids, q_ids)
             own = np.where((place < len(c_ids)) & (c_ids[np.minimum(place, len(c_ids) - 1)] == q_ids), place, -1)
-            found = [(i, *walk(v, c, order, k, o)) for i, v, o in zip(q_ids, q, own)]
+            copies = np.searchsorted(c_ids, q_ids, side="right") - place
+            found = [(i, *walk(v, c, order, k, o, m)) for i, v, o, m in zip(q_ids, q, own, copies)]
             limit = (1 << 63) - 1
             scores = [int(min(max(s, -limit), limit)) for _, _, x in found for s in x]
             out = [np.repeat(q_ids, [len(rows) for _, rows, _ in found]),
@@ -101,19 +104,25 @@ def _cell(k: int):
 def nearest(points: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: the k points of highest integer inner product.
 
-    ``points``, ``queries``: ``id`` (unique), ``v`` (whole numbers as doubles), as made by ``scaled``. A point with the
-    query's id is not a candidate of it; ties go to the smaller id; fewer than k candidates are all returned. Vectors are
+    ``points``, ``queries``: ``id``, ``v`` (whole numbers as doubles), as made by ``scaled``. Ids may repeat: every row is a
+    point, and the lists of query rows with one id are merged and ranked together. Of equal rows k are enough on either
+    side, as no list has more places, so a hot row stays bounded. A point with the query's id is not a candidate of it; ties go to the smaller id; fewer than k candidates are all returned. Vectors are
     compared with vectors of their own length only. Scores are exact; beyond 64 bits they stop at the largest long. Empty
     tables give no rows.
     """
+    def bounded(rows: DataFrame) -> DataFrame:
+        counted = rows.groupBy("id", "v").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
+        return counted.withColumn("copy", F.explode(F.sequence(F.lit(1), "n"))).drop("n")
+
+    points, queries = bounded(points), bounded(queries)
     sized = points.withColumn("size", F.size("v"))
     asked = queries.withColumn("size", F.size("v"))
     n_points, n_asked = points.count(), queries.count()
     blocks, parts = -(-n_points // CANDIDATES) or 1, -(-n_asked // QUERIES) or 1
     cells = ["size", "block", "part"]
-    left = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn(
+    left = asked.withColumn("part", F.pmod(F.xxhash64("id", "v", "copy"), F.lit(parts))).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*cells[:1], F.col("block").cast("long"), "part", "id", "v")
-    right = sized.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn(
+    right = sized.withColumn("block", F.pmod(F.xxhash64("id", "v", "copy"), F.lit(blocks))).withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(*cells[:1], "block", F.col("part").cast("long"), "id", "v")
     found = left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(
         _cell(k), "query_id long, vec_id long, score long")

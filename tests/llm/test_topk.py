@@ -77,3 +77,19 @@ def test_the_walk_is_exact_when_a_step_meets_just_k_rows(k):
             every = points @ np.array([3.0, 2.0])
             best = [i for i in np.lexsort((np.arange(60), -every)) if i != own][:k]
             assert rows.tolist() == best and scores.tolist() == every[best].tolist()
+
+
+@pytest.mark.parametrize("block,part", [(8192, 1024), (5, 2)])
+def test_every_row_with_a_repeated_id_is_a_candidate(spark, monkeypatch, block, part):
+    monkeypatch.setattr(topk, "CANDIDATES", block)
+    monkeypatch.setattr(topk, "QUERIES", part)
+    rng = np.random.default_rng(2)
+    rows = [(int(i), [float(x) for x in rng.integers(-9, 9, 3)]) for i in rng.integers(0, 12, 40)]
+    rows += [rows[0]] * 9 + [(0, [9.0, 1.0, 2.0])] * 2 + [(0, [-9.0, 1.0, 2.0])]
+    points = topk.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), factor=1, unique=False)
+    got = sorted(map(tuple, topk.nearest(points, points.filter("id % 5 = 0"), 6).collect()))
+    want = []
+    for q in {i for i, _ in rows if i % 5 == 0}:
+        scored = sorted((-int(np.dot(v, w)), i) for j, v in rows if j == q for i, w in rows if i != q)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:6], 1)]
+    assert got == sorted(want)
