@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm import chat
 from marketloom.llm import decontaminate as bench
-from marketloom.llm import langid, linededup, pieces
+from marketloom.llm import langid, linededup, minhash, negatives, phrases, pieces
 from marketloom.llm import simhash as near
 from marketloom.llm import substring, tokencount, topk, toxicity
 
@@ -206,3 +206,96 @@ lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT c.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM cut c LEFT JOIN lost l ON c.doc_id = l.doc_id LEFT JOIN kept k ON c.doc_id = k.doc_id
 """
+
+
+@query
+def op11_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+SQL["op11_minhash"] = """
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] END)
+    AS t FROM cut),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.t = y.t
+           WHERE x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+          WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM cut UNION SELECT r.doc_id, ways.b FROM reached r JOIN ways ON r.other = ways.a),
+least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT cut.doc_id, coalesce(n, 0) AS n_shingles, component_id, cut.doc_id = component_id AS kept
+FROM cut JOIN least ON cut.doc_id = least.doc_id LEFT JOIN sizes ON cut.doc_id = sizes.doc_id
+"""
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = negatives.prepared(rows.withColumn("label", shifted))
+    return negatives.hard_negatives(vectors, vectors.filter("id % 100 = 0")).select(
+        "anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
+
+
+SQL["op12_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS anchor_id, q.label = c.label AS same, c.vec_id,
+         CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM scored WHERE same)
+  WHERE place <= 5),
+ranked AS (
+  SELECT p.anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id
+  WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT * FROM ranked WHERE rank <= 5
+"""
+
+
+@query
+def op13_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+SQL["op13_phrases"] = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+cut AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, size, w[i:i + size - 1] AS p FROM (
+    SELECT lang, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM cut, (VALUES (1), (2), (3), (4)) s(size))),
+f AS (SELECT lang, size, p, count(*) AS a FROM grams GROUP BY lang, size, p HAVING count(*) >= 30),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM cut GROUP BY lang),
+cuts AS (SELECT lang, size, p, a, unnest(generate_series(1, size - 1)) AS k FROM f WHERE size > 1),
+scores AS (
+  SELECT c.lang, c.size, c.p, c.a, k, x.a AS l, y.a AS r,
+         CAST(CAST(2000000 AS HUGEINT) * c.a // (CAST(x.a AS HUGEINT) + y.a) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON c.lang = x.lang AND x.p = c.p[1:k] JOIN f y ON c.lang = y.lang AND y.p = c.p[k + 1:]),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_phrases AS (
+  SELECT lang, a, p[i:i + s - 1] AS q FROM (
+    SELECT lang, p, a, s, unnest(generate_series(1, size - s + 1)) AS i FROM (
+      SELECT lang, p, a, size, unnest(generate_series(2, size - 1)) AS s FROM f WHERE size > 2))),
+covered AS (SELECT lang, q, max(a) AS most FROM inner_phrases GROUP BY lang, q),
+kept AS (
+  SELECT b.lang, array_to_string(b.p, ' ') AS phrase, a, l, r, score
+  FROM best b LEFT JOIN covered c ON b.lang = c.lang AND b.p = c.q
+  WHERE most IS NULL OR CAST(100 AS HUGEINT) * most < CAST(80 AS HUGEINT) * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals ON ranked.lang = totals.lang WHERE rank <= 2000
+"""
