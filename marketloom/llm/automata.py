@@ -102,7 +102,8 @@ class CountAutomaton:
     def weights_of(self, phrases: np.ndarray) -> np.ndarray:
         """Compose with the phrases (rows as in ``build``): the weight each path ends with, zero where there is none."""
         out = np.zeros(len(phrases), np.int64)
-        state, alive = np.zeros(len(phrases), np.int64), np.arange(len(phrases))
+        state = np.zeros(len(phrases), np.int64)
+        alive = np.flatnonzero((phrases != 0).sum(axis=1) <= len(self.levels))
         size = np.int64(len(self.alphabet) + 1)
         for d, (starts, labels, weights, targets) in enumerate(self.levels[: phrases.shape[1]]):
             alive = alive[phrases[alive, d] != 0]

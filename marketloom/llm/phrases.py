@@ -4,11 +4,11 @@
    become count automata, one for each language and prefix range: an interval of the hash codes of a phrase's first two
    words. Only automata are shuffled; a phrase that a third of all documents share is one path of each shard.
 2. *Union.* The automata of a range are united and their weights summed; paths below the least count are cut.
-3. *Two depths.* The first pass counts one and two words, the second three and four. A phrase of three or four words can
-   only be frequent if all its pairs are, so the second pass skips phrases with a pair that a filter of fixed size (frequent
-   pairs of the first pass) doesn't know. The filter loses no pair; full, it would only spare less.
+3. *Three depths.* The first pass counts words, the second pairs, the third longer phrases. A phrase can only be frequent
+   if all its words and pairs are, so later passes skip what a filter of fixed size over the frequent words or pairs doesn't
+   know. The filters lose nothing; full, they would only spare less.
 4. *Parts.* The parts of every candidate are dealt to the ranges of their own prefixes, where the acceptors of the parts are
-   composed with the range's automaton; the last weights are the counts.
+   composed with the range's automata of all depths; the weights at the ends are the counts.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ TOP = 2000
 COVER = 80  # percent of a phrase's count within one longer phrase that make it a mere part
 SCALE = 2_000_000
 SHARD_WORDS = 1 << 20
-RANGE_BYTES = 8 << 20  # of text for each prefix range
+RANGE_BYTES = 16 << 20  # of text for each prefix range
 UNKNOWN = "und"
 BREAK = b"\xff"  # never part of UTF-8
 SEPARATE = bytes(0x0A if chr(c) in ".,;:!?\n\x0b\x0c\r" else 0x20 if c == 9 else c for c in range(256)).lower()
@@ -47,18 +47,25 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word, 13) or 1
 
 
+class _Numbers(dict):
+    """Numbers of words in the order of their first occurrence; the break is 0."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class _Shard:
     """Words of up to ``SHARD_WORDS`` tokens, by language."""
 
     def __init__(self):
-        self.numbers: dict[bytes, int] = {BREAK: 0}
+        self.numbers = _Numbers({BREAK: 0})
         self.held: dict[str, list[np.ndarray]] = {}
         self.size = 0
 
     def add(self, lang: str, text: bytes | None) -> None:
         tokens = tokens_of(text)
-        numbers = self.numbers
-        own = np.fromiter([numbers.setdefault(t, len(numbers)) for t in tokens], np.int64, len(tokens))
+        own = np.fromiter(map(self.numbers.__getitem__, tokens), np.int32, len(tokens))
         self.held.setdefault(lang, []).append(own)
         self.size += len(own)
 
@@ -67,7 +74,7 @@ class _Shard:
         words = list(self.numbers)
         hashes = np.array([0, *map(word_hash, words[1:])], np.uint64)
         for lang, parts in self.held.items():
-            yield lang, np.concatenate(parts), hashes, words
+            yield lang, np.concatenate(parts).astype(np.int64), hashes, words
 
 
 def prefix_codes(rows: np.ndarray) -> np.ndarray:
@@ -75,22 +82,32 @@ def prefix_codes(rows: np.ndarray) -> np.ndarray:
 
 
 def _ranges(rows: np.ndarray, ranges: int) -> np.ndarray:
+    if rows.shape[1] == 1:
+        rows = np.pad(rows, ((0, 0), (0, 1)))
     return ((prefix_codes(rows) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
 
 
+def _own_hash(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), 17))
+
+
+def word_keys(lang: str, hashes: np.ndarray) -> np.ndarray:
+    """Keys of words in a filter."""
+    return mixed(hashes * np.uint64(OTHER) + _own_hash(lang)).view(np.int64)
+
+
 def pair_keys(lang: str, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Key of a pair of words in the filter."""
-    own = np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), 17))
-    return mixed(mixed(first * np.uint64(ODD) + own) + second).view(np.int64)
+    """Keys of pairs of words in a filter."""
+    return mixed(mixed(first * np.uint64(ODD) + _own_hash(lang)) + second).view(np.int64)
 
 
-def _keys_of_pairs(langs: list, packed: list) -> list[np.ndarray]:
-    """Keys of all pairs in stored automata of depth two."""
+def _stored_keys(langs: list, packed: list) -> list[np.ndarray]:
+    """Filter keys of the longest phrases (one or two words) in stored automata of such depth."""
     keys = [np.empty(0, np.int64)]
     for lang, data in zip(langs, packed):
         rows, _ = CountAutomaton.unpacked(data).rows()
-        rows = rows[rows[:, 1] != 0]
-        keys.append(pair_keys(lang, rows[:, 0], rows[:, 1]))
+        rows = rows[rows[:, -1] != 0]
+        keys.append(word_keys(lang, rows[:, 0]) if rows.shape[1] == 1 else pair_keys(lang, rows[:, 0], rows[:, 1]))
     return [np.concatenate(keys)]
 
 
@@ -100,18 +117,24 @@ def _distinct(before: np.ndarray, word: np.ndarray, size: int) -> tuple[np.ndarr
     return first, number, counts
 
 
-def _short(words: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Phrases of one and two words and their counts."""
+def _words(words: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Single words and their counts."""
     counts = np.bincount(words, minlength=len(hashes))
     counts[0] = 0
     seen = np.flatnonzero(counts)
-    single = np.zeros((len(seen), 2), np.uint64)
-    single[:, 0] = hashes[seen]
+    return hashes[seen][:, None], counts[seen]
+
+
+def _pairs(words: np.ndarray, hashes: np.ndarray, lang: str, known: KeyFilter) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ``known`` words, and their counts."""
+    frequent = known.has(word_keys(lang, hashes))
+    frequent[0] = False
+    words = np.where(frequent[words], words, 0)
     at = np.flatnonzero((words[:-1] != 0) & (words[1:] != 0))
-    first, _, n = _distinct(words[at], words[at + 1], len(hashes))
-    at = at[first]
-    pairs = np.column_stack([hashes[words[at]], hashes[words[at + 1]]])
-    return np.concatenate([single, pairs]), np.concatenate([counts[seen], n])
+    codes = np.sort(words[at] * len(hashes) + words[at + 1])
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.empty(0, np.int64)
+    counts = np.diff(np.append(first, len(codes)))
+    return hashes[np.column_stack(np.divmod(codes[first], len(hashes)))], counts
 
 
 def _long(words: np.ndarray, hashes: np.ndarray, lang: str, known: KeyFilter, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,8 +158,8 @@ def _long(words: np.ndarray, hashes: np.ndarray, lang: str, known: KeyFilter, lo
 
 
 def _sharded(texts: DataFrame, ranges: int, count, named: bool) -> DataFrame:
-    """``range``, ``lang``, ``automaton``, ``words`` (of the single words in it; null unless ``named``) of every shard.
-    ``count(words, hashes, lang)`` returns phrases and counts."""
+    """``range``, ``lang``, ``automaton``, ``words`` of every shard. ``count(words, hashes, lang)`` returns phrases and
+    counts; with ``named`` these are single words, which are spelt out."""
     schema = pa.schema([("range", pa.int32()), ("lang", pa.string()), ("automaton", pa.binary()),
                         ("words", pa.list_(pa.binary()))])
 
@@ -151,8 +174,7 @@ def _sharded(texts: DataFrame, ranges: int, count, named: bool) -> DataFrame:
             for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(place)) + 1) if len(rows) else ():
                 own = None
                 if named:
-                    single = rows[part][rows[part][:, 1] == 0, 0]
-                    own = [words[i] for i in by_hash[np.searchsorted(hashes, single, sorter=by_hash)]]
+                    own = [words[i] for i in by_hash[np.searchsorted(hashes, rows[part, 0], sorter=by_hash)]]
                 out.append((int(place[part[0]]), lang, CountAutomaton.build(rows[part], counts[part]).packed(), own))
                 if len(out) == 64:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
@@ -188,10 +210,9 @@ def _united(table: pa.Table, least: int, depth: int) -> pa.Table:
         named = {word_hash(w): w for w in words}
         if len(named) < len(words):
             raise ValueError("two words have one hash")
-        single = rows[:, 1] == 0
-        out["total"].append(int(weights[single].sum()))
+        out["total"].append(int(weights[(rows != 0).sum(axis=1) == 1].sum()))
         rows, weights = rows[weights >= least], weights[weights >= least]
-        out["words"].append([named[h] for h in rows[rows[:, 1] == 0, 0].tolist() if h in named])
+        out["words"].append([named[h] for h in rows[:, 0].tolist()] if named else [])
         out["range"].append(table["range"][0].as_py())
         out["lang"].append(lang)
         out["automaton"].append(CountAutomaton.build(rows, weights).packed())
@@ -236,7 +257,7 @@ def _part_counts(parts: DataFrame, index: DataFrame, ranges: int, depth: int) ->
         for lang, data in zip(stored["lang"].to_pylist(), stored["automaton"].to_pylist()):
             mine = np.flatnonzero(own == lang)
             if len(mine):
-                counts[mine] = CountAutomaton.unpacked(data).weights_of(phrases[mine])
+                counts[mine] += CountAutomaton.unpacked(data).weights_of(phrases[mine])
         return pa.table([asked["lang"], asked["part"], pa.array(counts)], names=["lang", "part", "f"])
 
     return asked.groupBy("range").cogroup(index.select("range", "lang", "automaton").groupBy("range")).applyInArrow(
@@ -265,14 +286,22 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
                         F.col(text_col).cast("string").cast("binary").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     ranges = 1 + size // RANGE_BYTES
-    short = _sharded(texts, ranges, lambda words, hashes, _: _short(words, hashes), True)
-    base = stage(short.groupBy("range").applyInArrow(lambda t: _united(t, min_count, 2), UNITED), "short-phrases")
-    index = base
+
+    def united(count, depth: int) -> DataFrame:
+        return stage(_sharded(texts, ranges, count, depth == 1).groupBy("range").applyInArrow(
+            lambda t: _united(t, min_count, depth), UNITED), f"phrases-{depth}")
+
+    def keys(counted: DataFrame) -> KeyFilter:
+        return KeyFilter.of(map_columns(counted.select("lang", "automaton"), _stored_keys, "key long"))
+
+    single = united(lambda words, hashes, _: _words(words, hashes), 1)
+    words_known = keys(single)
+    pairs = united(lambda words, hashes, lang: _pairs(words, hashes, lang, words_known), 2)
+    index = single.unionByName(pairs)
     if longest > 2:
-        known = KeyFilter.of(map_columns(base.select("lang", "automaton"), _keys_of_pairs, "key long"))
-        more = _sharded(texts, ranges, lambda words, hashes, lang: _long(words, hashes, lang, known, longest), False)
-        both = base.select("range", "lang", "automaton", "words").unionByName(more)
-        index = stage(both.groupBy("range").applyInArrow(lambda t: _united(t, min_count, longest), UNITED), "phrases")
+        pairs_known = keys(pairs)
+        index = index.unionByName(
+            united(lambda words, hashes, lang: _long(words, hashes, lang, pairs_known, longest), longest))
     found = stage(_phrases(index, 2), "candidates")
 
     cuts = found.withColumn("k", F.explode(F.expr("sequence(1, size(phrase) - 1)"))).withColumns({
@@ -294,13 +323,13 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
     by_score = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc())
     near = kept.withColumn("place", F.rank().over(by_score)).filter(F.col("place") <= top)  # all that tie with the last
-    words = map_columns(base.select("lang", "words"), lambda langs, own: (
+    words = map_columns(single.select("lang", "words"), lambda langs, own: (
         [lang for lang, w in zip(langs, own) for _ in w], [np.uint64(word_hash(x)).astype(np.int64) for w in own for x in w],
         [x.decode("utf-8", "replace") for w in own for x in w]), "lang string, word long, spelt string")
     spelt = near.select("lang", "phrase", F.posexplode("phrase").alias("at", "word")).join(words, ["lang", "word"]).groupBy(
         "lang", "phrase").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "spelt"))), lambda x: x[
             "spelt"]), " ").alias("spelt"))
-    totals = base.groupBy("lang").agg(F.sum("total").alias("n"))
+    totals = single.groupBy("lang").agg(F.sum("total").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "spelt")
     ranked = near.join(spelt, ["lang", "phrase"]).withColumn("rank", F.row_number().over(order).cast("long")).filter(
         F.col("rank") <= top)

@@ -93,6 +93,7 @@ def test_automata_round_trip_union_and_composition(seed):
     assert {tuple(x for x in r if x): w for r, w in zip(rows.tolist(), weights.tolist())} == dict(counts)
     whole = CountAutomaton.build(rows, weights)
     asked = rng.integers(1, 7, (300, 4)).astype(np.uint64) * (np.arange(4) < rng.integers(1, 5, 300)[:, None])
+    assert not CountAutomaton.build(rows[:, :1][:1], weights[:1]).weights_of(asked[asked[:, 1] != 0]).any()  # longer ones
     assert whole.weights_of(asked).tolist() == [counts.get(tuple(x for x in r if x), 0) for r in asked.tolist()]
 
 
