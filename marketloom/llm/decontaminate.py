@@ -1,13 +1,18 @@
-"""Benchmark decontamination by winnowing: shared fingerprints are joined, then extended word by word.
+"""Benchmark decontamination by winnowing: fingerprints select places, the windows around them are joined.
 
-Of every run of ``window - gram + 1`` consecutive k-grams the smallest hash is a fingerprint. A shared span of ``window``
-or more words holds one such run in both texts and so one common fingerprint, which the extension turns back into the
-whole span. Items shorter than a window get their own class of k-gram and run length (at most ``window - 1`` classes),
-so that each of them is found as well.
+Of every run of ``window - gram + 1`` consecutive k-grams the smallest hash is a fingerprint, so every window of ``window``
+words has exactly one, and equal windows have equal ones. Items shorter than a window get their own class of window length
+(at most ``window`` classes), so that each of them is found as well.
 
-Copies of a text are searched once: all work is keyed by the text's digest, and the findings are joined back. Fingerprints
-of documents stay on the map side of the join while the benchmark is small enough for Spark to broadcast it; a larger one
-is joined by a shuffle, whose hot keys adaptive execution splits.
+1. Fingerprints of the benchmark go into a filter of fixed size. Documents are read once; where a fingerprint passes, the
+   windows that it stands for extend it both ways, and their 128-bit hashes are sent. A document without such a place sends
+   nothing, and one with many sends a row for each word at most, however many items share the phrase.
+2. Windows are joined to the windows of the benchmark by their hashes. A window leads to the number of its *set of items*,
+   so a phrase that most items share is one row for each place, not one for each place and item.
+3. Hit words follow from the windows of a text, items from its distinct sets. Texts with hits are few and carry no text; a
+   second filter marks their documents, the others never meet a join.
+
+Copies of a text are searched once: all work is keyed by the text's hash.
 """
 
 from __future__ import annotations
@@ -18,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import map_columns, stage, worker_cache
-from marketloom.llm.wordhash import WordHashes, rolling, winnowed
+from marketloom.llm.keyfilter import KeyFilter
+from marketloom.llm.wordhash import ODD, OTHER, WordHashes, mixed, rolling, spans, winnowed
 
 WINDOW, GRAM = 13, 5
 #: Word characters are digits, a-z and everything beyond ASCII; A-Z become a-z, the rest separates.
@@ -42,28 +48,6 @@ def prints(hashes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.n
     return at, grams[at].view(np.int64)
 
 
-def _digest(text: Column) -> Column:
-    return F.unhex(F.md5(text))
-
-
-def matches(words: list[bytes], item: list[bytes], pairs: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
-    """Maximal runs of the document, at least ``length`` words long, that the item has as well."""
-    found: list[tuple[int, int]] = []
-    reach: dict[int, int] = {}  # diagonal: end of the last run looked at
-    for at, of in sorted(pairs):
-        if at < reach.get(at - of, 0):
-            continue
-        start, end, i, j = at, at, of, of
-        while start and i and words[start - 1] == item[i - 1]:
-            start, i = start - 1, i - 1
-        while end < len(words) and j < len(item) and words[end] == item[j]:
-            end, j = end + 1, j + 1
-        reach[at - of] = end
-        if end - start >= length:
-            found.append((start, end))
-    return found
-
-
 def _classes(benchmark: DataFrame, text_col: str, window: int) -> list[int]:
     """Window lengths that occur in the benchmark, at most ``window`` numbers."""
     lengths = map_columns(
@@ -72,86 +56,127 @@ def _classes(benchmark: DataFrame, text_col: str, window: int) -> list[int]:
     return sorted(r.length for r in lengths.distinct().collect() if r.length)
 
 
-def _fingerprints(texts: DataFrame, classes: list[int], window: int, gram: int, whole: bool) -> DataFrame:
-    """``key``, ``length``, ``print``, ``at`` for texts given as ``key``, ``text``; with ``whole`` only the class of the
-    text's own length."""
+def _windows(hashes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all windows of ``length`` words, and the filter key of each one's fingerprint."""
+    k = min(gram, length)
+    grams = rolling(hashes, k)
+    at = winnowed(grams, length - k + 1)
+    return np.arange(len(at)), mixed(grams[at] + np.uint64(length)).view(np.int64)
+
+
+def _codes(hashes: np.ndarray, starts: np.ndarray, length: int) -> list[np.ndarray]:
+    """128-bit hashes of windows, as two longs."""
+    size = np.uint64(length)
+    return [(spans(hashes, starts, starts + length, odd) + size).view(np.int64) for odd in (ODD, OTHER)]
+
+
+def _hashes(text: bytes | None) -> np.ndarray:
+    return worker_cache("word hashes").setdefault(0, WordHashes()).of(words_of(text))
 
-    def cut(keys: list, texts: list) -> tuple:
-        known = worker_cache("word hashes").setdefault(0, WordHashes())
-        owners, lengths, codes, places = [], [], [], []
-        for key, text in zip(keys, texts):
-            hashes = known.of(words_of(text))
+
+def _item_windows(items: DataFrame, window: int, gram: int) -> DataFrame:
+    """``id``, ``print``, ``w1``, ``w2`` of all windows of the items (``id``, ``text``)."""
+
+    def cut(ids: list, texts: list) -> list:
+        owners, columns = [], [[np.empty(0, np.int64)] for _ in range(3)]
+        for owner, text in zip(ids, texts):
+            hashes = _hashes(text)
+            if len(hashes):
+                length = word_class(len(hashes), window)
+                starts, prints = _windows(hashes, length, gram)
+                owners += [owner] * len(starts)
+                for column, values in zip(columns, (prints, *_codes(hashes, starts, length))):
+                    column.append(values)
+        return [owners, *map(np.concatenate, columns)]
+
+    return map_columns(items, cut, "id long, print long, w1 long, w2 long")
+
+
+def _candidates(texts: DataFrame, known: KeyFilter, classes: list[int], gram: int) -> DataFrame:
+    """``t1``, ``t2``, ``start``, ``end``, ``w1``, ``w2`` of the windows whose fingerprint is ``known``."""
+
+    def cut(t1: list, t2: list, texts: list) -> list:
+        counts, columns = [], [[np.empty(0, np.int64)] for _ in range(4)]
+        for text in texts:
+            hashes = _hashes(text)
+            sent = 0
             for length in classes:
-                if whole and length != word_class(len(hashes), window):
-                    continue
-                at, code = prints(hashes, length, gram)
-                owners.append((key, len(at)))
-                lengths.append(np.full(len(at), length, np.int32))
-                codes.append(code)
-                places.append(at.astype(np.int32))
-        flat = [np.concatenate(x) if x else [] for x in (lengths, codes, places)]
-        keys = pa.array([k for k, _ in owners], pa.binary())
-        index = np.repeat(np.arange(len(owners)), [n for _, n in owners])
-        return [keys.take(pa.array(index, pa.int64())), *(pa.array(v, t) for v, t in zip(
-            flat, (pa.int32(), pa.int64(), pa.int32())))]
-
-    return map_columns(texts, cut, "key binary, length int, print long, at int")
-
-
-def _found(window: int):
-    """Arrow function: hit words and items of one document from its candidates."""
-    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())),
-                      ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
-
-    @F.arrow_udf("struct<n_words bigint, n_hit bigint, items array<bigint>, spans array<struct<start int, `end` int>>>")
-    def look(texts: pa.Array, candidates: pa.Array) -> pa.Array:
-        out = []
-        for text, items in zip(texts.to_pylist(), candidates.to_pylist()):
-            words = words_of(text)
-            hit, named, spans = np.zeros(len(words), bool), set(), set()
-            for item in items or ():
-                other = words_of(item["text"])
-                pairs = [(p["at"], p["of"]) for p in item["pairs"]]
-                runs = matches(words, other, pairs, word_class(len(other), window))
-                if runs:
-                    named.update(i for i in item["ids"] if i is not None)
-                    spans.update(runs)
-                for start, end in runs:
-                    hit[start:end] = True
-            out.append({"n_words": len(words), "n_hit": int(hit.sum()), "items": sorted(named),
-                        "spans": [{"start": s, "end": e} for s, e in sorted(spans)]})
-        return pa.array(out, kind)
-
-    return look
+                starts, prints = _windows(hashes, length, gram)
+                starts = starts[known.has(prints)]
+                if len(starts):
+                    sent += len(starts)
+                    for column, values in zip(columns, (starts, starts + length, *_codes(hashes, starts, length))):
+                        column.append(values)
+            counts.append(sent)
+        found = [np.concatenate(c) for c in columns]
+        return [*(np.repeat(np.array(t, np.int64), counts) for t in (t1, t2)), *(c.astype(np.int32) for c in found[:2]),
+                *found[2:]]
+
+    return map_columns(texts, cut, "t1 long, t2 long, start int, end int, w1 long, w2 long")
+
+
+def _word_counts(text: Column) -> Column:
+    @F.arrow_udf("bigint")
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.array([len(words_of(t)) for t in texts.to_pylist()], pa.int64())
+
+    return count(text)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id",
              item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, Column]:
-    """``docs`` with helper columns, and a struct column over them: ``n_words``, ``n_hit``, ``items`` (ids, ascending),
-    ``spans`` (maximal matched word ranges, end exclusive).
+    """``docs`` with a helper column, and that struct column: ``n_words``, ``n_hit``, ``items`` (ids, ascending), ``spans``
+    (``start``, ``end`` of maximal runs of overlapping matched windows, in words, end exclusive).
 
     A document word is hit if it lies inside an occurrence of ``window`` consecutive words of an item, or of the whole item
     if that is shorter. Null and empty texts have no words; items without words match nothing; items that repeat a text
-    are searched once and all named, items with a null id hit words but are not named. Every input row comes back once,
-    also repeated rows and rows with null ids. An empty benchmark hits nothing.
+    are all named, items with a null id hit words but are not named. Every input row comes back once, also repeated rows and
+    rows with null ids. An empty benchmark hits nothing.
     """
-    items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).filter(
-        "text is not null").groupBy("text").agg(F.collect_set("id").alias("ids")).withColumn("key", _digest(F.col("text")))
+    items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").cast("binary").alias("text"))
+    test = stage(_item_windows(items, window, gram), "item-windows")
+    known = KeyFilter.of(test.select("print"))
     classes = _classes(benchmark, item_text, window)
-    test = _fingerprints(items.select("key", F.col("text").cast("binary")), classes, window, gram, True)
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    train = _fingerprints(
-        texts.filter("text is not null").select(_digest(F.col("text")).alias("key"), F.col("text").cast("binary")),
-        classes, window, gram, False)
-    pairs = train.join(test.select(F.col("key").alias("item"), "length", "print", F.col("at").alias("of")),
-                       ["length", "print"]).select("key", "item", "at", "of").distinct()
-    by_item = pairs.groupBy("key", "item").agg(F.collect_list(F.struct("at", "of")).alias("pairs"))
-    by_text = stage(by_item.join(items.select(F.col("key").alias("item"), "text", "ids"), "item").groupBy("key").agg(
-        F.collect_list(F.struct(F.col("text").cast("binary").alias("text"), "ids", "pairs")).alias("_loom_items")), "overlaps")
-    # a plain stored table: Spark can then split the documents that repeat one text very often
-    joined = docs.withColumn("_loom_key", _digest(F.col(text_col).cast("string"))).join(
-        by_text.withColumnRenamed("key", "_loom_key"), "_loom_key", "left")
-    return joined, _found(window)(F.col(text_col).cast("string").cast("binary"), F.col("_loom_items"))
+    text = F.col(text_col).cast("string").cast("binary")
+    keys = [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+    # stored as plain tables: Spark can then split a window, or a text, that very many rows share
+    sets = stage(test.groupBy("w1", "w2").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumns(
+        {"s1": F.xxhash64("ids"), "s2": F.xxhash64(F.lit(1), "ids")}), "window-items")
+    sent = stage(_candidates(docs.select(keys[0].alias("t1"), keys[1].alias("t2"), text.alias("text")), known, classes,
+                             gram).distinct(), "candidate-windows")
+    met = stage(sent.join(sets.drop("ids"), ["w1", "w2"]).select("t1", "t2", "start", "end", "s1", "s2"), "matched-windows")
+    ranges = F.sort_array(F.collect_set(F.struct("start", "end")))  # a text's own windows
+    runs = met.groupBy("t1", "t2").agg(_merged(ranges).alias("spans"))
+    named = met.select("t1", "t2", "s1", "s2").distinct().join(
+        sets.select("s1", "s2", "ids").dropDuplicates(["s1", "s2"]), ["s1", "s2"]).select(
+        "t1", "t2", F.explode_outer("ids").alias("id")).groupBy("t1", "t2").agg(F.sort_array(F.collect_set("id")).alias("items"))
+    hits = stage(runs.join(named, ["t1", "t2"]).select(F.col("t1").alias("_loom_t1"), F.col("t2").alias("_loom_t2"), F.struct(
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"])).alias("n_hit"),
+        "items", "spans").alias("_loom_hit")), "hit-texts")
+    marked = docs.withColumns({"_loom_t1": keys[0], "_loom_t2": keys[1]})
+    maybe = KeyFilter.of(hits.select("_loom_t1")).holds(F.col("_loom_t1"))
+    counted = marked.withColumn("_loom_n", F.when(text.isNull(), F.lit(0).cast("long")).otherwise(_word_counts(text)))
+    clean = counted.filter(~maybe).withColumn("_loom_hit", F.lit(None).cast(hits.schema["_loom_hit"].dataType))
+    dirty = counted.filter(maybe).join(hits, ["_loom_t1", "_loom_t2"], "left").select(*clean.columns)
+    found = F.struct(F.col("_loom_n").alias("n_words"), F.coalesce("_loom_hit.n_hit", F.lit(0).cast("long")).alias("n_hit"),
+                     F.coalesce("_loom_hit.items", F.array().cast("array<bigint>")).alias("items"),
+                     F.coalesce("_loom_hit.spans", F.array().cast("array<struct<start:int,`end`:int>>")).alias("spans"))
+    every = clean.unionByName(dirty).withColumn("_loom_found", found)
+    return every.drop("_loom_t1", "_loom_t2", "_loom_n", "_loom_hit"), F.col("_loom_found")
+
+
+def _merged(ranges: Column) -> Column:
+    """Maximal runs of sorted ranges that overlap."""
+    none = F.array().cast("array<struct<start:int,`end`:int>>")
+
+    def add(runs: Column, one: Column) -> Column:
+        last = F.element_at(runs, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], one["end"]).alias("end"))
+        joins = (F.size(runs) > 0) & (one["start"] < F.try_element_at(runs, F.lit(-1))["end"])
+        return F.when(joins, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))).otherwise(
+            F.concat(runs, F.array(one)))
+
+    return F.aggregate(ranges, none, add)
 
 
 def contaminated(found: Column) -> Column:
@@ -162,7 +187,7 @@ def contaminated(found: Column) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` without contaminated documents; all columns stay."""
     joined, found = overlaps(docs, benchmark, text_col, **options)
-    return joined.withColumn("_loom_found", found).filter(~contaminated(F.col("_loom_found"))).select(*docs.columns)
+    return joined.filter(~contaminated(found)).select(*docs.columns)
 
 
 def joined_digest(ids: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.wordhash import mixed
@@ -69,3 +69,13 @@ class KeyFilter:
                 yield batch.filter(pa.array(known & self.has(column.fill_null(0).to_numpy())))
 
         return rows.mapInArrow(test, rows.schema)
+
+    def holds(self, key: Column) -> Column:
+        """Whether a key may have been put in; false for null."""
+
+        @F.arrow_udf("boolean")
+        def test(keys: pa.Array) -> pa.Array:
+            known = keys.is_valid().to_numpy(zero_copy_only=False)
+            return pa.array(known & self.has(keys.fill_null(0).to_numpy()))
+
+        return test(key)

@@ -69,3 +69,18 @@ def test_against_definition(spark, seed):
         i for i, (n, hit, _) in enumerate(want) if not (hit and 20 * hit >= n)]
     assert dec.decontaminate(docs.limit(0), bench).count() == 0
     assert dec.decontaminate(docs, bench.limit(0)).count() == len(texts)
+
+
+def test_a_phrase_shared_by_most_items_and_a_third_of_the_documents(spark):
+    """Every place of the phrase is one row, whatever the number of items that hold it; spans are maximal."""
+    phrase = " ".join(f"p{n}" for n in range(16))
+    items = [(n, f"{phrase} own {n}" if n % 5 else f"only {n} " * 9) for n in range(300)] + [(n, phrase) for n in range(300, 600)]
+    texts = [f"lead {n} {phrase} tail {phrase}" if n % 3 == 0 else f"clean text {n} with p1 p2 p3 p4 p5 p6" for n in range(300)]
+    texts += [" ".join(f"long{n}" for n in range(30000)) + " " + phrase]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    joined, found = dec.overlaps(docs, spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: r.f for r in joined.withColumn("f", found).collect()}
+    holders = [n for n, t in items if phrase in t]
+    assert {i: f["items"] for i, f in got.items()} == {i: holders if phrase in t else [] for i, t in enumerate(texts)}
+    assert [(s.start, s.end) for s in got[0].spans] == [(2, 18), (19, 35)] and got[0].n_hit == 32
+    assert got[300].n_words == 30016 and got[300].n_hit == 16 and got[1].n_hit == 0
