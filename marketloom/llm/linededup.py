@@ -1,7 +1,8 @@
 """Line dedup: a sharded minimal perfect hash over distinct line hashes; documents probe its arrays.
 
 1. *Lines.* A key is a line stripped of ASCII white space with A-Z lower-cased, hashed to 128 bits. Every Arrow batch
-   counts the documents of each key itself, so a line that a third of all documents share is one row per batch.
+   counts the documents of each key itself, so a line that a third of all documents share is one row per batch. Documents
+   whose id may repeat (a filter of fixed size knows) send id and key, which are made distinct before they are counted.
 2. *Index.* Keys are dealt to shards by hash; the number of shards follows the size of the texts, so a shard stays at
    about ``SHARD_BYTES`` of text. A shard sums the counts and builds a minimal perfect hash in levels: a key that is
    alone at its place in a level's bit array stays there, the others go on to the next level, and the rank of its bit is
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import id_text, map_columns, stage
+from marketloom.llm.keyfilter import KeyFilter
 
 SHARD_BYTES = 32 << 20
 HOT_PART = 65_536  # a key with more than this part of all lines is hot
@@ -136,63 +138,82 @@ class LineIndex:
         self.table, self.shards, self.hot = table, shards, hot
 
     @classmethod
-    def build(cls, docs: DataFrame, text_col: str = "text", min_docs: int = 10, shortest: int = 1) -> LineIndex:
-        """Index every distinct line of ``docs``. Each row counts as a document."""
+    def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10,
+              shortest: int = 1) -> LineIndex:
+        """Index every distinct line of ``docs``. Rows that share an id are one document; each row without id is one."""
         if not 1 <= min_docs <= MOST_COUNT:
             raise ValueError(f"min_docs must be between 1 and {MOST_COUNT}")
-        texts = docs.select(F.col(text_col).cast("string").alias("text"))
-        size, lines = texts.agg(
+        source = id_text(docs, id_col, text_col).withColumn("owner", F.xxhash64("doc_id"))
+        size, lines = source.agg(
             F.sum(F.octet_length("text")),
-            F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()
+            F.sum(F.octet_length("text") - F.octet_length(F.replace(F.col("text").cast("string"), F.lit("\n"), F.lit(""))) + 1)
+        ).first()
         shards = 1 + (size or 0) // SHARD_BYTES
         hot_above = max(min_docs - 1, (lines or 0) // HOT_PART)
+        repeated = KeyFilter.of(source.filter("doc_id is not null").groupBy("owner").agg(
+            F.count(F.lit(1)).alias("n")).filter("n > 1").select("owner"))
+        several = F.col("doc_id").isNotNull() & repeated.holds(F.col("owner"))
 
         def count(batch: list) -> tuple:
             seen = Counter()
             for text in batch:
                 seen.update(document_keys(text, shortest))
-            h1, h2 = _halves(list(seen))
-            return [pa.array(_shard(h1, shards).astype(np.int32)), pa.array(h1), pa.array(h2),
-                    pa.array(list(seen.values()), pa.int64())]
+            return *addressed(list(seen)), pa.array(list(seen.values()), pa.int64())
+
+        def name(owners: list, batch: list) -> tuple:
+            keys = {(owner, key) for owner, text in zip(owners, batch) for key in document_keys(text, shortest)}
+            return *addressed([k for _, k in keys]), pa.array([o for o, _ in keys], pa.int64())
+
+        def addressed(keys: list[bytes]) -> tuple:
+            h1, h2 = _halves(keys)
+            return pa.array(_shard(h1, shards).astype(np.int32)), pa.array(h1), pa.array(h2)
 
-        keys = map_columns(texts.select(F.col("text").cast("binary")), count, "shard int, h1 long, h2 long, n long")
+        single = map_columns(source.filter(~several).select("text"), count, "shard int, h1 long, h2 long, n long")
+        shared = map_columns(source.filter(several).select("owner", "text"), name, "shard int, h1 long, h2 long, owner long")
+        keys = single.unionByName(shared.distinct().groupBy("shard", "h1", "h2").agg(F.count(F.lit(1)).alias("n")))
         built = stage(keys.groupBy("shard").applyInArrow(lambda t: _shard_row(t, hot_above), INDEX), "line-index")
         hot = built.select(F.explode("hot").alias("k")).select("k.*").collect()  # at most HOT_PART keys
         return cls(built, shards, frozenset(
             np.array([r.h1, r.h2], "<i8").tobytes() for r in hot))
 
-    def probe(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10,
-              shortest: int = 1) -> DataFrame:
-        """``doc_id`` and ``hashes``: the line hashes of each document that ``min_docs`` or more documents have, but
-        for hot keys. Documents without such lines have no row."""
-        source = id_text(docs, id_col, text_col)
-        kind = source.schema["doc_id"].dataType.simpleString()
+    def probe(self, docs: DataFrame, text_col: str = "text", min_docs: int = 10, shortest: int = 1) -> DataFrame:
+        """``t1``, ``t2`` (``text_key`` of a text) and ``hashes``: the line hashes of each text that ``min_docs`` or more
+        documents have, but for hot keys. Texts without such lines have no row."""
+        text = F.col(text_col).cast("string").cast("binary")
+        source = docs.select(*[k.alias(f"t{n}") for n, k in enumerate(text_key(text), 1)], text.alias("text"))
         shards, hot = self.shards, self.hot
 
-        def send(ids: list, texts: list) -> tuple:
-            owners, hashes = [], []
-            for owner, text in zip(ids, texts):
-                keys = document_keys(text, shortest) - hot
-                owners += [owner] * len(keys)
+        def send(t1: list, t2: list, texts: list) -> tuple:
+            counts, hashes = [], []
+            done = set()  # copies in one batch ask once
+            for key, text in zip(zip(t1, t2), texts):
+                keys = document_keys(text, shortest) - hot if key not in done else ()
+                done.add(key)
+                counts.append(len(keys))
                 hashes += keys
             h1, h2 = _halves(hashes)
-            return [pa.array(_shard(h1, shards).astype(np.int32)), pa.array(h1), pa.array(h2), owners]
+            return [pa.array(_shard(h1, shards).astype(np.int32)), pa.array(h1), pa.array(h2),
+                    *(pa.array(np.repeat(np.array(t, np.int64), counts)) for t in (t1, t2))]
 
         def decide(asked: pa.Table, index: pa.Table) -> Iterator[pa.Table]:
             if not asked.num_rows or not index.num_rows:
-                return asked.select(["doc_id", "h1", "h2"]).slice(0, 0)
+                return asked.select(["t1", "t2", "h1", "h2"]).slice(0, 0)
             row = index.slice(0, 1).to_pylist()[0]
             h1, h2 = asked["h1"].to_numpy(), asked["h2"].to_numpy()
             slots = PerfectHash(row["sizes"], row["bits"]).slots(h1, h2)
             known = (slots >= 0) & (np.frombuffer(row["fingerprints"], "<u4")[slots] == fingerprint(h1, h2))
             often = known & (np.frombuffer(row["counts"], "<u2")[slots] >= min_docs)
-            return asked.select(["doc_id", "h1", "h2"]).filter(pa.array(often))
+            return asked.select(["t1", "t2", "h1", "h2"]).filter(pa.array(often))
 
-        asked = map_columns(source, send, f"shard int, h1 long, h2 long, doc_id {kind}")
+        asked = map_columns(source, send, "shard int, h1 long, h2 long, t1 long, t2 long")
         arrays = self.table.select("shard", "sizes", "bits", "fingerprints", "counts")
         found = asked.groupBy("shard").cogroup(arrays.groupBy("shard")).applyInArrow(
-            decide, f"doc_id {kind}, h1 long, h2 long")
-        return found.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("hashes"))
+            decide, "t1 long, t2 long, h1 long, h2 long")
+        return found.groupBy("t1", "t2").agg(F.collect_set(F.struct("h1", "h2")).alias("hashes"))
+
+
+def text_key(text: Column) -> list[Column]:
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
 
 
 def _without(hot: frozenset[bytes], shortest: int):
@@ -224,15 +245,18 @@ def cut_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """``docs`` with a helper column, and a struct column ``kept``, ``n_lines``, ``n_dropped`` over it.
 
     A line's key of ``shortest`` or more code points that ``min_docs`` or more documents have loses all its lines in
-    every document; the other lines stay unchanged, joined by line feeds. A null or empty text is one empty line. Every
-    row counts as a document, also one that repeats another. Rows with equal or null ids share what is found for that id;
-    as a key is frequent for all or for none, this changes nothing. An empty table gives no rows.
+    every document; the other lines stay unchanged, joined by line feeds. A null or empty text is one empty line. Rows that
+    share an id are one document, each row without id is one; a key is frequent for all or for none. An empty table gives no
+    rows.
     """
-    index = LineIndex.build(docs, text_col, min_docs, shortest)
-    found = index.probe(docs, id_col, text_col, min_docs, shortest).select(
-        F.col("doc_id").alias("_loom_id"), F.col("hashes").alias("_loom_hashes"))
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("_loom_id")), "left").drop("_loom_id")
-    return joined, _without(index.hot, shortest)(F.col(text_col).cast("string").cast("binary"), F.col("_loom_hashes"))
+    index = LineIndex.build(docs, id_col, text_col, min_docs, shortest)
+    # a plain table keyed by text: no id is a key here, and Spark can split a text with very many copies
+    found = stage(index.probe(docs, text_col, min_docs, shortest).select(
+        F.col("t1").alias("_loom_t1"), F.col("t2").alias("_loom_t2"), F.col("hashes").alias("_loom_hashes")), "frequent-lines")
+    text = F.col(text_col).cast("string").cast("binary")
+    keyed = docs.withColumns({f"_loom_t{n}": k for n, k in enumerate(text_key(text), 1)})
+    joined = keyed.join(found, ["_loom_t1", "_loom_t2"], "left").drop("_loom_t1", "_loom_t2")
+    return joined, _without(index.hot, shortest)(text, F.col("_loom_hashes"))
 
 
 def drop_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10,

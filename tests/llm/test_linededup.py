@@ -59,4 +59,13 @@ def test_index_rejects_lines_it_does_not_know(spark):
     other = spark.createDataFrame([(1, "unknown\nshared"), (2, "own 3\nmore")], "doc_id long, text string")
     index = linededup.LineIndex.build(docs)
     index.hot = frozenset()
-    assert [(r.doc_id, len(r.hashes)) for r in index.probe(other).collect()] == [(1, 1)]
+    assert [len(r.hashes) for r in index.probe(other).collect()] == [1]
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    rows = [(i, f"five\nown {i}") for i in range(5)] * 2 + [(i, f"ten\nown {i}") for i in range(20, 30)] + [(None, "none")] * 10
+    rows += [(50, "same id")] * 40 + [(51, "mixed"), (51, "mixed\nx"), *[(60 + i, "mixed") for i in range(8)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, linededup.drop_frequent_lines(docs).collect()), key=str)
+    gone = {"ten", "none"}
+    assert got == sorted(((i, "\n".join(x for x in t.split("\n") if x not in gone)) for i, t in rows), key=str)
