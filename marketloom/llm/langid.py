@@ -8,13 +8,13 @@ nobody was learned with says nothing. Paths of all texts of a batch advance toge
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ UNKNOWN = "und"
 KEPT_WORDS = 150_000
 CHUNK = 1 << 22  # cells (words times languages) of one Viterbi pass
 HELD_WORDS = 100_000  # words held as strings at a time
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")  # letters with their marks; lower-casing one word never gives two
 #: First code points of the ranges that tell scripts apart, with the script that starts there (fixed values of Unicode).
 SCRIPTS = [
     (0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"),

@@ -47,3 +47,33 @@ def test_scripts_spans_nulls_and_unknown(spark):
     empty = langid.fit(docs.limit(0))
     assert [r.f.lang for r in frame.select(langid.labelled(frame.text, empty).alias("f")).collect()] == ["und"] * 7
     assert frame.limit(0).select(langid.labelled(frame.text, model).alias("f")).count() == 0
+
+
+def test_letters_marks_and_lower_case(spark):
+    assert langid.WORD.findall("हिन्दी ²½①Ⅷ a1b e\u0301t") == ["हिन्दी", "a", "b", "e\u0301t"]
+    rows = [("xx", "bana nab aban " * 9), ("yy", "zork korz rokz " * 9)] * 20
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"), switch=4.0)
+    text = "İBANA NAB aban İnab bana. zork korz rokz zork"
+    frame = spark.createDataFrame([(0, "²½ ① Ⅷ 12"), (1, text), (2, "\u0301\u0301")], "i int, text string")
+    got = {r.i: r.f for r in frame.select("i", langid.labelled(frame.text, model, spans=True).alias("f")).collect()}
+    assert got[0].lang == got[2].lang == "und" and got[0].score == 0
+    assert [(text[s.start:s.end], s.lang) for s in got[1].spans] == [
+        ("İBANA NAB aban İnab bana", "xx"), ("zork korz rokz zork", "yy")]
+
+
+def test_word_scores_by_definition(spark):
+    """Log probabilities of a plain naive Bayes over the same n-gram buckets; languages of other scripts are out."""
+    rng = random.Random(2)
+    rows = [(lang, " ".join("".join(rng.choices(letters, k=rng.randrange(1, 8))) for _ in range(60)))
+            for lang, letters in (("aa", "abcde"), ("bb", "cdefg"), ("cc", "абвгд")) for _ in range(20)]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    counts = {x: np.full(1 << langid.BITS, 0.5) for x in model.languages}
+    for lang, text in rows:
+        for word in text.split():
+            for bucket in langid.gram_buckets([word])[0]:
+                counts[lang][bucket] += 1
+    for word in ["abc", "feg", "вага", "zzz"]:
+        for lang, score in zip(model.languages, model.word_scores([word])[0]):
+            want = sum(np.log(counts[lang][b] / counts[lang].sum()) for b in langid.gram_buckets([word])[0])
+            other = (lang == "cc") != ("а" <= word[0])
+            assert score < -1e5 if other else abs(score - want) < 1e-2
