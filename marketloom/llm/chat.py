@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +28,7 @@ OPEN, SAYS, CLOSE = "<|turn|>", "<|says|>", "<|end|>\n"
 CONTROL = re.compile(r"\\|<(?=\||/?s>)|\[(?=/?INST\])")
 ESCAPED = re.compile(r"([\\<\[])\\")
 LEARNED = "assistant"
+BATCH_ROWS, BATCH_CHARS = 10_000, 8 << 20  # of an output batch
 EVENT = ["conv_id", "seq", "kind", "turn", "role", "text"]
 
 
@@ -53,28 +55,40 @@ def parse(segment: str) -> tuple[str, str]:
 
 
 class Conversation:
-    """Final messages so far: turn -> [role, parts of the text]."""
+    """Final messages so far: turn -> [role, parts of the text], and the turns in order.
+
+    An event costs the logarithm of the number of turns: an edit cuts the end of the order, and what is cut once is gone.
+    """
 
     def __init__(self):
         self.turns: dict[int, list] = {}
+        self.order: list[int] = []
 
     def apply(self, kind: str | None, turn: int | None, role: str | None, text: str | None) -> None:
-        turns, text = self.turns, text or ""
+        turns, order, text = self.turns, self.order, text or ""
         if kind == "message":
-            turn = max(turns, default=-1) + 1 if turn is None else turn
-            turns[turn] = [role or "", [text]]
+            self.open(order[-1] + 1 if turn is None and order else turn or 0)[:] = [role or "", [text]]
             return
-        turn = max(turns, default=0) if turn is None else turn
+        turn = (order[-1] if order else 0) if turn is None else turn
         if kind == "delta":
-            turns.setdefault(turn, [role or LEARNED, []])[1].append(text)
-        elif kind in ("edit", "regenerate"):
-            if turn in turns:
-                turns[turn][1] = [text] if kind == "edit" else []
-                for later in [t for t in turns if t > turn]:
-                    del turns[later]
+            if turn not in turns:
+                self.open(turn)[:] = [role or LEARNED, []]
+            turns[turn][1].append(text)
+        elif kind in ("edit", "regenerate") and turn in turns:
+            turns[turn][1] = [text] if kind == "edit" else []
+            end = bisect_right(order, turn)
+            for later in order[end:]:
+                del turns[later]
+            del order[end:]
+
+    def open(self, turn: int) -> list:
+        if turn not in self.turns:
+            self.turns[turn] = []
+            insort(self.order, turn)
+        return self.turns[turn]
 
     def messages(self) -> Iterator[tuple[str, str]]:
-        for turn in sorted(self.turns):
+        for turn in self.order:
             role, parts = self.turns[turn]
             yield role, "".join(parts)
 
@@ -92,26 +106,32 @@ def format_events(events: DataFrame) -> DataFrame:
         F.col("conv_id").cast("long"), F.col("seq").cast("long"), "kind", F.col("turn").cast("long"), "role", "text")
     ordered = log.repartition("conv_id").sortWithinPartitions(*EVENT)
 
-    def flush(conv: int | None, state: Conversation, out: list) -> None:
+    def flush(conv: int | None, state: Conversation) -> Iterator[tuple]:
         for n, (role, text) in enumerate(state.messages()):
             segment, start, end = render(role, text)
-            out.append((conv, n, segment, *((start, end) if role == LEARNED else (None, None))))
+            yield (conv, n, segment, *((start, end) if role == LEARNED else (None, None)))
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         now, state = None, None
         for batch in batches:
-            out: list = []
             for conv, _, kind, turn, role, text in zip(*[c.to_pylist() for c in batch.columns]):
                 if state is None or conv != now:
                     if state is not None:
-                        flush(now, state, out)
+                        yield from flush(now, state)
                     now, state = conv, Conversation()
                 state.apply(kind, turn, role, text)
-            yield rows(out)
         if state is not None:
-            out = []
-            flush(now, state, out)
-            yield rows(out)
+            yield from flush(now, state)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for row in finished(batches):
+            out.append(row)
+            size += len(row[2])
+            if len(out) == BATCH_ROWS or size >= BATCH_CHARS:  # a conversation may be larger than a batch
+                yield rows(out)
+                out, size = [], 0
+        yield rows(out)
 
     kinds = {"conv_id": pa.int64(), "n": pa.int64(), "segment": pa.string(), "loss_from": pa.int64(),
              "loss_to": pa.int64()}

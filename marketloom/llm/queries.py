@@ -76,9 +76,9 @@ escapes AS (
   FROM c, marks GROUP BY conv_id),
 whole AS (
   SELECT conv_id, count(*) AS n_turns,
-         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
          CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-         sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), ''))
+         sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), ''))
            AS loss_sha256,
          CAST(sum(length(role) + length(text) + 24) AS BIGINT) AS plain FROM c GROUP BY conv_id)
 SELECT whole.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, plain + n AS formatted_chars

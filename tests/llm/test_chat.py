@@ -1,4 +1,5 @@
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -76,3 +77,28 @@ def test_streamed_answer(spark):
 def test_query_reads_the_hostile_conversation_back(spark):
     rows = {r.conv_id: r for r in queries.op3_chat(spark, "/root/testdata/sf0.001").collect()}
     assert rows[-7].n_turns == 2 and rows[-7].loss_chars == len(queries.HOSTILE)
+
+
+def test_time_grows_in_proportion_with_a_conversation():
+    def seconds(n):
+        state, start = chat.Conversation(), time.perf_counter()
+        for i in range(n):
+            state.apply("message", None, "user", "x")
+            if i % 3 == 0:
+                state.apply("edit", max(0, i // 2), None, "y")
+        return time.perf_counter() - start, len(state.order)
+
+    seconds(1000)
+    (short, _), (long, _) = min(seconds(20_000) for _ in range(3)), min(seconds(200_000) for _ in range(3))
+    assert long < 30 * short
+
+
+def test_a_long_conversation_comes_out_whole(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BATCH_ROWS", 700)
+    events = spark.range(20_000).selectExpr(
+        "7L as conv_id", "id as seq", "'message' as kind", "cast(null as long) as turn",
+        "if(id % 2 = 0, 'user', 'assistant') as role", "concat('t', id) as text")
+    segments = chat.format_events(events).collect()
+    assert [r.n for r in segments] == list(range(20_000))
+    assert [chat.parse(r.segment)[1] for r in segments] == [f"t{n}" for n in range(20_000)]
+    assert chat.digests(chat.format_events(events)).first().n_turns == 20_000
