@@ -140,6 +140,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Keeps all columns. Rows that repeat the kept id stay; so do rows without id, as nothing names them.
     """
     found = near_duplicates(docs, id_col, text_col)
-    kept = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(
-        F.col("doc_id").alias("_loom_kept"))
-    return docs.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col("_loom_kept")), "left_semi")
+    kept = stage(found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(
+        F.col("doc_id").alias("_loom_kept")).distinct(), "kept-ids")  # a plain table, so that a hot id can be split
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_loom_kept")), "left_semi")
