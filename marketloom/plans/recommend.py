@@ -69,6 +69,18 @@ def item_cf(
     return top_scored(item_cf_scores(ratings, sim, threshold, only), ["user_id"], "score", "item_id", n)
 
 
+def stored_item_cf(
+    ratings: DataFrame, neighbours: DataFrame, n: int = TOP_N, threshold: float = THRESHOLD, only: DataFrame | None = None,
+) -> DataFrame:
+    """``item_cf`` over the bucketed tables of ``save_matrices``: ratings meet the neighbours of their item bucket by bucket,
+    without an exchange; only the contributions are shuffled."""
+    mine = of_users(ratings, only)
+    met = mine.join(neighbours.filter(F.col("sim") > threshold), ["item_id", "salt"])
+    parts = met.select("user_id", F.col("other_id").alias("item_id"), (F.col("sim") * F.col("rating")).alias("num"),
+                       F.col("sim").alias("den"))
+    return top_scored(unseen_scores(parts, mine, 0.0), ["user_id"], "score", "item_id", n)
+
+
 def user_cf_scores(ratings: DataFrame, threshold: float = THRESHOLD, only: DataFrame | None = None) -> DataFrame:
     """Neighbour-weighted mean rating of every unseen item, without a user x user table.
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from marketloom import fixtures as fx
 from marketloom.functions.jsonops import parse_json_columns
 from marketloom.plans import similarity as sm
-from marketloom.plans.recommend import item_cf
+from marketloom.plans.recommend import item_cf, stored_item_cf
 from marketloom.registry.base import query, r6
 from marketloom.registry.market import mean, sd
 from marketloom.registry.recs import COS_ITEM, TOP, cf_sql, ranked, show
@@ -13,6 +13,7 @@ from marketloom.session import staging_path
 from marketloom.sources import files as fi
 from marketloom.sources import stores as st
 from marketloom.streaming import jobs as sj
+from marketloom.streaming.ratings import RatingsTable
 
 V = fx.with_views
 
@@ -102,9 +103,9 @@ def save_processed(spark, sf):
 def save_matrices(spark, sf):
     path = staging_path(spark, "matrices")
     ratings = fx.ratings(spark, sf)
-    st.save_matrices(path, ratings=ratings, sim_item=sm.item_cosine(ratings))
+    st.save_matrices(path, ratings, sim_item=sm.item_cosine(ratings))
     back = st.load_matrices(spark, path, "ratings", "sim_item")
-    return show(item_cf(back["ratings"], sim=back["sim_item"]))
+    return show(stored_item_cf(back["ratings"], back["sim_item"]))
 
 
 @query("sim_store", V("ratings_large", f"""ratings AS (SELECT * FROM ratings_large), {COS_ITEM} SELECT i, j, round(sim, 6) AS sim FROM cos WHERE i < j AND sim > 0.1"""))
@@ -211,6 +212,16 @@ def stream_ratings(spark, sf):
     return sj.merged_ratings(run(spark, sj.valid_interactions(stream)))
 
 
+@query("stream_merge_ratings", V("ratings", "SELECT user_id, item_id, rating FROM ratings"))
+def stream_merge_ratings(spark, sf):
+    raw = fx.raw_interactions(spark, sf)
+    path = slices(spark, raw.withColumn("_t", F.unix_millis(F.col("ts").cast("timestamp"))))
+    table = RatingsTable(spark, staging_path(spark, "ratings"), buckets=8)
+    valid = sj.valid_interactions(sj.file_stream(spark, path, raw.schema, FILES))
+    table.follow(valid, staging_path(spark, "cp")).awaitTermination()
+    return table.read()
+
+
 @query("stream_dead_letters", V("raw_interactions", "SELECT event_id, user_id, item_id, ts FROM raw_interactions WHERE interaction_type IS NULL"))
 def stream_dead_letters(spark, sf):
     raw = fx.raw_interactions(spark, sf)
@@ -244,14 +255,16 @@ def stream_price_alerts(spark, sf):
     bars = fx.prices_long(spark, sf).select("project_id", "timestamp", "price")
     path = slices(spark, bars.withColumn("_t", F.unix_millis(F.col("timestamp").cast("timestamp"))))
     hits = sj.alert_hits(sj.file_stream(spark, path, bars.schema, FILES), alerts)
-    return run(spark, sj.fire_once(hits), "rocksdb").select("alert_id", "project_id", "timestamp")
+    return run(spark, sj.fire_once(hits, keep_days=4000), "rocksdb").select("alert_id", "project_id", "timestamp")
 
 
-@query("stream_events", V("prices_long", f"""p AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY "timestamp") AS pos FROM prices_long)
-  SELECT project_id, "timestamp", coalesce(CAST(price > {mean('price', 7)} + 2 * ({sd('price', 7)}) AS INT), 0) AS pump,
-    coalesce(CAST(price < {mean('price', 7)} - 2 * ({sd('price', 7)}) AS INT), 0) AS dump FROM p"""))
+@query("stream_events", V("prices_long", f"""p AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY "timestamp") AS pos FROM prices_long),
+  flags AS (SELECT project_id, "timestamp", coalesce(CAST(price > {mean('price', 7)} + 2 * ({sd('price', 7)}) AS INT), 0) AS pump,
+    coalesce(CAST(price < {mean('price', 7)} - 2 * ({sd('price', 7)}) AS INT), 0) AS dump FROM p)
+  SELECT * FROM flags WHERE (epoch_ms("timestamp"::TIMESTAMP) // 5529600000 + 1) * 5529600000
+    <= epoch_ms((SELECT max("timestamp") FROM prices_long)::TIMESTAMP) - 172800000"""))
 def stream_events(spark, sf):
     bars = fx.prices_long(spark, sf).select("project_id", "timestamp", "price")
     path = slices(spark, bars.withColumn("_t", F.unix_millis(F.col("timestamp").cast("timestamp"))))
-    return run(spark, sj.pump_dump(sj.file_stream(spark, path, bars.schema, FILES)), "rocksdb").select(
+    return run(spark, sj.pump_dump(sj.file_stream(spark, path, bars.schema, FILES), "2 days", chunk_ms=64 * sj.DAY_MS), "rocksdb").select(
         "project_id", "timestamp", "pump", "dump")

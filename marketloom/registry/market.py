@@ -196,11 +196,11 @@ STATE = f"""ago AS (SELECT project_id, price AS week_ago FROM prices_long
         ELSE 'Multiple technical indicators suggest selling opportunity' END ELSE 'No clear signals detected' END AS reason,
       CASE action WHEN 'buy' THEN price * (1 + abs(d24) / 200) WHEN 'sell' THEN price END AS target_price,
       CASE action WHEN 'buy' THEN price * 0.95::DOUBLE END AS stop_loss,
-      CASE WHEN action = 'hold' THEN 0.5::DOUBLE ELSE round(0.3::DOUBLE + 0.4::DOUBLE * (CASE WHEN action = 'buy' THEN
+      CASE WHEN action = 'hold' THEN 0.5::DOUBLE ELSE round(0.3::DOUBLE + 0.4::DOUBLE * ((CASE WHEN action = 'buy' THEN
           CAST(ma_label = 'bullish' AS INT) + CAST(rsi_label = 'oversold' AS INT) + CAST(macd_label = 'bullish' AS INT)
           + CAST(spike AS INT) + CAST(momentum_label = 'positive' AS INT)
         ELSE CAST(ma_label = 'bearish' AS INT) + CAST(rsi_label = 'overbought' AS INT) + CAST(macd_label = 'bearish' AS INT)
-          + CAST(spike AS INT) + CAST(momentum_label = 'negative' AS INT) END) / 5, 2) END AS confidence FROM lb)"""
+          + CAST(spike AS INT) + CAST(momentum_label = 'negative' AS INT) END) / 5::DOUBLE), 2) END AS confidence FROM lb)"""
 
 
 @query("trading_signals", V("prices_long", f"""{STATE} SELECT project_id, "timestamp" AS updated_at, action, confidence, reason,
@@ -222,11 +222,11 @@ INFO = """info AS (SELECT id AS project_id, CASE WHEN n % 5 <> 0 THEN n * 3 END
 
 @query("signal_confidence", V("prices_long brand_items", f"""{STATE}, {INFO}, v AS (
     SELECT s.*, i.price_change_percentage_24h AS pct, CASE WHEN maturity_score IS NULL THEN base ELSE least(0.95::DOUBLE, base + maturity_score / 200) END AS c
-    FROM (SELECT *, 0.3::DOUBLE + 0.4::DOUBLE * (CASE WHEN action = 'buy' THEN
+    FROM (SELECT *, 0.3::DOUBLE + 0.4::DOUBLE * ((CASE WHEN action = 'buy' THEN
           CAST(ma_label = 'bullish' AS INT) + CAST(rsi_label = 'oversold' AS INT) + CAST(macd_label = 'bullish' AS INT)
           + CAST(spike AS INT) + CAST(momentum_label = 'positive' AS INT)
         ELSE CAST(ma_label = 'bearish' AS INT) + CAST(rsi_label = 'overbought' AS INT) + CAST(macd_label = 'bearish' AS INT)
-          + CAST(spike AS INT) + CAST(momentum_label = 'negative' AS INT) END) / 5 AS base FROM lb) s LEFT JOIN info i USING (project_id))
+          + CAST(spike AS INT) + CAST(momentum_label = 'negative' AS INT) END) / 5::DOUBLE) AS base FROM lb) s LEFT JOIN info i USING (project_id))
   SELECT project_id, action, CASE WHEN action = 'hold' THEN 0.5::DOUBLE
     ELSE round(CASE WHEN abs(pct) > 20 THEN greatest(0.05::DOUBLE, c - 0.1::DOUBLE) ELSE c END, 2) END AS confidence FROM v""", recursive=True))
 def signal_confidence(spark, sf):

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 # Interaction types and the weight range of valid events.
 INTERACTION_TYPES = ["view", "favorite", "portfolio_add", "research", "click"]
 MIN_WEIGHT, MAX_WEIGHT = 1, 5
 
+DAY_MS = 86_400_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -78,48 +80,108 @@ def alert_hits(prices: DataFrame, alerts: DataFrame) -> DataFrame:
     return prices.join(alerts, "project_id").filter(met).select("alert_id", "project_id", "timestamp", "price")
 
 
-def fire_once(hits: DataFrame) -> DataFrame:
-    """First hit of every alert; the state is one flag per fired alert (ST3)."""
+def fire_once(hits: DataFrame, delay: str = "1 day", keep_days: int = 90) -> DataFrame:
+    """First hit of every alert (ST3); the state is one flag per fired alert.
+
+    A flag expires ``keep_days`` after its hit, when the watermark has passed that time; by then the alert should be gone
+    from the static side, or it may fire again. Hits later than the watermark are dropped.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in hits.schema}
+    schema = ", ".join(f"{c} {fields[c]}" for c in ("alert_id", "project_id", "timestamp", "price"))
+    timed = hits.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", delay)
+    return timed.groupBy("alert_id").transformWithStateInPandas(
+        FireOnce(keep_days), schema, "append", "eventtime")
+
+
+class FireOnce(StatefulProcessor):
+    def __init__(self, keep_days: int):
+        self.keep_ms = keep_days * DAY_MS
 
-    def first(key, frames, state: GroupState):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.fired = handle.getValueState("fired", "at bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         best = None
-        for frame in frames:  # batches are streamed, never gathered
-            if state.exists or frame.empty:
+        known = self.fired.exists() and not self.expired(timerValues)
+        for frame in rows:  # batches are streamed, never gathered
+            if known or frame.empty:
                 continue
             row = frame.loc[frame["timestamp"].idxmin()]
             if best is None or row["timestamp"] < best["timestamp"]:
                 best = row
-        if best is not None and not state.exists:
-            state.update((True,))
-            yield pd.DataFrame(
-                {"alert_id": [key[0]], "project_id": [best["project_id"]], "timestamp": [best["timestamp"]],
-                 "price": [best["price"]]})
+        if best is not None:
+            at = best["timestamp"].value // 1_000_000
+            self.fired.update((at,))
+            self.handle.registerTimer(max(at + self.keep_ms, timerValues.getCurrentWatermarkInMs() + 1))
+            yield pd.DataFrame({"alert_id": [key[0]], "project_id": [best["project_id"]], "timestamp": [best["timestamp"]],
+                                "price": [best["price"]]})
 
-    fields = {f.name: f.dataType.simpleString() for f in hits.schema}
-    schema = ", ".join(f"{c} {fields[c]}" for c in ("alert_id", "project_id", "timestamp", "price"))
-    return hits.groupBy("alert_id").applyInPandasWithState(
-        first, schema, "fired boolean", "append", GroupStateTimeout.NoTimeout)
+    def expired(self, timerValues) -> bool:
+        return self.fired.get()[0] + self.keep_ms <= timerValues.getCurrentWatermarkInMs()
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.fired.exists() and self.expired(timerValues):  # or it has fired again in this batch
+            self.fired.clear()
+        return iter(())
 
-def pump_dump(bars: DataFrame, window: int = 7, k: float = 2.0) -> DataFrame:
+    def close(self) -> None:
+        pass
+
+
+def pump_dump(bars: DataFrame, delay: str = "1 day", window: int = 7, k: float = 2.0, chunk_ms: int = DAY_MS) -> DataFrame:
     """Pump and dump flags against the last ``window`` bars of each series (ST4).
 
-    Input are price bars, at most one per series and bucket, so a series' share of a batch stays small. The state is
-    the last ``window - 1`` prices.
+    Bars wait in the state, cut into chunks of ``chunk_ms``. When the watermark (``delay`` behind the newest bar of all
+    series) has passed the end of a chunk, a timer releases its bars in time order, so bars that arrive out of order within
+    the delay are placed right, and a task holds one chunk of a series at a time, also in a backfill. Later bars are dropped.
+    Of several bars with one time the last one wins. Between chunks the state keeps the last ``window - 1`` prices.
     """
-
-    def flags(key, frames, state: GroupState):
-        past = list(state.get[0]) if state.exists else []
-        batch = pd.concat(list(frames)).sort_values("timestamp", ignore_index=True)
-        series = pd.Series([*past, *batch["price"]], dtype="float64")
-        mean, sd = series.rolling(window).mean(), series.rolling(window).std()
-        up, down = series > mean + k * sd, series < mean - k * sd
-        state.update(([float(x) for x in series.tail(window - 1)],))
+    timed = bars.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", delay)
+    return timed.select("project_id", "timestamp", "price").groupBy("project_id").transformWithStateInPandas(
+        PumpDump(window, k, chunk_ms), "project_id string, timestamp timestamp, price double, pump int, dump int", "append",
+        "eventtime")
+
+
+class PumpDump(StatefulProcessor):
+    def __init__(self, window: int, k: float, chunk_ms: int):
+        self.window, self.k, self.chunk_ms = window, k, chunk_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.past = handle.getValueState("past", "prices array<double>")
+        self.waiting = handle.getMapState("waiting", "chunk bigint", "times array<bigint>, prices array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            times = frame["timestamp"].astype("datetime64[us]").astype("int64")
+            bars = pd.DataFrame({"t": times, "p": frame["price"].astype("float64")})
+            for chunk, part in bars.groupby(times // (1000 * self.chunk_ms)):
+                mark = (int(chunk),)
+                if self.waiting.containsKey(mark):
+                    old = self.waiting.getValue(mark)
+                else:
+                    old = ([], [])
+                    self.handle.registerTimer(int(chunk + 1) * self.chunk_ms)
+                self.waiting.updateValue(mark, ([*old[0], *map(int, part["t"])], [*old[1], *map(float, part["p"])]))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = (expiredTimerInfo.getExpiryTimeInMs() // self.chunk_ms - 1,)
+        if not self.waiting.containsKey(mark):
+            return
+        times, prices = self.waiting.getValue(mark)
+        self.waiting.removeKey(mark)
+        bars = pd.Series(dict(zip(times, prices)), dtype="float64").sort_index()
+        past = list(self.past.get()[0]) if self.past.exists() else []
+        series = pd.Series([*past, *bars], dtype="float64")
+        mean, sd = series.rolling(self.window).mean(), series.rolling(self.window).std()
+        up, down = series > mean + self.k * sd, series < mean - self.k * sd
+        self.past.update(([float(x) for x in series.tail(self.window - 1)],))
         n = len(past)
-        yield pd.DataFrame(
-            {"project_id": key[0], "timestamp": batch["timestamp"], "price": batch["price"],
-             "pump": up[n:].astype("int32").to_numpy(), "dump": down[n:].astype("int32").to_numpy()})
+        yield pd.DataFrame({
+            "project_id": key[0], "timestamp": pd.to_datetime(bars.index, unit="us"), "price": bars.to_numpy(),
+            "pump": up[n:].astype("int32").to_numpy(), "dump": down[n:].astype("int32").to_numpy()})
 
-    return bars.groupBy("project_id").applyInPandasWithState(
-        flags, "project_id string, timestamp timestamp, price double, pump int, dump int", "past array<double>", "append",
-        GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
