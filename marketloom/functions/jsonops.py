@@ -31,9 +31,14 @@ def parsed_json(text: Column, ddl: str) -> Column:
     return F.coalesce(attempt(text), attempt(repaired(text)))
 
 
-def parse_json_columns(df: DataFrame, columns: list[str], on_error: str = "empty") -> DataFrame:
+def parse_json_columns(
+    df: DataFrame, columns: list[str], on_error: str = "empty", flatten: bool = False, most_keys: int = 1000
+) -> DataFrame:
     """JSON text to ``array<string>`` (list-named columns) or ``map<string,string>``.
 
+    With ``flatten`` every map column gives way to one column ``<column>.<key>`` for each key that occurs; more than
+    ``most_keys`` keys raise ``ValueError``.
+
     Null, empty and unreadable text becomes an empty value; ``on_error='null'`` keeps null for unreadable text and
     ``on_error='raise'`` fails the query on it.
     """
@@ -52,7 +57,13 @@ def parse_json_columns(df: DataFrame, columns: list[str], on_error: str = "empty
             out[c] = F.when(blank, empty).otherwise(F.coalesce(value, F.raise_error(message).cast(ddl)))
         else:
             out[c] = F.coalesce(F.when(~blank, value), empty)
-    return df.withColumns(out)
+    parsed = df.withColumns(out)
+    for c in [c for c in out if flatten and not is_list_column(c)]:
+        keys = [r[0] for r in parsed.select(F.explode(F.map_keys(F.col(c))).alias("k")).distinct().limit(most_keys + 1).collect()]
+        if len(keys) > most_keys:
+            raise ValueError(f"{c} has more than {most_keys} keys")
+        parsed = parsed.withColumns({f"{c}.{k}": F.try_element_at(F.col(c), F.lit(k)) for k in sorted(keys)}).drop(c)
+    return parsed
 
 
 def flatten_struct(df: DataFrame, column: str, separator: str = ".") -> DataFrame:
@@ -106,14 +117,22 @@ def flatten_json(df: DataFrame, key: str, column: str, depth: int, separator: st
 
 def extract_nested(
     df: DataFrame, column: str, fields: list[str], prefix: str | None = None, keep_original: bool = False,
-    flatten_lists: bool = False,
+    flatten_lists: bool = False, errors: str = "ignore",
 ) -> DataFrame:
     """Dotted-path fields of JSON text as ``<prefix><field>`` string columns.
 
+    A missing field is null. Unreadable text gives nulls, or with ``errors='raise'`` fails the query.
+
     With ``flatten_lists`` each field that holds a JSON list is exploded on its own, and the exploded variants are
     unioned and deduplicated, as many rows per input row as there are list elements. Which fields hold lists is read
     from the data in one aggregation.
     """
+    if errors not in ("ignore", "raise"):
+        raise ValueError(f"unknown error mode {errors!r}")
+    if errors == "raise":
+        bad = F.col(column).isNotNull() & F.try_parse_json(column).isNull()
+        message = F.concat(F.lit(f"unreadable JSON in {column}: "), F.col(column))
+        df = df.withColumn(column, F.when(bad, F.raise_error(message).cast("string")).otherwise(F.col(column)))
     prefix = f"{column}_" if prefix is None else prefix
     names = [f"{prefix}{f}" for f in fields]
     out = df.withColumns({n: F.get_json_object(column, f"$.{f}") for n, f in zip(names, fields)})

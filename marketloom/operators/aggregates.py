@@ -18,16 +18,22 @@ SIMPLE_AGGS: dict[str, Callable[[str], Column]] = {
 }
 
 
+Builder = Callable[[str], Column]  # column name -> aggregate
+
+
 def pivot_table(
-    df: DataFrame, index: Sequence[str], columns: str, values: str, aggfunc: str = "mean", fill_value=None,
+    df: DataFrame, index: Sequence[str], columns: str, values: str, aggfunc: str | Builder = "mean", fill_value=None,
     order: str | None = None, dropna: bool = True,
 ) -> DataFrame:
-    """Pivot with mean, median, sum, count, min, max, std, var, first or last (A1).
+    """Pivot with mean, median, sum, count, min, max, std, var, first or last, or a function of the caller (A1).
 
-    ``first`` and ``last`` need an ``order`` column. Rows are aggregated per cell before anything is pivoted.
+    A function gets the name of the value column and returns an aggregate column. ``first`` and ``last`` need an ``order``
+    column. Rows are aggregated per cell before anything is pivoted; with ``dropna`` columns without a value are left out.
     """
     keys = [*index, columns]
-    if aggfunc == "median":
+    if callable(aggfunc):
+        cells = df.groupBy(*keys).agg(aggfunc(values).alias("_v"))
+    elif aggfunc == "median":
         cells = quantiles(df, [values], [0.5], keys=keys).select(*keys, F.col("value").alias("_v"))
     elif aggfunc in ("first", "last"):
         pick = F.min_by if aggfunc == "first" else F.max_by
@@ -35,11 +41,9 @@ def pivot_table(
     else:
         cells = df.groupBy(*keys).agg(SIMPLE_AGGS[aggfunc](values).alias("_v"))
     cells = cells.filter(F.col(columns).isNotNull())
-    wide = cells.groupBy(*index).pivot(columns).agg(F.first("_v"))
-    made = [c for c in wide.columns if c not in index]
-    if dropna and made:
-        filled = wide.agg(*[F.count(F.col(f"`{c}`")).alias(str(n)) for n, c in enumerate(made)]).first()
-        wide = wide.drop(*[c for n, c in enumerate(made) if not filled[n]])
+    filled = cells.groupBy(columns).agg(F.count("_v").alias("_n"))
+    made = [r[0] for r in (filled.filter("_n > 0") if dropna else filled).orderBy(columns).collect()]  # the new columns
+    wide = cells.groupBy(*index).pivot(columns, made).agg(F.first("_v")) if made else cells.select(*index).distinct()
     return wide if fill_value is None else wide.fillna(fill_value)
 
 
@@ -70,10 +74,11 @@ def time_bucket(ts: Column, size: str) -> Column:
 
 def time_windows(
     df: DataFrame, date_column: str, window_size: str = "1D", groupby: Sequence[str] = (),
-    agg: dict[str, Sequence[str]] | None = None,
+    agg: dict[str, Sequence[str | tuple[str, Builder]]] | None = None,
 ) -> DataFrame:
     """Tumbling buckets with ``<column>_<aggregate>`` columns (A2).
 
+    Aggregates are names, or pairs of a name and a function that gets the column name and returns an aggregate column.
     Default aggregates: mean, min, max, std for numbers, mode and nunique for text. Modes come from distributed value
     counts, so a bucket's values are never gathered.
     """
@@ -90,8 +95,10 @@ def time_windows(
             elif isinstance(f.dataType, T.StringType):
                 agg[f.name] = ["mode", "nunique"]
     fns = {**SIMPLE_AGGS, "nunique": F.countDistinct, "count": F.count}
+    named = lambda a: a if isinstance(a, tuple) else (a, fns[a])
+    wanted = [(c, *named(a)) for c, names in agg.items() for a in names if a != "mode"]
     out = stamped.groupBy(*keys).agg(
-        *[fns[a](c).alias(f"{c}_{a}") for c, names in agg.items() for a in names if a != "mode"],
+        *[build(c).alias(f"{c}_{name}") for c, name, build in wanted],
         F.count(F.lit(1)).alias("_rows"),
     ).drop("_rows")
     for c, names in agg.items():

@@ -365,7 +365,8 @@ def cold_start(
         done = found.groupBy("user_id").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= n)
         full = found.join(done, "user_id", "left_semi").select("user_id", "item_id", "score", "rank")
         rest = materialise(rest.join(done, "user_id", "left_anti"))
-    seeded = materialise(ratings.select("user_id", "item_id", "rating").unionByName(seed_ratings(rest, items, seed)))
+    both = ratings.select("user_id", "item_id", "rating").unionByName(seed_ratings(rest, items, seed))
+    seeded = materialise(both.groupBy("user_id", "item_id").agg(F.max("rating").alias("rating")))  # a seed may be rated already
     sim = materialise(item_cosine(ratings))
     hybrid_recs = hybrid(
         user_cf(seeded, 2 * n, only=rest), item_cf(seeded, 2 * n, sim=sim, only=rest),

@@ -171,19 +171,13 @@ def by_risk(signals: DataFrame) -> DataFrame:
 def personalised(signals: DataFrame, users: DataFrame) -> DataFrame:
     """Signals per user: users pick the variant of their risk tolerance, medium when it is missing.
 
-    Items are gathered into one bounded array per risk level by the caller's item limit, so no user row is shuffled
-    against all signals.
+    Every user gets every signal, so the result has users x signals rows; limit the signals before. The three levels are
+    hot keys: their users are spread over salts, and neither side is gathered.
     """
-    risk = F.coalesce("risk_tolerance", F.lit("medium"))
-    variants = by_risk(signals)
-    lists = variants.groupBy("risk_tolerance").agg(
-        F.collect_list(F.struct("project_id", "action", "confidence", "reason", "target_price")).alias("signals"))
-    return (
-        users.select("user_id", risk.alias("risk_tolerance"))
-        .join(F.broadcast(lists), "risk_tolerance")  # three rows of at most top-n signals
-        .select("user_id", "risk_tolerance", F.explode("signals").alias("s"))
-        .select("user_id", "risk_tolerance", "s.*")
-    )
+    own = users.select("user_id", F.coalesce("risk_tolerance", F.lit("medium")).alias("risk_tolerance"))
+    variants = by_risk(signals).select("risk_tolerance", "project_id", "action", "confidence", "reason", "target_price")
+    return salted_join(own, variants, ["risk_tolerance"]).select(
+        "user_id", "risk_tolerance", "project_id", "action", "confidence", "reason", "target_price")
 
 
 def technical_recs(

@@ -11,6 +11,7 @@ from marketloom.registry.market import mean, sd
 from marketloom.registry.recs import COS_ITEM, TOP, cf_sql, ranked, show
 from marketloom.session import staging_path
 from marketloom.sources import files as fi
+from marketloom.sources import ranges as ra
 from marketloom.sources import stores as st
 from marketloom.streaming import jobs as sj
 from marketloom.streaming.ratings import RatingsTable
@@ -47,6 +48,28 @@ def read_json(spark, sf):
     return back.select("event_id", "event_type", "value", F.col("props.k").alias("k"))
 
 
+@query("read_json_array", """SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS "props.k",
+    'say "[' || event_id || ']" \\ {' AS note FROM events""")
+def read_json_array(spark, sf):
+    path = staging_path(spark, "arrays")
+    rows = fx.table(spark, sf, "events").select(
+        "event_id", "event_type", F.from_json("props", "k long").alias("props"),
+        F.concat(F.lit('say "['), "event_id", F.lit(']" \\ {')).alias("note"))
+    ra.write_json_arrays(rows.repartition(2), path)
+    return ra.read_json_array(
+        spark, path, "event_id long, event_type string, props struct<k: long>, note string", flatten=True, range_bytes=50_000)
+
+
+@query("read_archived_csv", """SELECT event_id, event_type, value, 'x,"' || event_id || '"' AS note FROM events""")
+def read_archived_csv(spark, sf):
+    path = staging_path(spark, "archives")
+    rows = fx.table(spark, sf, "events").select(
+        "event_id", "event_type", "value", F.concat(F.lit('x,"'), "event_id", F.lit('"')).alias("note"))
+    ra.write_archived_csv(rows.filter("event_id % 2 = 0").repartition(3), f"{path}/zip", "zip")
+    ra.write_archived_csv(rows.filter("event_id % 2 = 1").repartition(2), f"{path}/xz", "xz")
+    return ra.read_archived_csv(spark, path, "event_id long, event_type string, value double, note string")
+
+
 @query("write_json", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts FROM events")
 def write_json(spark, sf):
     path = staging_path(spark, "json")

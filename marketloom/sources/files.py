@@ -30,7 +30,7 @@ def read_csv(
     Give a ``schema`` for large inputs, otherwise types are inferred in an extra pass.
     """
     if path.lower().endswith(UNSUPPORTED):
-        raise ValueError(f"compression of {path} is not supported; use gzip or bzip2")
+        raise ValueError(f"{path}: Spark's reader can't open this compression; use ranges.read_archived_csv")
     reader = spark.read.option("header", True).option("encoding", encoding).option("mode", "DROPMALFORMED")
     reader = reader.options(**options)
     df = (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path)
@@ -107,6 +107,7 @@ def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return all_rows.filter(F.col("snapshot_ts") == newest)
 
 
+# Field names of the item documents.
 DETAIL_SCHEMA = """
 id string, platforms map<string,string>, categories array<string>,
 community_data struct<reddit_subscribers: string, twitter_followers: string>,
