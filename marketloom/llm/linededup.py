@@ -152,25 +152,26 @@ class LineIndex:
         hot_above = max(min_docs - 1, (lines or 0) // HOT_PART)
         repeated = KeyFilter.of(source.filter("doc_id is not null").groupBy("owner").agg(
             F.count(F.lit(1)).alias("n")).filter("n > 1").select("owner"))
-        several = F.col("doc_id").isNotNull() & repeated.holds(F.col("owner"))
 
-        def count(batch: list) -> tuple:
+        def count(owners: list, named: list, batch: list) -> list:
+            """A row for each key of the batch, but one for each id and key where the id may occur in other rows."""
+            shared = repeated.has(np.array(owners, np.int64)) & np.array(named, bool)
             seen = Counter()
-            for text in batch:
-                seen.update(document_keys(text, shortest))
-            return *addressed(list(seen)), pa.array(list(seen.values()), pa.int64())
-
-        def name(owners: list, batch: list) -> tuple:
-            keys = {(owner, key) for owner, text in zip(owners, batch) for key in document_keys(text, shortest)}
-            return *addressed([k for _, k in keys]), pa.array([o for o, _ in keys], pa.int64())
-
-        def addressed(keys: list[bytes]) -> tuple:
-            h1, h2 = _halves(keys)
-            return pa.array(_shard(h1, shards).astype(np.int32)), pa.array(h1), pa.array(h2)
-
-        single = map_columns(source.filter(~several).select("text"), count, "shard int, h1 long, h2 long, n long")
-        shared = map_columns(source.filter(several).select("owner", "text"), name, "shard int, h1 long, h2 long, owner long")
-        keys = single.unionByName(shared.distinct().groupBy("shard", "h1", "h2").agg(F.count(F.lit(1)).alias("n")))
+            for owner, own, text in zip(owners, shared.tolist(), batch):
+                if own:
+                    seen.update((k, owner) for k in document_keys(text, shortest) if (k, owner) not in seen)
+                else:
+                    seen.update((k, None) for k in document_keys(text, shortest))
+            h1, h2 = _halves([k for k, _ in seen])
+            return [pa.array(_shard(h1, shards).astype(np.int32)), pa.array(h1), pa.array(h2),
+                    pa.array([o for _, o in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())]
+
+        # one pass of the texts; both sums are partial ones first, so a line of very many documents is one row of each task
+        lines_of = map_columns(source.select("owner", F.col("doc_id").isNotNull(), "text"), count,
+                               "shard int, h1 long, h2 long, owner long, n long")
+        by_owner = lines_of.groupBy("shard", "h1", "h2", "owner").agg(F.sum("n").alias("n"))
+        keys = by_owner.groupBy("shard", "h1", "h2").agg(
+            F.sum(F.when(F.col("owner").isNull(), F.col("n")).otherwise(1)).alias("n"))
         built = stage(keys.groupBy("shard").applyInArrow(lambda t: _shard_row(t, hot_above), INDEX), "line-index")
         hot = built.select(F.explode("hot").alias("k")).select("k.*").collect()  # at most HOT_PART keys
         return cls(built, shards, frozenset(
