@@ -115,12 +115,16 @@ def _candidates(texts: DataFrame, known: KeyFilter, classes: list[int], gram: in
     return map_columns(texts, cut, "t1 long, t2 long, start int, end int, w1 long, w2 long")
 
 
-def _word_counts(text: Column) -> Column:
+def _word_counts(marks: KeyFilter, marked: bool, key: Column, text: Column) -> Column:
+    """Number of words of the texts whose key is in the filter, or of all others; null for the rest. One function tests and
+    counts, so that a task needs one Python worker."""
+
     @F.arrow_udf("bigint")
-    def count(texts: pa.Array) -> pa.Array:
-        return pa.array([len(words_of(t)) for t in texts.to_pylist()], pa.int64())
+    def count(keys: pa.Array, texts: pa.Array) -> pa.Array:
+        wanted = marks.has(keys.to_numpy(zero_copy_only=False)) == marked
+        return pa.array([len(words_of(t)) if w else None for w, t in zip(wanted.tolist(), texts.to_pylist())], pa.int64())
 
-    return count(text)
+    return count(key, text)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id",
@@ -154,10 +158,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
         F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"])).alias("n_hit"),
         "items", "spans").alias("_loom_hit")), "hit-texts")
     marked = docs.withColumns({"_loom_t1": keys[0], "_loom_t2": keys[1]})
-    maybe = KeyFilter.of(hits.select("_loom_t1")).holds(F.col("_loom_t1"))
-    counted = marked.withColumn("_loom_n", F.when(text.isNull(), F.lit(0).cast("long")).otherwise(_word_counts(text)))
-    clean = counted.filter(~maybe).withColumn("_loom_hit", F.lit(None).cast(hits.schema["_loom_hit"].dataType))
-    dirty = counted.filter(maybe).join(hits, ["_loom_t1", "_loom_t2"], "left").select(*clean.columns)
+    marks = KeyFilter.of(hits.select("_loom_t1"))
+    part = lambda kept: marked.withColumn("_loom_n", _word_counts(marks, kept, F.col("_loom_t1"), text)).filter(
+        "_loom_n is not null")
+    clean = part(False).withColumn("_loom_hit", F.lit(None).cast(hits.schema["_loom_hit"].dataType))
+    dirty = part(True).join(hits, ["_loom_t1", "_loom_t2"], "left").select(*clean.columns)
     found = F.struct(F.col("_loom_n").alias("n_words"), F.coalesce("_loom_hit.n_hit", F.lit(0).cast("long")).alias("n_hit"),
                      F.coalesce("_loom_hit.items", F.array().cast("array<bigint>")).alias("items"),
                      F.coalesce("_loom_hit.spans", F.array().cast("array<struct<start:int,`end`:int>>")).alias("spans"))
