@@ -43,6 +43,12 @@ def arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+def text_slices(column: pa.Array, rows: int = 512) -> Iterator:
+    """The values of a column as Python objects, a few rows at a time: a batch of long texts is never held twice."""
+    for start in range(0, len(column), rows):
+        yield from column.slice(start, rows).to_pylist()
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a shared intermediate as Parquet below ``spark.checkpoint.dir`` and read it back.
 

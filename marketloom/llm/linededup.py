@@ -31,6 +31,7 @@ SHARD_BYTES = 32 << 20
 HOT_PART = 65_536  # a key with more than this part of all lines is hot
 SPACIOUS = 1.5  # places of a level for each key that is left
 MOST_COUNT = 65_535
+CUT_ROWS = 512  # texts cut at once, so that an Arrow batch of long texts is not held three times
 
 
 def line_key(line: bytes) -> bytes:
@@ -222,6 +223,10 @@ def _without(hot: frozenset[bytes], shortest: int):
 
     @F.arrow_udf("struct<kept string, n_lines bigint, n_dropped bigint>")
     def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
+        parts = [few(texts.slice(start, CUT_ROWS), found.slice(start, CUT_ROWS)) for start in range(0, len(texts), CUT_ROWS)]
+        return pa.concat_arrays(parts) if parts else few(texts, found)
+
+    def few(texts: pa.Array, found: pa.Array) -> pa.Array:
         kept, total, dropped = [], [], []
         for text, hashes in zip(texts.to_pylist(), found.to_pylist()):
             gone = {np.array([h["h1"], h["h2"]], "<i8").tobytes() for h in hashes or ()}

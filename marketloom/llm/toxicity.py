@@ -3,7 +3,7 @@
 A feature is the presence of a hashed n-gram of the lower-cased text. Its scale is the log ratio of the shares of toxic and
 other texts that have it, smoothed by the classes' own shares, so that a gram nobody has seen counts nothing. Grams seen
 too rarely or with a ratio near zero are left out; a logistic regression is fitted on the scaled rest. The fit takes a
-bounded sample of the labelled rows, drawn by a hash of the id; scoring reads every text whole.
+bounded sample of the labelled rows, drawn by a hash of the id and stored once; scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marketloom.llm.common import worker_cache
+from marketloom.llm.common import stage, text_slices
 from marketloom.llm.wordhash import mixed
 
 ORDERS = (3, 4, 5)
@@ -25,6 +26,7 @@ MAX_ROWS = 40_000  # labelled rows of the fit (expected number of a hash sample)
 MIN_COUNT = 5
 MIN_RATIO = 1.0
 SMOOTHING = 1.0
+VECTOR_ROWS = 256  # rows of one Arrow batch of sparse vectors
 
 
 def grams(text: str) -> np.ndarray:
@@ -58,7 +60,7 @@ class ToxicModel:
             table = np.zeros(1 << BITS, np.float32)
             table[model.buckets] = model.weights
             out = []
-            for t in texts.to_pylist():
+            for t in text_slices(texts):
                 found = grams(t or "")
                 hit = np.unique(found[table[found] != 0])
                 out.append(model.intercept + float(table[hit].sum(dtype=np.float64)))
@@ -85,13 +87,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         F.col(id_col).alias("_loom_id")).agg(F.max(label).alias("toxic"))
     share = min(1.0, max_rows / max(1, known.count()))
     sample = known.filter(F.pmod(F.xxhash64("_loom_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    texts = docs.select(F.col(id_col).alias("_loom_id"), F.col(text_col).cast("string").alias("text")).join(
-        F.broadcast(sample), "_loom_id").filter("text is not null").select("text", "toxic")
+    texts = stage(docs.select(F.col(id_col).alias("_loom_id"), F.col(text_col).cast("string").alias("text")).join(
+        F.broadcast(sample), "_loom_id").filter("text is not null").select("text", "toxic"), "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rows = np.zeros((2, 1 << BITS), np.int64), [0, 0]
         for batch in batches:
-            for text, toxic in zip(*[c.to_pylist() for c in batch.columns]):
+            for text, toxic in zip(text_slices(batch["text"]), batch["toxic"].to_pylist()):
                 seen[toxic, np.unique(grams(text))] += 1
                 rows[toxic] += 1
         used = np.flatnonzero(seen.any(axis=0))
@@ -121,21 +123,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _regression(texts: DataFrame, bucket: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.ml.linalg import VectorUDT
 
     size = len(bucket)
 
-    def place(text: str):
-        table = worker_cache("toxic buckets")
-        if table.get("of") is not bucket:
-            places = np.full(1 << BITS, -1, np.int32)
-            places[bucket] = np.arange(size)
-            table.update({"of": bucket, "places": places})
-        at = table["places"][grams(text)]
-        at = np.unique(at[at >= 0])
-        return Vectors.sparse(size, at, ratio[at])
-
-    rows = texts.select(F.udf(place, VectorUDT())("text").alias("features"), F.col("toxic").cast("double").alias("label"))
+    kind = pa.struct([
+        ("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = np.full(1 << BITS, -1, np.int32)
+        places[bucket] = np.arange(size)
+        for whole in batches:
+            for start in range(0, whole.num_rows, VECTOR_ROWS):
+                batch = whole.slice(start, VECTOR_ROWS)
+                found = [np.unique(places[grams(t)]) for t in batch["text"].to_pylist()]
+                found = [at[at >= 0] for at in found]
+                ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+                at = np.concatenate(found)
+                vectors = pa.StructArray.from_arrays([
+                    pa.array(np.zeros(len(found)), pa.int8()), pa.array(np.full(len(found), size), pa.int32()),
+                    pa.ListArray.from_arrays(ends, pa.array(at, pa.int32())),
+                    pa.ListArray.from_arrays(ends, pa.array(ratio[at], pa.float64()))], fields=list(kind))
+                yield pa.RecordBatch.from_arrays([vectors, batch["toxic"].cast(pa.float64())], names=["features", "label"])
+
+    rows = texts.mapInArrow(place, T.StructType([
+        T.StructField("features", VectorUDT()), T.StructField("label", T.DoubleType())]))
     model = LogisticRegression(maxIter=40, regParam=1e-4, standardization=False, tol=1e-5).fit(rows)
     return model.coefficients.toArray(), float(model.intercept)
 
