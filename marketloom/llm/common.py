@@ -60,6 +60,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def worker_cache(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, so that tasks of one worker share it."""
+    """A dictionary that lives as long as the Python worker, so that tasks of one worker share it.
+
+    A worker serves one stage after another, so it holds the memory of one name only: asking for another name empties it.
+    """
     store = sys.modules.setdefault("_loom_worker_cache", types.ModuleType("_loom_worker_cache"))
-    return store.__dict__.setdefault(name, {})
+    held = store.__dict__.setdefault("held", {})
+    if name not in held:
+        held.clear()
+        pa.default_memory_pool().release_unused()
+        held[name] = {}
+    return held[name]

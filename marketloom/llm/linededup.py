@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import id_text, map_columns, stage
+from marketloom.llm.common import id_text, map_columns, stage, worker_cache
 from marketloom.llm.keyfilter import KeyFilter
 
 SHARD_BYTES = 32 << 20
@@ -156,6 +156,7 @@ class LineIndex:
 
         def count(owners: list, named: list, batch: list) -> list:
             """A row for each key of the batch, but one for each id and key where the id may occur in other rows."""
+            worker_cache("lines")  # drops what other operators left in this worker
             shared = repeated.has(np.array(owners, np.int64)) & np.array(named, bool)
             seen = Counter()
             for owner, own, text in zip(owners, shared.tolist(), batch):

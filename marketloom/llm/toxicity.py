@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.llm.common import stage, text_slices
+from marketloom.llm.common import stage, text_slices, worker_cache
 from marketloom.llm.wordhash import mixed
 
 ORDERS = (3, 4, 5)
@@ -57,6 +57,7 @@ class ToxicModel:
 
         @F.arrow_udf("double")
         def scored(texts: pa.Array) -> pa.Array:
+            worker_cache("toxicity")  # drops what other operators left in this worker
             table = np.zeros(1 << BITS, np.float32)
             table[model.buckets] = model.weights
             out = []
@@ -91,6 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         F.broadcast(sample), "_loom_id").filter("text is not null").select("text", "toxic"), "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         seen, rows = np.zeros((2, 1 << BITS), np.int64), [0, 0]
         for batch in batches:
             for text, toxic in zip(text_slices(batch["text"]), batch["toxic"].to_pylist()):
