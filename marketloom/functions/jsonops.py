@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketloom.session import materialise
+
 LIST_SUFFIXES = ("_list", "_array")
 
 
@@ -115,6 +117,39 @@ def flatten_json(df: DataFrame, key: str, column: str, depth: int, separator: st
     return rows
 
 
+def walk_json(df: DataFrame, key: str, column: str, separator: str = ".") -> DataFrame:
+    """Unknown schema and depth: ``(key, path, value)`` rows for every leaf, paths like ``a.b`` and ``a[0]``.
+
+    The text is parsed once. Each round opens one level of what is still nested, and the walk ends when nothing is, so
+    branches of unequal depth cost only their own levels; rounds are as many as the deepest value has levels. Strings
+    are leaves whatever they hold; numbers have their shortest form, JSON null is a null value. Empty objects and arrays
+    have no leaf. Unreadable text (also an object that repeats a key) and null are one leaf with an empty path.
+    """
+    parsed = F.try_parse_json(F.col(column))
+    rows = df.select(
+        F.col(key).alias("_key"), F.lit("").alias("path"), parsed.alias("v"),
+        F.when(parsed.isNull(), F.col(column)).alias("text"))
+    leaves = []
+    while True:
+        fields = F.try_variant_get("v", "$", "map<string,variant>")
+        elements = F.try_variant_get("v", "$", "array<variant>")
+        opened = materialise(rows.withColumns({"m": fields, "l": elements}).withColumn(
+            "nested", F.col("m").isNotNull() | F.col("l").isNotNull()))
+        leaves.append(opened.filter("NOT nested").select(
+            F.col("_key").alias(key), "path", F.coalesce("text", F.try_variant_get("v", "$", "string")).alias("value")))
+        nested = opened.filter("nested")
+        if nested.isEmpty():
+            return reduce(lambda x, y: x.unionByName(y), leaves)
+        dotted = lambda k: F.when(F.col("path") == "", k).otherwise(F.concat("path", F.lit(separator), k))
+        below = F.when(
+            F.col("m").isNotNull(),
+            F.transform(F.map_entries("m"), lambda e: F.struct(dotted(e["key"]).alias("p"), e["value"].alias("v")))
+        ).otherwise(F.transform("l", lambda v, n: F.struct(
+            F.concat("path", F.lit("["), n.cast("string"), F.lit("]")).alias("p"), v.alias("v"))))
+        rows = nested.select("_key", F.explode(below).alias("c")).select(
+            "_key", F.col("c.p").alias("path"), F.col("c.v").alias("v"), F.lit(None).cast("string").alias("text"))
+
+
 def extract_nested(
     df: DataFrame, column: str, fields: list[str], prefix: str | None = None, keep_original: bool = False,
     flatten_lists: bool = False, errors: str = "ignore",

@@ -453,6 +453,17 @@ def flatten_json(spark, sf):
     return js.flatten_json(fx.table(spark, sf, "events").select("event_id", doc.alias("doc")), "event_id", "doc", 3)
 
 
+@query("walk_json", """WITH d AS (SELECT event_id, '{"p":' || props || ',"l":[' || user_id || ',{"t":"' || event_type || '[1]"}]' ||
+    CASE WHEN event_id % 3 = 0 THEN ',"d":{"e":{"f":[true,null,[' || user_id || ',{}]]}}' ELSE '' END || '}' AS doc FROM events)
+  SELECT event_id, substr(t.fullkey, 3) AS path, t.atom ->> '$' AS value FROM d, json_tree(d.doc) t WHERE t.type NOT IN ('OBJECT', 'ARRAY')""")
+def walk_json(spark, sf):
+    deep = F.when(F.col("event_id") % 3 == 0, F.concat(
+        F.lit(',"d":{"e":{"f":[true,null,['), F.col("user_id").cast("string"), F.lit(',{}]]}}'))).otherwise("")
+    doc = F.concat(F.lit('{"p":'), "props", F.lit(',"l":['), F.col("user_id").cast("string"), F.lit(',{"t":"'),
+                   "event_type", F.lit('[1]"}]'), deep, F.lit("}"))
+    return js.walk_json(fx.table(spark, sf, "events").select("event_id", doc.alias("doc")), "event_id", "doc")
+
+
 @query("extract_nested", """SELECT event_id, unnest([CAST(user_id AS VARCHAR), event_type]) AS doc_list, json_extract_string(props, '$.k') AS "doc_a.k"
   FROM events""")
 def extract_nested(spark, sf):

@@ -118,3 +118,34 @@ def test_weak_neighbours_are_found_by_the_bound_of_each_pair(spark):
     got = {(r.user_id, r.item_id): (r.num, r.den) for r in weak_user_parts(frame, 0.1).collect()}
     assert want and got.keys() == want.keys()
     assert all(abs(got[k][0] - want[k][0]) < 1e-9 and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
+def test_walk_json_opens_every_level(spark):
+    """Against a plain walk: unequal depths, strings that look like JSON, unreadable and null texts."""
+    import json
+
+    from marketloom.functions.jsonops import walk_json
+
+    deep = 7
+    for n in range(40):
+        deep = {"a": deep} if n % 2 else [n, deep]
+    texts = {
+        1: json.dumps({"a": 1, "b": {"c": [True, None, {"d": "x"}]}, "e": {}, "f": []}), 2: json.dumps(deep), 3: "[[[]]]",
+        4: '"[1, 2]"', 5: json.dumps({"s": '{"not": "opened"}', "a.b": 2}), 6: "{broken", 7: None, 8: "", 9: "null", 10: "12"}
+
+    def leaves(value, path=""):
+        if isinstance(value, dict):
+            for k, v in value.items():
+                yield from leaves(v, f"{path}.{k}" if path else k)
+        elif isinstance(value, list):
+            for n, v in enumerate(value):
+                yield from leaves(v, f"{path}[{n}]")
+        else:
+            yield path, value if value is None or isinstance(value, str) else json.dumps(value)
+
+    want = [(i, p, v) for i, t in texts.items() if i not in (6, 7, 8) for p, v in leaves(json.loads(t))]
+    want += [(6, "", "{broken"), (7, "", None), (8, "", "")]
+    df = spark.createDataFrame(list(texts.items()), "path long, v string")  # names that the walk itself uses
+    got = walk_json(df.withColumnsRenamed({"path": "id"}), "id", "v").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert walk_json(df.limit(0).withColumnsRenamed({"path": "id"}), "id", "v").collect() == []
