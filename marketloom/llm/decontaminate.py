@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import map_columns, stage, worker_cache
+from marketloom.llm.common import map_columns, stage, text_slices, worker_cache
 from marketloom.llm.keyfilter import KeyFilter
 from marketloom.llm.wordhash import ODD, OTHER, WordHashes, mixed, rolling, spans, winnowed
 
@@ -122,7 +122,7 @@ def _word_counts(marks: KeyFilter, marked: bool, key: Column, text: Column) -> C
     @F.arrow_udf("bigint")
     def count(keys: pa.Array, texts: pa.Array) -> pa.Array:
         wanted = marks.has(keys.to_numpy(zero_copy_only=False)) == marked
-        return pa.array([len(words_of(t)) if w else None for w, t in zip(wanted.tolist(), texts.to_pylist())], pa.int64())
+        return pa.array([len(words_of(t)) if w else None for w, t in zip(wanted.tolist(), text_slices(texts))], pa.int64())
 
     return count(key, text)
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import id_text, map_columns, stage, worker_cache
+from marketloom.llm.common import id_text, map_columns, release_memory, stage, worker_cache
 from marketloom.llm.keyfilter import KeyFilter
 
 SHARD_BYTES = 32 << 20
@@ -225,6 +225,7 @@ def _without(hot: frozenset[bytes], shortest: int):
     @F.arrow_udf("struct<kept string, n_lines bigint, n_dropped bigint>")
     def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
         parts = [few(texts.slice(start, CUT_ROWS), found.slice(start, CUT_ROWS)) for start in range(0, len(texts), CUT_ROWS)]
+        release_memory()
         return pa.concat_arrays(parts) if parts else few(texts, found)
 
     def few(texts: pa.Array, found: pa.Array) -> pa.Array:

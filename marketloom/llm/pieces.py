@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import worker_cache
+from marketloom.llm.common import release_memory, worker_cache
 
 SPACE = "▁"
 KEPT_SEGMENTS = 120_000  # remembered segments of a worker; a full memory is emptied, which costs time only
@@ -229,6 +229,7 @@ def encoded(text: Column, model: bytes, check: bool = True) -> Column:
                 back.append(own.library.decode(array("I", packed).tolist()))
             parts.append(pa.StructArray.from_arrays(
                 [pa.array(ids, pa.binary()), pa.array(back, pa.string())], fields=list(kind)))
+        release_memory()
         return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return encode(text)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.llm.common import stage, text_slices, worker_cache
+from marketloom.llm.common import release_memory, stage, text_slices, worker_cache
 from marketloom.llm.wordhash import mixed
 
 ORDERS = (3, 4, 5)
@@ -65,6 +65,7 @@ class ToxicModel:
                 found = grams(t or "")
                 hit = np.unique(found[table[found] != 0])
                 out.append(model.intercept + float(table[hit].sum(dtype=np.float64)))
+            release_memory()
             return pa.array(1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -500, 500))))
 
         return scored(text.cast("string"))
@@ -100,6 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 rows[toxic] += 1
         used = np.flatnonzero(seen.any(axis=0))
         columns = [np.append(used, -1), np.append(seen[0, used], rows[0]), np.append(seen[1, used], rows[1])]
+        release_memory()
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["bucket", "n0", "n1"])
 
     counts = texts.mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(
@@ -147,6 +149,7 @@ def _regression(texts: DataFrame, bucket: np.ndarray, ratio: np.ndarray) -> tupl
                     pa.ListArray.from_arrays(ends, pa.array(at, pa.int32())),
                     pa.ListArray.from_arrays(ends, pa.array(ratio[at], pa.float64()))], fields=list(kind))
                 yield pa.RecordBatch.from_arrays([vectors, batch["toxic"].cast(pa.float64())], names=["features", "label"])
+        release_memory()
 
     rows = texts.mapInArrow(place, T.StructType([
         T.StructField("features", VectorUDT()), T.StructField("label", T.DoubleType())]))
