@@ -7,6 +7,9 @@ of documents; the last adds ``ids`` (unsigned 32-bit little-endian, begin and en
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,27 +17,47 @@ from marketloom.llm import decontaminate, linededup, pieces, simhash, toxicity
 from marketloom.llm.common import stage
 from marketloom.llm.queries import piece_vocabulary, table
 
+#: Size of the Arrow batches between executor and Python worker. The stages share one session, and what a large batch needs
+#: outside the heap stays with an executor from stage to stage.
+ARROW_BYTES = "4m"
+
+
+def small_batches(step: Callable) -> Callable:
+    """The stage in a session whose Arrow batches hold ``ARROW_BYTES``; a longer text is a batch of its own."""
+
+    @wraps(step)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+        return step(spark, docs, sf_dir)
+
+    return run_step
+
 
+@small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the classifier learns from all labelled documents of the input."""
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@small_batches
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that ten or more of them share."""
     return linededup.drop_frequent_lines(docs)
 
 
+@small_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of linked fingerprints."""
     return simhash.keep_one(docs)
 
 
+@small_batches
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words less than a twentieth lie in passages of the benchmark."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@small_batches
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their ids and the text that these decode to."""
     encoded = pieces.encode_documents(docs, piece_vocabulary())
