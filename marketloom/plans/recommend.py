@@ -160,11 +160,7 @@ def blended_cf(
     weak_features = pair_grid(shared, low=0.0, high=threshold, scale=fw).join(cf.select("i", "j"), ["i", "j"], "left_anti")
     left = shared.df.select(F.col("id").alias("i"), *[F.col(c).alias(f"a_{c}") for c in shared.dense + shared.match])
     right = shared.df.select(F.col("id").alias("j"), *[F.col(c).alias(f"b_{c}") for c in shared.dense + shared.match])
-    dot = F.lit(0.0)
-    for c in shared.dense:
-        dot = dot + F.col(f"a_{c}") * F.col(f"b_{c}") * shared.dense_weight
-    for c in shared.match:
-        dot = dot + F.when(F.col(f"a_{c}") == F.col(f"b_{c}"), shared.match_weight / len(shared.match)).otherwise(0.0)
+    dot = shared.similarity("a_", "b_")
     weak_cf = (
         cf.filter(F.col("sim") * w <= threshold).join(left, "i").join(right, "j")
         .select("i", "j", (F.col("sim") * w + dot * fw).alias("sim"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.jsonops import flatten_json
 from marketloom.operators import aggregates, encoding, series
-from marketloom.plans import signals
+from marketloom.plans import signals, similarity
 from marketloom.sources import stores
 
 START = dt.datetime(2024, 1, 1)
@@ -149,3 +149,24 @@ def test_walk_json_opens_every_level(spark):
     got = walk_json(df.withColumnsRenamed({"path": "id"}), "id", "v").collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert walk_json(df.limit(0).withColumnsRenamed({"path": "id"}), "id", "v").collect() == []
+
+
+def test_similar_items_of_one_item_without_the_whole_neighbour_table(spark, monkeypatch):
+    rows = [(i, f"n{i}", f"c{i % 3}", f"p{i % 2}", *[float((i * (c + 3)) % 11) for c in range(7)]) for i in range(40)]
+    items = spark.createDataFrame(rows, ["id", "name", "chain", "primary_category", *similarity.NUMERIC_FEATURES])
+    want = [tuple(r) for r in similarity.similar_items(items, 5).filter("i = 7").orderBy("rank").collect()]
+
+    def refused(*_, **__):
+        raise AssertionError("compares all items with all")
+
+    monkeypatch.setattr(similarity, "weighted_feature_similarity", refused)
+    got = [tuple(r) for r in similarity.similar_items(items, 5, only=7).orderBy("rank").collect()]
+    assert len(got) == 5 and [(*r[:5], round(r[5], 9), r[6]) for r in got] == [(*r[:5], round(r[5], 9), r[6]) for r in want]
+
+
+def test_cosine_within_ids_drops_the_other_members_before_pairing(spark):
+    rows = spark.createDataFrame([(u, i, 1.0 + (u + i) % 4) for u in range(6) for i in range(8)], "user_id long, item_id long, rating double")
+    ids = spark.createDataFrame([(1,), (2,), (5,), (99,)], "id long")
+    whole = {(r.i, r.j): round(r.sim, 9) for r in similarity.item_cosine(rows).collect()}
+    got = {(r.i, r.j): round(r.sim, 9) for r in similarity.item_cosine(rows, ids).collect()}
+    assert got == {p: s for p, s in whole.items() if set(p) <= {1, 2, 5}} and len(got) == 3
