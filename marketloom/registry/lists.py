@@ -77,8 +77,10 @@ def combined_cf(spark, sf):
   FROM c1 FULL OUTER JOIN c2 ON c1.i = c2.i AND c1.j = c2.j
   WHERE coalesce(c1.i, c2.i) IN (SELECT item_id FROM ids) AND coalesce(c1.j, c2.j) IN (SELECT item_id FROM ids)"""))
 def common_index_join(spark, sf):
-    a, b = sm.item_cosine(fx.ratings(spark, sf)), sm.item_cosine(fx.ratings_large(spark, sf))
-    return show_pairs(sm.common_index_join(a, b, 0.6), rank=False)
+    few, many = materialise(fx.ratings(spark, sf)), materialise(fx.ratings_large(spark, sf))
+    shared = materialise(few.select(F.col("item_id").alias("id")).intersect(many.select(F.col("item_id").alias("id"))))
+    a, b = sm.item_cosine(few, shared), sm.item_cosine(many, shared)
+    return show_pairs(sm.common_index_join(a, b, 0.6, shared), rank=False)
 
 
 # --- filters on the hybrid list, cold start, jobs -----------------------------------------------------------------
