@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.operators import aggregates as ag
+from marketloom.operators import nearest
 from marketloom.operators import scale as sc
 from marketloom.operators import series as se
 from marketloom.operators.grid import VectorTable, pair_grid, unit_rows
@@ -135,6 +136,32 @@ def test_pair_grid_small_blocks(spark):
     assert low == {(i, j) for i in range(17) for j in range(i + 1, 17) if 0.2 < sim[i, j] <= 0.6}
 
 
+@pytest.mark.parametrize("match", [0, 2])
+def test_nearest_over_many_cells_with_copies_and_zero_rows(spark, match, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.random((300, 3)), 1)
+    x[:40] = x[0]  # copies
+    x[40:44] = 0.0
+    tags = rng.integers(0, 3, (300, 2))
+    tags[:30] = 1
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"]).assign(id=rng.permutation(300), s=[f"s{t}" for t in tags[:, 0]], t=[
+        None if t == 2 else f"t{t}" for t in tags[:, 1]])
+    names = ["s", "t"][:match]
+    table = VectorTable(unit_rows(spark.createDataFrame(pdf), ["a", "b", "c"]), "id", ["a", "b", "c"], names, 0.75, 0.25 if match else 0.0)
+    sim = 0.75 * cosine(x)
+    for n in names:
+        v = pdf[n].to_numpy(dtype=object)
+        sim += 0.125 * ((v[:, None] == v[None, :]) & np.array([t is not None for t in v])[:, None])
+    monkeypatch.setattr(nearest, "VISITORS", 7)
+    monkeypatch.setattr(nearest, "TILE", 64)
+    ids, got = pdf.id.to_numpy(), {}
+    for r in nearest.nearest(table, 4, cell_rows=16, own_tree=20).collect():
+        got.setdefault(r.i, {})[r["rank"]] = (r.j, round(r.sim, 6))
+    for i in range(300):
+        best = sorted(((-round(sim[i, j], 8), ids[j]) for j in range(300) if j != i))[:4]
+        assert [got[ids[i]][n + 1] for n in range(4)] == [(j, pytest.approx(-s, abs=2e-6)) for s, j in best]
+
+
 def brute_item_scores(m, sim, threshold):
     out = {}
     for u in m.index:
