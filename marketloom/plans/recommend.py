@@ -20,6 +20,8 @@ FEATURE_WEIGHT = 0.8
 POPULARITY_WEIGHT = 0.3
 TREND_WEIGHT = 0.3
 TOP_N = 10
+USER_ROWS = 100_000  # ratings of a user that one task takes
+SMALL_NEIGHBOURS = 200_000  # rows of a neighbour table that is broadcast
 
 
 def unseen_scores(parts: DataFrame, ratings: DataFrame, min_weight: float) -> DataFrame:
@@ -38,10 +40,19 @@ def unseen_scores(parts: DataFrame, ratings: DataFrame, min_weight: float) -> Da
 def spread(ratings: DataFrame, directed: DataFrame, num: Column, den: Column) -> DataFrame:
     """Contributions to (user, candidate item): every rating meets the neighbours of its item.
 
-    The rows are not grouped here; the caller's aggregation adds them up map-side, together with the seen marks.
+    The rows are not grouped here; the caller's aggregation adds them up map-side, together with the seen marks. Small
+    neighbour tables are broadcast, and the ratings dealt out by user: then a user's contributions add up before the shuffle.
+    A user with more than ``USER_ROWS`` ratings is spread over several tasks.
     """
-    source = directed.withColumnRenamed("i", "item_id")
-    met = salted_join(spread_rows(ratings, "user_id", "item_id"), source, ["item_id"])
+    source = materialise(directed.withColumnRenamed("i", "item_id"))
+    if source.count() > SMALL_NEIGHBOURS:
+        met = salted_join(spread_rows(ratings, "user_id", "item_id"), source, ["item_id"])
+    else:
+        sizes = ratings.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+        hot = sizes.filter(F.col("_n") > USER_ROWS).select("user_id", F.ceil(F.col("_n") / USER_ROWS).alias("_parts"))
+        dealt = lookup_join(ratings, hot, ["user_id"]).withColumn(
+            "_part", F.pmod(F.xxhash64("item_id"), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+        met = spread_rows(dealt, "user_id", "_part").join(F.broadcast(source), "item_id")
     return met.select("user_id", F.col("j").alias("item_id"), num.alias("num"), den.alias("den"))
 
 
@@ -222,7 +233,7 @@ def hybrid(
     if feature_recs is not None:
         parts = parts.unionByName(
             feature_recs.filter(cut).select("user_id", "item_id", (F.col("score") / feature_scale * wf).alias("s")))
-    blended = parts.groupBy("user_id", "item_id").agg(F.sum("s").alias("s"))
+    blended = materialise(parts.groupBy("user_id", "item_id").agg(F.sum("s").alias("s")))  # read twice, at most 6n rows a user
     best = scalars(items, pop=F.max("popularity_score"), trend=F.max("trend_score"))
     bonus = items.select(
         F.col("id").alias("item_id"),

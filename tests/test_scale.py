@@ -293,3 +293,14 @@ def test_same_answer_at_any_partition_count(spark, partitions):
         best = sorted((-round(s, 8), i) for (v, i), s in scores.items() if v == u)[:5]
         want.update({(u, i, n + 1): scores[(u, i)] for n, (_, i) in enumerate(best)})
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("user_rows, most", [(100_000, 1), (3, 9)])
+def test_contributions_of_a_user_meet_in_few_tasks(spark, monkeypatch, user_rows, most):
+    monkeypatch.setattr(rc, "USER_ROWS", user_rows)
+    ratings = spark.createDataFrame([(u, i, 1.0) for u in range(40) for i in range(25)], "user_id long, item_id long, rating double")
+    near = spark.createDataFrame([(i, j, 0.5) for i in range(25) for j in range(25) if i != j], "i long, j long, sim double")
+    parts = rc.spread(ratings, near, F.col("sim") * F.col("rating"), F.col("sim")).withColumn("task", F.spark_partition_id())
+    tasks = parts.groupBy("user_id").agg(F.countDistinct("task").alias("t"), F.count(F.lit(1)).alias("n"), F.sum("num").alias("s"))
+    got = tasks.collect()
+    assert len(got) == 40 and {(r.n, r.s) for r in got} == {(600, 300.0)} and max(r.t for r in got) <= most
