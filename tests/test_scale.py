@@ -304,3 +304,16 @@ def test_contributions_of_a_user_meet_in_few_tasks(spark, monkeypatch, user_rows
     tasks = parts.groupBy("user_id").agg(F.countDistinct("task").alias("t"), F.count(F.lit(1)).alias("n"), F.sum("num").alias("s"))
     got = tasks.collect()
     assert len(got) == 40 and {(r.n, r.s) for r in got} == {(600, 300.0)} and max(r.t for r in got) <= most
+
+
+@pytest.mark.parametrize("cell, entries", [(512, 8_000_000), (4, 50)])
+def test_neighbours_without_a_pair_table(spark, monkeypatch, cell, entries):
+    ratings = spark.createDataFrame(skewed_ratings())
+    want = {(r.i, r["rank"]): (r.j, round(r.sim, 8)) for r in sm.neighbours(sm.item_cosine(ratings), 5).collect()}
+
+    def refused(*_, **__):
+        raise AssertionError("makes a row for every pair")
+
+    monkeypatch.setattr(sm, "co_occurrence", refused)
+    found = sm.cosine_neighbours(ratings, "item_id", "user_id", 5, cell, entries).collect()
+    assert {(r.i, r["rank"]): (r.j, round(r.sim, 8)) for r in found} == want and len(found) == len(want)
