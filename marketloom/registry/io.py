@@ -9,7 +9,7 @@ from marketloom.plans.recommend import item_cf, stored_item_cf
 from marketloom.registry.base import query, r6
 from marketloom.registry.market import mean, sd
 from marketloom.registry.recs import COS_ITEM, TOP, cf_sql, ranked, show
-from marketloom.session import staging_path
+from marketloom.session import materialise, staging_path
 from marketloom.sources import files as fi
 from marketloom.sources import ranges as ra
 from marketloom.sources import stores as st
@@ -134,7 +134,7 @@ def save_matrices(spark, sf):
 @query("sim_store", V("ratings_large", f"""ratings AS (SELECT * FROM ratings_large), {COS_ITEM} SELECT i, j, round(sim, 6) AS sim FROM cos WHERE i < j AND sim > 0.1"""))
 def sim_store(spark, sf):
     path = staging_path(spark, "sim")
-    large = sm.item_cosine(fx.ratings_large(spark, sf))
+    large = materialise(sm.item_cosine(materialise(fx.ratings_large(spark, sf))).filter(F.col("sim") > st.STORED_SIMILARITY))
     st.save_similarity(sm.item_cosine(fx.ratings(spark, sf)), "events", path)
     st.save_similarity(large.filter("sim > 0.5"), "orders", path)
     st.save_similarity(large, "orders", path)

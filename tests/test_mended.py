@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.jsonops import flatten_json
 from marketloom.operators import aggregates, encoding, series
 from marketloom.plans import signals, similarity
+from marketloom.registry import io
 from marketloom.sources import stores
 
 START = dt.datetime(2024, 1, 1)
@@ -170,3 +171,16 @@ def test_cosine_within_ids_drops_the_other_members_before_pairing(spark):
     whole = {(r.i, r.j): round(r.sim, 9) for r in similarity.item_cosine(rows).collect()}
     got = {(r.i, r.j): round(r.sim, 9) for r in similarity.item_cosine(rows, ids).collect()}
     assert got == {p: s for p, s in whole.items() if set(p) <= {1, 2, 5}} and len(got) == 3
+
+
+def test_stored_similarities_are_computed_once(spark, monkeypatch):
+    plans, save = [], stores.save_similarity
+
+    def noted(sim, sim_type, path):
+        if sim_type == "orders":
+            plans.append(sim._jdf.queryExecution().executedPlan().toString())
+        save(sim, sim_type, path)
+
+    monkeypatch.setattr(stores, "save_similarity", noted)
+    io.sim_store(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 2 and not any("Exchange" in p for p in plans)
