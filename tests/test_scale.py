@@ -317,3 +317,18 @@ def test_neighbours_without_a_pair_table(spark, monkeypatch, cell, entries):
     monkeypatch.setattr(sm, "co_occurrence", refused)
     found = sm.cosine_neighbours(ratings, "item_id", "user_id", 5, cell, entries).collect()
     assert {(r.i, r["rank"]): (r.j, round(r.sim, 8)) for r in found} == want and len(found) == len(want)
+
+
+def test_pairs_of_members_are_the_same_from_blocks_and_from_joins(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(2**40 + u, f"i{i}", float(v)) for u in range(40) for i, v in enumerate(rng.integers(-3, 6, 7)) if v > 3 or v % 2 == 0]
+    for rated in (rows, [r for r in rows if r[2] > 0]):  # with opposite and zero ratings, and without
+        ratings = spark.createDataFrame(rated, "user_id long, item_id string, rating double")
+        pairs = lambda: {(r.i, r.j): r.sim for r in sm.cosine_pairs(ratings, "user_id", "item_id").collect()}
+        joined = pairs()
+        monkeypatch.setattr(sm, "MANY_MEMBERS", 1)
+        assert pairs() == pytest.approx(joined)
+        unit = sm.with_unit(ratings, "user_id", "u")
+        small = sm.shared_pairs(unit, "user_id", "item_id", "u", 40, block=8, tile=20).collect()
+        assert {(r.i, r.j): r.sim for r in small} == pytest.approx(joined)
+        monkeypatch.undo()
