@@ -277,8 +277,8 @@ def stream_price_alerts(spark, sf):
         (F.col("p_retailprice") * F.when(k % 2 == 0, 45).otherwise(12)).alias("target_price"))
     bars = fx.prices_long(spark, sf).select("project_id", "timestamp", "price")
     path = slices(spark, bars.withColumn("_t", F.unix_millis(F.col("timestamp").cast("timestamp"))))
-    hits = sj.alert_hits(sj.file_stream(spark, path, bars.schema, FILES), alerts)
-    return run(spark, sj.fire_once(hits, keep_days=4000), "rocksdb").select("alert_id", "project_id", "timestamp")
+    hits = sj.first_hits(sj.file_stream(spark, path, bars.schema, FILES), alerts)
+    return run(spark, sj.fire_once(hits, None, keep_days=4000), "rocksdb").select("alert_id", "project_id", "timestamp")
 
 
 @query("stream_events", V("prices_long", f"""p AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY "timestamp") AS pos FROM prices_long),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,49 +81,115 @@ def alert_hits(prices: DataFrame, alerts: DataFrame) -> DataFrame:
     return prices.join(alerts, "project_id").filter(met).select("alert_id", "project_id", "timestamp", "price")
 
 
-def fire_once(hits: DataFrame, delay: str = "1 day", keep_days: int = 90) -> DataFrame:
-    """First hit of every alert (ST3); the state is one flag per fired alert.
+def first_hits(prices: DataFrame, alerts: DataFrame, delay: str = "1 day") -> DataFrame:
+    """``alert_hits`` with the earliest hit of each alert in a micro-batch only, and a watermark on ``timestamp``.
+
+    Of a series, only prices beyond all earlier ones of the batch can be such a hit, and only for targets between both. Rows
+    later than the watermark are dropped first, so that they hide no others.
+    """
+    timed = prices.select("project_id", F.col("timestamp").cast("timestamp").alias("timestamp"), F.col("price").cast("double").alias(
+        "price")).filter("price IS NOT NULL").withWatermark("timestamp", delay)
+    name = prices.schema["project_id"].dataType.simpleString()
+    steps = timed.groupBy("project_id").transformWithStateInPandas(
+        Steps(), f"project_id {name}, timestamp timestamp, price double, alert_type string, past double", "append",
+        "eventtime", eventTimeColumnName="timestamp")
+    new = F.col("past").isNull()
+    met = F.when(F.col("alert_type") == "above", (F.col("price") >= F.col("target_price")) & (
+        new | (F.col("target_price") > F.col("past")))).otherwise((F.col("price") <= F.col("target_price")) & (
+            new | (F.col("target_price") < F.col("past"))))
+    return steps.join(alerts, ["project_id", "alert_type"]).filter(met).select("alert_id", "project_id", "timestamp", "price")
+
+
+class Steps(StatefulProcessor):
+    """New highest and lowest prices of a series in a micro-batch, each with the one before; keeps no state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in rows:  # batches are streamed; the steps of all are the steps of their steps
+            held = pd.concat([self.steps(f) for f in ([frame] if held is None else [held, frame])]).drop_duplicates()
+        found = []
+        for kind in ("above", "below") if held is not None else ():
+            some, past = self.side(held, kind)
+            found.append(some.assign(alert_type=kind, past=pd.Series(past, index=some.index, dtype="object")))
+        for part in found:
+            yield part.assign(project_id=key[0])[["project_id", "timestamp", "price", "alert_type", "past"]]
+
+    def steps(self, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([self.side(frame, kind)[0] for kind in ("above", "below")]).drop_duplicates()
+
+    @staticmethod
+    def side(frame: pd.DataFrame, kind: str) -> tuple[pd.DataFrame, list]:
+        """Rows that pass all before them, in time order, and the price passed, None for the first. NaN is above all numbers."""
+        rows = frame[["timestamp", "price"]].sort_values("timestamp", kind="stable", ignore_index=True)
+        price = rows["price"].to_numpy(dtype="float64")
+        most = (np.maximum if kind == "above" else np.fmin).accumulate(price)
+        before = most[:-1]
+        passed = (price[1:] > before) | (np.isnan(price[1:]) & ~np.isnan(before)) if kind == "above" else (
+            (price[1:] < before) | (np.isnan(before) & ~np.isnan(price[1:])))
+        keep = np.concatenate([[True], passed])
+        return rows[keep], [None, *before[passed].tolist()]
+
+    def close(self) -> None:
+        pass
+
+
+def fire_once(hits: DataFrame, delay: str | None = "1 day", keep_days: int = 90, shards: int = 2048) -> DataFrame:
+    """First hit of every alert (ST3); the state is one flag per fired alert, kept in ``shards`` lists.
 
     A flag expires ``keep_days`` after its hit, when the watermark has passed that time; by then the alert should be gone
-    from the static side, or it may fire again. Hits later than the watermark are dropped.
+    from the static side, or it may fire again. Hits later than the watermark are dropped. Without ``delay``, ``hits`` must
+    have a watermark on ``timestamp``. The number of shards stays as it is while a checkpoint is used.
     """
     fields = {f.name: f.dataType.simpleString() for f in hits.schema}
     schema = ", ".join(f"{c} {fields[c]}" for c in ("alert_id", "project_id", "timestamp", "price"))
-    timed = hits.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", delay)
-    return timed.groupBy("alert_id").transformWithStateInPandas(
-        FireOnce(keep_days), schema, "append", "eventtime")
+    timed = hits.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", delay) if delay else hits
+    return timed.withColumn("_shard", F.pmod(F.xxhash64("alert_id"), F.lit(shards))).groupBy("_shard").transformWithStateInPandas(
+        FireOnce(keep_days, fields["alert_id"]), schema, "append", "eventtime")
 
 
 class FireOnce(StatefulProcessor):
-    def __init__(self, keep_days: int):
-        self.keep_ms = keep_days * DAY_MS
+    """Flags of the fired alerts of a shard: ids and the times of their hits."""
+
+    def __init__(self, keep_days: int, id_type: str):
+        self.keep_ms, self.id_type = keep_days * DAY_MS, id_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.fired = handle.getValueState("fired", "at bigint")
+        self.fired = handle.getValueState("fired", f"ids array<{self.id_type}>, ats array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        flags = self.known(timerValues)
         best = None
-        known = self.fired.exists() and not self.expired(timerValues)
-        for frame in rows:  # batches are streamed, never gathered
-            if known or frame.empty:
-                continue
-            row = frame.loc[frame["timestamp"].idxmin()]
-            if best is None or row["timestamp"] < best["timestamp"]:
-                best = row
-        if best is not None:
-            at = best["timestamp"].value // 1_000_000
-            self.fired.update((at,))
-            self.handle.registerTimer(max(at + self.keep_ms, timerValues.getCurrentWatermarkInMs() + 1))
-            yield pd.DataFrame({"alert_id": [key[0]], "project_id": [best["project_id"]], "timestamp": [best["timestamp"]],
-                                "price": [best["price"]]})
-
-    def expired(self, timerValues) -> bool:
-        return self.fired.get()[0] + self.keep_ms <= timerValues.getCurrentWatermarkInMs()
+        for frame in rows:  # batches are streamed; one row of an alert is held
+            new = frame[~frame["alert_id"].isin(list(flags))]
+            best = (new if best is None else pd.concat([best, new])).sort_values("timestamp", kind="stable").drop_duplicates("alert_id")
+        if best is not None and len(best):
+            ats = best["timestamp"].astype("datetime64[us]").astype("int64") // 1000
+            flags.update(zip(best["alert_id"].tolist(), ats.tolist()))
+            self.store(flags, timerValues)
+            yield best[["alert_id", "project_id", "timestamp", "price"]]
+
+    def known(self, timerValues) -> dict:
+        """Flags that have not expired."""
+        if not self.fired.exists():
+            return {}
+        ids, ats = self.fired.get()
+        passed = timerValues.getCurrentWatermarkInMs() - self.keep_ms
+        return {i: at for i, at in zip(ids, ats) if at > passed}
+
+    def store(self, flags: dict, timerValues) -> None:
+        if flags:
+            self.fired.update((list(flags), list(flags.values())))
+            self.handle.registerTimer(max(min(flags.values()) + self.keep_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        else:
+            self.fired.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.fired.exists() and self.expired(timerValues):  # or it has fired again in this batch
-            self.fired.clear()
+        if self.fired.exists():
+            self.store(self.known(timerValues), timerValues)
         return iter(())
 
     def close(self) -> None:

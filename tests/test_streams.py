@@ -168,3 +168,26 @@ def test_stored_matrices_join_without_an_exchange(spark):
     want = recommend.item_cf(ratings, sim=sim).collect()
     key = lambda r: (r.user_id, r["rank"], r.item_id, round(r.score, 9))
     assert sorted(map(key, got)) == sorted(map(key, want)) and len(got) > 100
+
+
+def test_first_hits_of_a_batch_stand_for_all_its_hits(spark):
+    jobs.use_rocksdb(spark)
+    alerts = spark.createDataFrame(
+        [(10 * p + k, "ab"[p], "above" if k % 2 else "below", float(t)) for p in range(2) for k, t in enumerate([3, 5, 40, 70, 55, 99])],
+        "alert_id long, project_id string, alert_type string, target_price double")
+    prices = [50, 40, 60, 60, 3, 71, 98, 2, 55, 100, 45, 1]
+    ticks = [[("a", START + dt.timedelta(hours=6 * b + h), float(prices[(3 * b + h) % 12])) for h in (2, 0, 1)] + [
+        ("b", START + dt.timedelta(hours=6 * b), None)] for b in range(4)]
+    ticks += [[("b", START + dt.timedelta(days=9, minutes=m), 54.0)] for m in range(2)]  # late rows are judged a batch later
+    ticks.append([("b", START, 1000.0), ("b", START + dt.timedelta(days=9, hours=1), 71.0)])  # the first is too late
+    path = arriving(spark, ticks, "project_id string, timestamp timestamp, price double")
+    found = {}
+    for name in ("first", "all"):
+        stream = jobs.file_stream(spark, path, "project_id string, timestamp timestamp, price double", 1)
+        hits = jobs.first_hits(stream, alerts) if name == "first" else jobs.alert_hits(stream, alerts)
+        frame = jobs.fire_once(hits, None if name == "first" else "1 day")
+        out = staging_path(spark, "out")
+        jobs.to_files(frame, out, staging_path(spark, "cp")).awaitTermination()
+        found[name] = sorted(map(tuple, spark.read.schema(frame.schema).parquet(out).collect()))
+    assert found["first"] == found["all"] and len(found["all"]) > 6
+    assert (15, "b") not in {r[:2] for r in found["first"]} and (13, "b") in {r[:2] for r in found["first"]}
