@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from marketloom.operators.scale import (
     clean_number, dense_codes, quantiles, salted_join, scalars, value_counts,
 )
+from marketloom.session import materialise
 
 # Category and platform flags of the feature matrix.
 FLAG_CATEGORIES = [
@@ -169,19 +170,30 @@ def tf_idf(
     ``max_terms`` terms is small and joined as such.
     """
     stops = english_stop_words() if stop_words is None else stop_words
-    n = scalars(docs, n=F.count(F.lit(1)))["n"]
-    words = docs.select(
-        key, F.explode(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), F.lit(1)))
-        .alias("term")
-    ).filter(~F.col("term").isin(stops))
-    tf = words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    terms = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    vocabulary = (
+    rows, keys = docs.agg(F.count(F.lit(1)), F.countDistinct(key)).first()
+    n = F.lit(rows)
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
+    word_lists = docs.select(key, F.filter(found, lambda t: ~t.isin(stops)).alias("words"))
+
+    def counts(lists: DataFrame) -> DataFrame:
+        return lists.select(key, F.explode("words").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+    if rows == keys:  # a key is one text: terms add up in front of the shuffle
+        marked = F.concat(
+            F.transform(F.array_distinct("words"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("tf"))),
+            F.transform("words", lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("tf"))))
+        terms = word_lists.select(F.explode(marked).alias("m")).groupBy("m.term").agg(
+            F.sum("m.df").alias("df"), F.sum("m.tf").alias("total"))
+    else:
+        terms = counts(word_lists).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    vocabulary = materialise(
         terms.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
         .orderBy(F.desc("total"), F.asc("term")).limit(max_terms)
         .select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     )
-    weighted = tf.join(F.broadcast(vocabulary), "term").withColumn("w", F.col("tf") * F.col("idf"))  # <= max_terms rows
+    wanted = [r[0] for r in vocabulary.select("term").collect()]  # <= max_terms rows
+    tf = counts(word_lists.select(key, F.filter("words", lambda t: t.isin(wanted)).alias("words")))
+    weighted = materialise(tf.join(F.broadcast(vocabulary), "term").withColumn("w", F.col("tf") * F.col("idf")))  # read twice
     length = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
     return weighted.join(length, key).select(key, "term", (F.col("w") / F.col("len")).alias("weight"))
 
@@ -225,5 +237,5 @@ def text_features(items: DataFrame, key: str, text: str, k: int = 5, **options)
     empty = sized.agg(F.avg((F.col("description_length") == 0).cast("double"))).first()[0]
     if empty is None or empty > 0.8:
         return sized
-    parts = text_components(tf_idf(items, key, text, **options), key, k)
+    parts = text_components(materialise(tf_idf(items, key, text, **options)), key, k)  # read three times
     return sized.join(parts, key, "left").fillna(0.0, [c for c in parts.columns if c != key])

@@ -282,3 +282,15 @@ def test_item_details_of_unknown_items(spark):
     items = spark.createDataFrame([(1, "n", "s", "c", "p")], "id int, name string, symbol string, chain string, primary_category string")
     row = rc.attach_items(recs, items, ["name", "symbol", "chain", "primary_category"]).first()
     assert (row["name"], row["symbol"], row["chain"], row["primary_category"]) == ("9", "", "unknown", "unknown")
+
+
+def test_term_weights_shuffle_no_words_outside_the_vocabulary(spark, monkeypatch):
+    texts = [(i, " ".join(f"word{(i * 7 + j * j) % 23} the" for j in range(i % 9 + 1))) for i in range(40)]
+    stored = []
+    monkeypatch.setattr(en, "materialise", lambda df: stored.append(df.cache()) or stored[-1])
+    docs = spark.createDataFrame(texts, "k long, t string")
+    whole = {(r.k, r.term): round(r.weight, 9) for r in en.tf_idf(docs, "k", "t", max_terms=9).collect()}
+    assert len(stored) == 2 and stored[0].count() == 9 and stored[1].count() == len(whole)
+    lines = [(k, w) for k, t in texts for w in t.split()]  # the same documents, a row for each word
+    split = en.tf_idf(spark.createDataFrame(lines, "k long, t string"), "k", "t", max_terms=9, max_df=1.0)
+    assert {(r.k, r.term) for r in split.collect()} == set(whole)
