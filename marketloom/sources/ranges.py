@@ -6,6 +6,7 @@ Files are opened on the executors through pyarrow's file systems; the driver onl
 from __future__ import annotations
 
 import lzma
+import math
 import re
 import zipfile
 from collections.abc import Iterator
@@ -124,7 +125,10 @@ def read_json_array(
     files = list_files(spark, path, recursive=True).filter("length > 0")
     cut = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(
         range_bytes).cast("long"))).alias("start"))
-    tasks = max(1, min(MOST_TASKS, cut.count()))  # a fixed number: the rows are tiny, what they stand for is not
+    ranges, size = cut.agg(F.count(F.lit(1)), F.sum(F.least(F.col("length") - F.col("start"), F.lit(range_bytes)))).first()
+    cores = spark.sparkContext.defaultParallelism
+    # a fixed number: the rows are tiny, what they stand for is not; small ranges share tasks of about RANGE_BYTES
+    tasks = max(1, min(MOST_TASKS, ranges, max(4 * cores, math.ceil((size or 0) / RANGE_BYTES))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -112,3 +112,12 @@ def test_every_user_gets_every_signal_of_the_own_level(spark):
     users = spark.createDataFrame([(1, "low"), (2, None), (3, "high")], "user_id long, risk_tolerance string")
     got = sorted((r.user_id, r.project_id, r.action) for r in signals.personalised(made, users).collect())
     assert got == [(1, "p", "hold"), (1, "q", "hold"), (2, "p", "buy"), (2, "q", "hold"), (3, "p", "buy"), (3, "q", "sell")]
+
+
+def test_small_ranges_share_tasks(spark):
+    frame = spark.range(3000).select("id", F.lit('a "[,').alias("text")).coalesce(1)
+    path = tempfile.mkdtemp(prefix="marketloom-") + "/array"
+    ranges.write_json_arrays(frame, path)
+    back = ranges.read_json_array(spark, path, "id long, text string", range_bytes=500)
+    assert sorted(r.id for r in back.collect()) == list(range(3000))
+    assert back.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
