@@ -14,12 +14,14 @@ from pyspark.sql import types as T
 from marketloom.operators.joins import union_dedupe
 from marketloom.operators.scale import lookup_join, mirrored
 from marketloom.operators.scores import stored_scores
+from marketloom.session import materialise
 
 STORED_SIMILARITY = 0.1
 
 
 BUCKET_ROWS = 2_000_000  # rows of the larger table in one bucket
 HOT_ROWS = 1_000_000  # ratings of one item that share a salt
+MET_ROWS = 5_000_000  # pairs of a rating and a neighbour of its item in one salt, and about so many in one bucket
 
 
 def save_bucketed(df: DataFrame, path: str, keys: Sequence[str], buckets: int) -> None:
@@ -49,21 +51,31 @@ def save_matrices(path: str, ratings: DataFrame, buckets: int | None = None, hot
                   **similarities: DataFrame) -> None:
     """Ratings and item similarities, bucketed alike by item for joins without an exchange (IO8).
 
-    Ratings are stored by (``item_id``, ``salt``). An item with more than ``hot_rows`` ratings gets several salts, over which
-    its ratings are spread, so no bucket holds all of a hot item. Similarity tables (``i``, ``j``, ``sim``, each pair once) are
+    Ratings are stored by (``item_id``, ``salt``). An item with more than ``hot_rows`` ratings, or so many that they meet more
+    than ``MET_ROWS`` neighbours, gets several salts, over which its ratings are spread, so no bucket holds all of a hot item. Similarity tables (``i``, ``j``, ``sim``, each pair once) are
     stored in both directions as ``item_id``, ``salt``, ``other_id``, ``sim``, the rows of an item once for each of its salts.
     """
+    directed = {name: materialise(mirrored(sim).select(F.col("i").alias("item_id"), F.col("j").alias("other_id"), "sim"))
+                for name, sim in similarities.items()}
     sizes = ratings.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n"))
-    salts = sizes.select("item_id", F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
+    degrees = [d.groupBy("item_id").agg(F.count(F.lit(1)).alias("_d")) for d in directed.values()]
+    if degrees:
+        widest = reduce(DataFrame.unionByName, degrees).groupBy("item_id").agg(F.max("_d").alias("_d"))
+        sizes = lookup_join(sizes, widest, ["item_id"])
+    else:
+        sizes = sizes.withColumn("_d", F.lit(0))
+    met = F.col("_n") * F.coalesce("_d", F.lit(0))
+    sizes = materialise(sizes.withColumn("_met", met))
+    salts = sizes.select("item_id", F.greatest(F.ceil(F.col("_n") / hot_rows), F.ceil(F.col("_met") / MET_ROWS)).cast("int").alias("_salts"))
     if buckets is None:
-        rows = max([ratings.count(), *(2 * s.count() for s in similarities.values())])
-        buckets = max(8, 1 << (rows // BUCKET_ROWS).bit_length())
+        rated, total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum("_met"), F.lit(0))).first()
+        rows = max([rated, *(d.count() for d in directed.values())])
+        buckets = max(8, 1 << (rows // BUCKET_ROWS).bit_length(), 1 << (total // MET_ROWS).bit_length())
     salted = lookup_join(ratings, salts.filter("_salts > 1"), ["item_id"]).withColumn(
         "salt", F.pmod(F.xxhash64("user_id"), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
     save_bucketed(salted, f"{path}/ratings", ["item_id", "salt"], buckets)
-    for name, sim in similarities.items():
-        directed = mirrored(sim).select(F.col("i").alias("item_id"), F.col("j").alias("other_id"), "sim")
-        copies = lookup_join(directed, salts.filter("_salts > 1"), ["item_id"]).withColumn(
+    for name, rows in directed.items():
+        copies = lookup_join(rows, salts.filter("_salts > 1"), ["item_id"]).withColumn(
             "salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
         save_bucketed(copies, f"{path}/{name}", ["item_id", "salt"], buckets)
 

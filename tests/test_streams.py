@@ -191,3 +191,17 @@ def test_first_hits_of_a_batch_stand_for_all_its_hits(spark):
         found[name] = sorted(map(tuple, spark.read.schema(frame.schema).parquet(out).collect()))
     assert found["first"] == found["all"] and len(found["all"]) > 6
     assert (15, "b") not in {r[:2] for r in found["first"]} and (13, "b") in {r[:2] for r in found["first"]}
+
+
+def test_ratings_that_meet_many_neighbours_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(stores, "MET_ROWS", 200)
+    ratings = spark.createDataFrame([(u, i, float(1 + (u * i) % 5)) for u in range(40) for i in range(12)], "user_id long, item_id long, rating double")
+    sim = similarity.item_cosine(ratings)
+    path = staging_path(spark, "matrices")
+    stores.save_matrices(path, ratings, sim_item=sim)  # an item's 40 ratings meet 11 neighbours each
+    back = stores.load_matrices(spark, path, "ratings", "sim_item")
+    assert back["ratings"].select("salt").distinct().count() == 3 and back["ratings"].count() == 480
+    got = recommend.stored_item_cf(back["ratings"].filter("item_id > 3"), back["sim_item"]).collect()
+    want = recommend.item_cf(ratings.filter("item_id > 3"), sim=sim).collect()
+    assert sorted((r.user_id, r["rank"], r.item_id, round(r.score, 9)) for r in got) == sorted(
+        (r.user_id, r["rank"], r.item_id, round(r.score, 9)) for r in want)
