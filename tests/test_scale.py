@@ -332,3 +332,12 @@ def test_pairs_of_members_are_the_same_from_blocks_and_from_joins(spark, monkeyp
         small = sm.shared_pairs(unit, "user_id", "item_id", "u", 40, block=8, tile=20).collect()
         assert {(r.i, r.j): r.sim for r in small} == pytest.approx(joined)
         monkeypatch.undo()
+
+
+def test_pairs_in_a_range_from_tiles_of_a_cell(spark, monkeypatch):
+    monkeypatch.setattr("marketloom.operators.grid.TILE", 20)
+    x = np.random.default_rng(6).normal(size=(30, 4))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    got = {(r.i, r.j): r.sim for r in sm.dense_cosine(rows, "id", "v", 4, 0.3).collect()}
+    sim = cosine(x)
+    assert got == pytest.approx({(i, j): sim[i, j] for i in range(30) for j in range(i + 1, 30) if sim[i, j] > 0.3})
