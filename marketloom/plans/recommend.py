@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketloom.operators.grid import VectorTable, pair_grid, user_grid
 from marketloom.operators.scale import (
-    co_occurrence, lookup_join, mirrored, salted_join, scalars, spread_rows, top_k, top_scored,
+    co_occurrence, lookup_join, mirrored, salted_join, scalars, spread_rows, tasks_for, top_k, top_scored,
 )
 from marketloom.plans.similarity import item_cosine, user_cosine, with_unit
 from marketloom.session import materialise
@@ -21,6 +21,7 @@ POPULARITY_WEIGHT = 0.3
 TREND_WEIGHT = 0.3
 TOP_N = 10
 USER_ROWS = 100_000  # ratings of a user that one task takes
+TASK_ROWS = 2_000_000  # contributions that one task adds up
 SMALL_NEIGHBOURS = 200_000  # rows of a neighbour table that is broadcast
 
 
@@ -28,13 +29,7 @@ def unseen_scores(parts: DataFrame, ratings: DataFrame, min_weight: float) -> Da
     """``num / den`` per unseen (user, item). Seen pairs ride along as marks, so no anti-join shuffle is needed."""
     marks = ratings.select(
         "user_id", "item_id", F.lit(0.0).alias("num"), F.lit(0.0).alias("den"), F.lit(1).alias("seen"))
-    summed = (
-        parts.withColumn("seen", F.lit(0)).unionByName(marks)
-        .groupBy("user_id", "item_id")
-        .agg(F.sum("num").alias("num"), F.sum("den").alias("den"), F.max("seen").alias("seen"))
-    )
-    return summed.filter((F.col("seen") == 0) & (F.col("den") > min_weight)).select(
-        "user_id", "item_id", (F.col("num") / F.col("den")).alias("score"))
+    return unseen(summed(parts.withColumn("seen", F.lit(0)).unionByName(marks)), min_weight)
 
 
 def spread(ratings: DataFrame, directed: DataFrame, num: Column, den: Column) -> DataFrame:
@@ -45,7 +40,11 @@ def spread(ratings: DataFrame, directed: DataFrame, num: Column, den: Column) ->
     A user with more than ``USER_ROWS`` ratings is spread over several tasks.
     """
     source = materialise(directed.withColumnRenamed("i", "item_id"))
-    if source.count() > SMALL_NEIGHBOURS:
+    return meet(ratings, source, source.count() <= SMALL_NEIGHBOURS, num, den)
+
+
+def meet(ratings: DataFrame, source: DataFrame, small: bool, num: Column, den: Column) -> DataFrame:
+    if not small:
         met = salted_join(spread_rows(ratings, "user_id", "item_id"), source, ["item_id"])
     else:
         sizes = ratings.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
@@ -56,6 +55,44 @@ def spread(ratings: DataFrame, directed: DataFrame, num: Column, den: Column) ->
     return met.select("user_id", F.col("j").alias("item_id"), num.alias("num"), den.alias("den"))
 
 
+def summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("user_id", "item_id").agg(
+        F.sum("num").alias("num"), F.sum("den").alias("den"), F.max("seen").alias("seen"))
+
+
+def contributions(
+    ratings: DataFrame, directed: DataFrame, num: Column, den: Column, sized_by: DataFrame | None = None
+) -> DataFrame:
+    """Sums of ``spread`` over (user, candidate item), with ``seen`` 1 for rated items.
+
+    Where neighbours and items fit a broadcast, every item is a neighbour of its own that adds nothing but the mark. The
+    ratings, dealt out by user, are then all that is shuffled: sums and the caller's ranking stay in the user's task. The
+    number of tasks follows the contributions. A user with more than ``USER_ROWS`` ratings is too large for that.
+    ``sized_by`` may name a cheaper frame with the same users and items for counting them.
+    """
+    source = materialise(directed.withColumnRenamed("i", "item_id"))
+    sized = ratings if sized_by is None else sized_by
+    counts = materialise(sized.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n")))
+    near, most = source.count(), sized.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
+    if near + counts.count() > SMALL_NEIGHBOURS or most > USER_ROWS:
+        parts = meet(ratings, source, near <= SMALL_NEIGHBOURS, num, den).withColumn("seen", F.lit(0))
+        marks = ratings.select(
+            "user_id", "item_id", F.lit(0.0).alias("num"), F.lit(0.0).alias("den"), F.lit(1).alias("seen"))
+        return summed(parts.unionByName(marks))
+    sizes = source.groupBy("item_id").agg((F.count(F.lit(1)) + 1).alias("_k"))
+    made = counts.join(sizes, "item_id", "left").agg(F.sum(F.col("_n") * F.coalesce("_k", F.lit(1)))).first()[0] or 0
+    values = [c for c in source.columns if c not in ("item_id", "j")]
+    own = counts.select("item_id", F.col("item_id").alias("j"), *[F.lit(0.0).alias(c) for c in values], F.lit(1).alias("seen"))
+    table = source.select("item_id", "j", *values, F.lit(0).alias("seen")).unionByName(own)
+    met = spread_rows(ratings, "user_id", tasks=tasks_for(ratings, made, TASK_ROWS)).join(F.broadcast(table), "item_id")
+    return summed(met.select("user_id", F.col("j").alias("item_id"), num.alias("num"), den.alias("den"), "seen"))
+
+
+def unseen(sums: DataFrame, min_weight: float) -> DataFrame:
+    return sums.filter((F.col("seen") == 0) & (F.col("den") > min_weight)).select(
+        "user_id", "item_id", (F.col("num") / F.col("den")).alias("score"))
+
+
 def of_users(rows: DataFrame, only: DataFrame | None) -> DataFrame:
     """Rows of the requested users; the filter sits in front of every join."""
     return rows if only is None else rows.join(only.select("user_id").distinct(), "user_id", "left_semi")
@@ -67,9 +104,9 @@ def item_cf_scores(
     """Score of every unseen item: rating mean weighted by similarity to the user's rated items."""
     directed = mirrored(sim.filter(F.col("sim") > threshold))
     mine = of_users(ratings, only)
-    parts = spread(
+    sums = contributions(
         mine.select("user_id", "item_id", "rating"), directed, F.col("sim") * F.col("rating"), F.col("sim"))
-    return unseen_scores(parts, mine, 0.0)
+    return unseen(sums, 0.0)
 
 
 def item_cf(
@@ -111,15 +148,17 @@ def user_cf_scores(ratings: DataFrame, threshold: float = THRESHOLD, only: DataF
         sized_by=ratings,
     )
     directed = mirrored(kernel, {"hi": "hj", "hj": "hi"}).select("i", "j", "g", "hi")
-    parts = spread(
+    sums = contributions(
         of_users(unit, only).select("user_id", "item_id", "u"), directed,
-        F.col("u") * F.col("g"), F.col("u") * F.col("hi"))
-    weak = of_users(weak_user_parts(ratings, threshold), only)
-    return unseen_scores(parts.unionByName(weak), of_users(ratings, only), threshold / 2)
+        F.col("u") * F.col("g"), F.col("u") * F.col("hi"), sized_by=of_users(ratings, only))
+    weak = weak_user_parts(ratings, threshold)
+    if weak is not None:
+        sums = summed(sums.unionByName(of_users(weak, only).withColumn("seen", F.lit(0))))
+    return unseen(sums, threshold / 2)
 
 
-def weak_user_parts(ratings: DataFrame, threshold: float) -> DataFrame:
-    """Negative contributions of neighbours with ``0 < sim <= threshold``.
+def weak_user_parts(ratings: DataFrame, threshold: float) -> DataFrame | None:
+    """Negative contributions of neighbours with ``0 < sim <= threshold``; None where no user is long enough for one.
 
     A shared item gives a dot product of at least the square of the least positive rating, so the lengths of such a pair
     multiply to at least that square over the threshold. One of both users must then reach the root of this bound: those
@@ -128,6 +167,8 @@ def weak_user_parts(ratings: DataFrame, threshold: float) -> DataFrame:
     sizes = ratings.groupBy("user_id").agg(F.sqrt(F.sum(F.col("rating") * F.col("rating"))).alias("length"))
     least = scalars(ratings.filter("rating > 0"), m=F.min("rating"))["m"]
     bound = least * least / threshold * (1 - 1e-9)
+    if not sizes.filter(F.col("length") * F.col("length") >= bound).head(1):
+        return None
     sized = ratings.select("user_id", "item_id", "rating").join(sizes, "user_id")
 
     def side(rows: DataFrame, name: str) -> DataFrame:
@@ -179,15 +220,8 @@ def blended_cf(
     )
     weak = weak_features.unionByName(weak_cf).select("i", "j", (-F.col("sim")).alias("s"))
     directed = mirrored(cf.select("i", "j", (F.col("sim") * w).alias("s")).unionByName(weak))
-    parts = spread(
+    sums = contributions(
         rated.select("user_id", "item_id", "rating"), directed, F.col("s") * F.col("rating"), F.col("s"))
-    marks = rated.select(
-        "user_id", "item_id", F.lit(0.0).alias("num"), F.lit(0.0).alias("den"), F.lit(1).alias("seen"))
-    sums = (
-        parts.withColumn("seen", F.lit(0)).unionByName(marks)
-        .groupBy("user_id", "item_id")
-        .agg(F.sum("num").alias("num"), F.sum("den").alias("den"), F.max("seen").alias("seen"))
-    )
     return user_grid(rated, shared, sums, n=n, scale=fw, min_weight=threshold / 2)
 
 

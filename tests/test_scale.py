@@ -341,3 +341,20 @@ def test_pairs_in_a_range_from_tiles_of_a_cell(spark, monkeypatch):
     got = {(r.i, r.j): r.sim for r in sm.dense_cosine(rows, "id", "v", 4, 0.3).collect()}
     sim = cosine(x)
     assert got == pytest.approx({(i, j): sim[i, j] for i in range(30) for j in range(i + 1, 30) if sim[i, j] > 0.3})
+
+
+def test_sums_of_a_user_stay_in_its_task(spark, monkeypatch):
+    ratings = spark.createDataFrame(skewed_ratings())
+    sim = rc.materialise(sm.item_cosine(ratings))
+
+    def found():
+        return [{(r.user_id, r.item_id, r["rank"]): r.score for r in recs.collect()} for recs in (
+            rc.item_cf(ratings, 5, sim=sim), rc.user_cf(ratings, 5))]
+
+    plan = rc.item_cf(ratings, 5, sim=sim)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # the ratings by user; neither sums nor ranking are shuffled
+    together = found()
+    monkeypatch.setattr(rc, "USER_ROWS", 3)  # users that are spread over tasks
+    assert found() == [pytest.approx(x) for x in together]
+    monkeypatch.setattr(rc, "SMALL_NEIGHBOURS", 0)
+    assert found() == [pytest.approx(x) for x in together]
