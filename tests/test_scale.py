@@ -1,5 +1,7 @@
 """Building blocks against brute force, with thresholds small enough to force every split path."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -269,6 +271,27 @@ def test_negative_samples_are_complete(spark):
         assert len(mine) == min(4 * len(seen), 25 - len(seen))
 
 
+@pytest.mark.parametrize("block", [4, 7, 4096])
+def test_negative_draws_are_made_behind_the_last_shuffle(spark, monkeypatch, block):
+    monkeypatch.setattr(sa, "BLOCK", block, raising=False)
+    pdf = skewed_ratings()
+    rows = [(int(u), int(i)) for u, i in zip(pdf.user_id, pdf.item_id)]
+    ratings = spark.createDataFrame([*rows, *rows[:5], (3, 99), (3, None), (None, 4)], "user_id long, item_id long")
+    catalog = spark.createDataFrame([(i,) for i in [*range(25), 7]], "id long")
+    sampled = sa.negative_samples(ratings, catalog, 2)
+    plan = sampled._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")
+    got = [(r.user_id, r.item_id) for r in sampled.collect()]
+    number = lambda text: hashlib.md5(f"{text}:42".encode()).hexdigest()
+    order, want = sorted(range(25), key=number), set()
+    every = [*rows, *rows[:5], (3, 99), (3, None)]
+    for user in {u for u, _ in every}:
+        n, start = sum(u == user for u, _ in every), int(number(user)[:12], 16) % 25
+        fresh = [i for i in (order[(start + t) % 25] for t in range(min(3 * n, 25))) if (user, i) not in every]
+        want |= {(user, i) for i in fresh[: 2 * n]}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_weighted_sample_prefers_heavy_items(spark):
     pairs = [(u, i, 100.0 if i < 3 else 1.0) for u in range(200) for i in range(20)]
     df = spark.createDataFrame(pairs, "user_id long, item_id long, weight double")
