@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from marketloom.operators.grid import VectorTable, pair_grid, user_grid
 from marketloom.operators.scale import (
-    co_occurrence, lookup_join, mirrored, salted_join, scalars, spread_rows, tasks_for, top_k, top_scored,
+    co_occurrence, lookup_join, mirrored, salted_join, scalars, spread_rows, stored_side, tasks_for, top_k,
+    top_scored,
 )
 from marketloom.plans.similarity import item_cosine, user_cosine, with_unit
 from marketloom.session import materialise
@@ -47,14 +48,22 @@ def meet(ratings: DataFrame, source: DataFrame, small: bool, num: Column, den: C
     if not small:
         met = salted_join(spread_rows(ratings, "user_id", "item_id"), source, ["item_id"])
     else:
-        sizes = ratings.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
-        hot = sizes.filter(F.col("_n") > USER_ROWS).select("user_id", F.ceil(F.col("_n") / USER_ROWS).alias("_parts"))
-        dealt = lookup_join(ratings, hot, ["user_id"]).withColumn(
-            "_part", F.pmod(F.xxhash64("item_id"), F.coalesce("_parts", F.lit(1)))).drop("_parts")
-        met = spread_rows(dealt, "user_id", "_part").join(F.broadcast(source), "item_id")
+        met = by_user(ratings).join(F.broadcast(source), "item_id")
     return met.select("user_id", F.col("j").alias("item_id"), num.alias("num"), den.alias("den"))
 
 
+def by_user(ratings: DataFrame) -> DataFrame:
+    """Ratings dealt out by user; a user with more than ``USER_ROWS`` is spread over several tasks.
+
+    Whatever is summed by user afterwards adds up in front of its shuffle, also behind a checkpoint.
+    """
+    sizes = ratings.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.filter(F.col("_n") > USER_ROWS).select("user_id", F.ceil(F.col("_n") / USER_ROWS).alias("_parts"))
+    dealt = ratings.join(F.broadcast(hot), "user_id", "left").withColumn(  # at most one row for each USER_ROWS ratings
+        "_part", F.pmod(F.xxhash64("item_id"), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    return spread_rows(dealt, "user_id", "_part").drop("_part")
+
+
 def summed(parts: DataFrame) -> DataFrame:
     return parts.groupBy("user_id", "item_id").agg(
         F.sum("num").alias("num"), F.sum("den").alias("den"), F.max("seen").alias("seen"))
@@ -204,8 +213,8 @@ def blended_cf(
     """
     shared = table.where_in(
         candidates if candidates is not None else ratings.select(F.col("item_id").alias("id"))).materialised()
-    ids = shared.df.select(F.col("id").alias("item_id"))
-    rated = materialise(of_users(ratings, only).join(ids, "item_id", "left_semi"))
+    ids, _ = stored_side(shared.df.select(F.col("id").alias("item_id")))
+    rated = materialise(by_user(of_users(ratings, only).join(ids, "item_id", "left_semi")))
     w, fw = cf_weight, 1 - cf_weight
     cf = materialise(sim.join(ids.withColumnRenamed("item_id", "i"), "i", "left_semi").join(
         ids.withColumnRenamed("item_id", "j"), "j", "left_semi").filter(F.col("sim") > 0))
@@ -267,7 +276,8 @@ def hybrid(
     if feature_recs is not None:
         parts = parts.unionByName(
             feature_recs.filter(cut).select("user_id", "item_id", (F.col("score") / feature_scale * wf).alias("s")))
-    blended = materialise(parts.groupBy("user_id", "item_id").agg(F.sum("s").alias("s")))  # read twice, at most 6n rows a user
+    merged = spread_rows(parts, "user_id").groupBy("user_id", "item_id").agg(F.sum("s").alias("s"))
+    blended = materialise(merged)  # read twice, at most 6n rows a user, which lie together
     best = scalars(items, pop=F.max("popularity_score"), trend=F.max("trend_score"))
     bonus = items.select(
         F.col("id").alias("item_id"),
@@ -276,6 +286,9 @@ def hybrid(
             + F.when(best["trend"] > 0, F.col("trend_score") / best["trend"]).otherwise(0.0) * trend_weight
         ).alias("bonus"),
     )
+    held, small = stored_side(blended.select("item_id").distinct())
+    if small:  # the lists of all users hold few different items
+        bonus = F.broadcast(bonus.join(held, "item_id", "left_semi"))
     scored = lookup_join(blended, bonus, ["item_id"]).select(
         "user_id", "item_id", (F.col("s") + F.coalesce("bonus", F.lit(0.0))).alias("score"))
     ranked = top_scored(scored, ["user_id"], "score", "item_id", n)
@@ -284,20 +297,34 @@ def hybrid(
     return ranked.unionByName(popular.select(*ranked.columns))
 
 
-def filtered_recs(recs: DataFrame, items: DataFrame, keep: Column, n: int) -> DataFrame:
-    """Over-fetched recommendations filtered on item attributes, re-ranked to n."""
+def hybrid_items(ratings: DataFrame, items: DataFrame, n: int = TOP_N) -> DataFrame:
+    """Ids of all items that ``hybrid`` lists over these ratings can hold: rated ones and the n most popular."""
+    return ratings.select("item_id").unionByName(top_catalog(items, "popularity_score", n).select("item_id")).distinct()
+
+
+def filtered_recs(recs: DataFrame, items: DataFrame, keep: Column, n: int, among: DataFrame | None = None) -> DataFrame:
+    """Over-fetched recommendations filtered on item attributes, re-ranked to n.
+
+    ``among`` may name the items that the recommendations can hold; the catalog is narrowed to them first.
+    """
     matching = items.filter(keep).select(F.col("id").alias("item_id"))
+    if among is not None:
+        matching, _ = stored_side(matching.join(stored_side(among.select("item_id"))[0], "item_id", "left_semi"))
     kept = recs.join(matching, "item_id", "left_semi").drop("rank")
     return top_scored(kept, ["user_id"], "score", "item_id", n)
 
 
-def by_category(recs: DataFrame, items: DataFrame, category: str, n: int = TOP_N) -> DataFrame:
+def by_category(
+    recs: DataFrame, items: DataFrame, category: str, n: int = TOP_N, among: DataFrame | None = None
+) -> DataFrame:
     keep = (F.col("primary_category") == category) | F.array_contains("categories", category)
-    return filtered_recs(recs, items, keep, n)
+    return filtered_recs(recs, items, keep, n, among)
 
 
-def by_chain(recs: DataFrame, items: DataFrame, chain: str, n: int = TOP_N) -> DataFrame:
-    return filtered_recs(recs, items, F.col("chain") == chain, n)
+def by_chain(
+    recs: DataFrame, items: DataFrame, chain: str, n: int = TOP_N, among: DataFrame | None = None
+) -> DataFrame:
+    return filtered_recs(recs, items, F.col("chain") == chain, n, among)
 
 
 def cold_users(users: DataFrame, interactions: DataFrame, minimum: int = 3) -> DataFrame:

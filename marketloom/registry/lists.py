@@ -13,8 +13,8 @@ from marketloom.plans import sampling as sa
 from marketloom.plans import similarity as sm
 from marketloom.registry.base import query, r6
 from marketloom.registry.recs import (
-    COS_ITEM, COS_USER, ENHANCED, NUMERIC, SCORED, TOP, USER_SCORES, cf_sql, hybrid_recs, hybrid_sql, neighbours_sql,
-    ranked, show, show_pairs,
+    COS_ITEM, COS_USER, ENHANCED, NUMERIC, SCORED, TOP, USER_SCORES, cf_sql, hybrid_recs, hybrid_sql, hybrid_tables,
+    neighbours_sql, ranked, show, show_pairs,
 )
 from marketloom.registry.toolbox import en, first_hit, flag_matrix
 from marketloom.session import materialise
@@ -89,13 +89,17 @@ def common_index_join(spark, sf):
 @query("by_category", V("ratings items", f"""{hybrid_sql(30)}, keep AS (SELECT h.user_id, h.item_id, h.score FROM hybrid h JOIN items i ON i.id = h.item_id
     WHERE i.primary_category = 'red' OR list_contains(i.categories, 'red')), {ranked('top', 'keep', 10)} {TOP} top"""))
 def by_category(spark, sf):
-    return show(rc.by_category(hybrid_recs(spark, sf, 30), fx.items(spark, sf), "red", 10))
+    ratings, items = tables = hybrid_tables(spark, sf)
+    among = rc.hybrid_items(ratings, items, 30)
+    return show(rc.by_category(hybrid_recs(spark, sf, 30, tables), items, "red", 10, among))
 
 
 @query("by_chain", V("ratings items", f"""{hybrid_sql(30)}, keep AS (SELECT h.user_id, h.item_id, h.score FROM hybrid h JOIN items i ON i.id = h.item_id
     WHERE i.chain = 'Brand#3'), {ranked('top', 'keep', 10)} {TOP} top"""))
 def by_chain(spark, sf):
-    return show(rc.by_chain(hybrid_recs(spark, sf, 30), fx.items(spark, sf), "Brand#3", 10))
+    ratings, items = tables = hybrid_tables(spark, sf)
+    among = rc.hybrid_items(ratings, items, 30)
+    return show(rc.by_chain(hybrid_recs(spark, sf, 30, tables), items, "Brand#3", 10, among))
 
 
 INTEREST_LIST = ["red", "economy", "gear", "small", "blue"]

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from marketloom import fixtures as fx
 from marketloom.operators import aggregates as ag
 from marketloom.operators import nearest
 from marketloom.operators import scale as sc
@@ -381,3 +382,58 @@ def test_sums_of_a_user_stay_in_its_task(spark, monkeypatch):
     assert found() == [pytest.approx(x) for x in together]
     monkeypatch.setattr(rc, "SMALL_NEIGHBOURS", 0)
     assert found() == [pytest.approx(x) for x in together]
+
+
+@pytest.mark.parametrize("rows_per_task", [50_000, 3])
+def test_distinct_counts_move_a_row_once(spark, rows_per_task):
+    rows = [(k, n % (k + 2), None if n % 4 == 0 else f"s{n % 5}") for k in range(6) for n in range(2 * k + 1)]
+    rows += [(7, None, None), (None, 1, "x"), (5, 1, "s1"), (5, 1, "s1")]
+    df = spark.createDataFrame(rows, "k long, a long, b string")
+    got = {r.k: (r.n_a, r.n_b) for r in sc.distinct_counts(df, "k", rows_per_task, n_a="a", n_b="b").collect()}
+    values = lambda k, c: len({r[c] for r in rows if r[0] == k and r[c] is not None})
+    assert got == {k: (values(k, 1), values(k, 2)) for k in (0, 1, 2, 3, 4, 5, 7)}
+
+
+def test_items_are_counted_without_a_row_for_each_distinct_count(spark):
+    plan = fx.items(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    expanded = [part for part in plan.split("Expand [")[1:]]
+    assert "REPARTITION_BY_COL" in plan and all("LeftSemi" in part for part in expanded)  # only rows of hot keys are expanded
+
+
+@pytest.fixture
+def no_size_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lists_meet_the_catalog_without_a_shuffle_by_item(spark, no_size_broadcast):
+    ratings = spark.createDataFrame(skewed_ratings())
+    assert "SortMergeJoin" not in planned(sm.with_unit(ratings, "item_id", "u"))
+    ids = [r.item_id for r in ratings.select("item_id").distinct().collect()]
+    items = spark.createDataFrame(
+        [(i, f"c{i % 3}", float(i % 7), float(i % 5)) for i in ids + [10**6 + n for n in range(5)]],
+        "id long, chain string, popularity_score double, trend_score double")
+    users = ratings.select("user_id").unionByName(spark.createDataFrame([(-1,)], "user_id long")).distinct()
+    recs = rc.item_cf(ratings, 8)
+    lists = rc.hybrid(recs, recs, None, items, users, 4)
+    kept = rc.by_chain(lists, items, "c1", 2, rc.hybrid_items(ratings, items, 4))
+    assert planned(lists).count("SortMergeJoin") == 1  # the users without a list
+    assert planned(kept).count("SortMergeJoin") == 1
+    rows = lambda df: {(r.user_id, r.item_id, r["rank"]): r.score for r in df.collect()}
+    found = rows(kept)
+    assert found == rows(rc.by_chain(lists, items, "c1", 2)) and any(u == -1 for u, _, _ in found)
+
+
+def test_ratings_of_a_user_lie_together(spark, monkeypatch):
+    ratings = spark.createDataFrame([(u, i, 1.0) for i in range(9) for u in range(30)], "user_id long, item_id long, rating double")
+    tasks = lambda: max(r.t for r in rc.by_user(ratings).withColumn("t", F.spark_partition_id()).groupBy("user_id").agg(
+        F.countDistinct("t").alias("t")).collect())
+    assert tasks() == 1
+    monkeypatch.setattr(rc, "USER_ROWS", 3)
+    assert tasks() > 1 and sorted(rc.by_user(ratings).collect()) == sorted(ratings.collect())
