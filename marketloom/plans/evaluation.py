@@ -107,15 +107,18 @@ def holdout_split(
 ) -> DataFrame:
     """Ratings with ``is_test``: chosen users lose ``max(1, int(test_ratio * n))`` of their items.
 
-    Items are ordered by digest and numbered through digest buckets, so long histories are split over tasks.
+    Items are ordered by digest and numbered through digest buckets, so long histories are split over tasks. Only the rows of
+    chosen users are ordered; the digest travels as bytes, which sort like its digits.
     """
-    n = ratings.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
-    hashed = ratings.withColumn("_d", digest("user_id", "item_id", seed=seed))
+    chosen = chosen_users(seed, share)
+    n = ratings.filter(chosen).groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+    hashed = ratings.filter(chosen).withColumn("_d", F.unhex(digest("user_id", "item_id", seed=seed)))
     placed = with_position(
-        hashed, ["user_id"], [F.col("_d"), F.col("item_id")], F.substring("_d", 1, 2), "_pos").join(n, "user_id")
+        hashed, ["user_id"], [F.col("_d"), F.col("item_id")], F.hex(F.substring("_d", 1, 1)), "_pos").join(n, "user_id")
     quota = F.greatest(F.lit(1), F.floor(F.col("_n") * test_ratio + 1e-9))
-    test = chosen_users(seed, share) & (F.col("_n") >= min_interactions) & (F.col("_pos") < quota)
-    return placed.select(*ratings.columns, test.alias("is_test"))
+    test = (F.col("_n") >= min_interactions) & (F.col("_pos") < quota)
+    return placed.select(*ratings.columns, test.alias("is_test")).unionByName(
+        ratings.filter(F.col("user_id").isNotNull() & ~chosen).withColumn("is_test", F.lit(False)))
 
 
 def split(ratings: DataFrame, **options) -> tuple[DataFrame, DataFrame]:

@@ -41,7 +41,7 @@ AVERAGED = ", ".join(f'round(avg("{m}"), 6) AS "{m}"' for m in ev.METRICS) + ",
 
 
 def halves(spark, sf):
-    return ev.split(fx.ratings(spark, sf), share=SHARE)
+    return ev.split(materialise(rc.by_user(fx.ratings(spark, sf))), share=SHARE)
 
 
 @query("holdout_split", V("interactions", f"{SPLIT} SELECT user_id, item_id, rating, is_test FROM marked"))

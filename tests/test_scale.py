@@ -13,6 +13,7 @@ from marketloom.operators import nearest
 from marketloom.operators import scale as sc
 from marketloom.operators import series as se
 from marketloom.operators.grid import VectorTable, pair_grid, unit_rows
+from marketloom.plans import evaluation as ev
 from marketloom.plans import latent as la
 from marketloom.plans import recommend as rc
 from marketloom.plans import sampling as sa
@@ -437,3 +438,25 @@ def test_ratings_of_a_user_lie_together(spark, monkeypatch):
     assert tasks() == 1
     monkeypatch.setattr(rc, "USER_ROWS", 3)
     assert tasks() > 1 and sorted(rc.by_user(ratings).collect()) == sorted(ratings.collect())
+
+
+def test_only_chosen_users_are_ordered_for_the_split(spark, monkeypatch):
+    rows = [(u, i, float(i % 5 + 1)) for u in range(40) for i in range(u % 12 + 1)]
+    ratings = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    md5 = lambda *p: hashlib.md5(":".join(map(str, p)).encode()).hexdigest()
+    chosen = {u for u in range(40) if md5(u, 42)[:8] < f"{16**8 // 2:08x}"}
+    seen, place = [], ev.with_position
+
+    def watched(df, *args):
+        seen.append(df)
+        return place(df, *args)
+
+    monkeypatch.setattr(ev, "with_position", watched)
+    got = {(r.user_id, r.item_id): r.is_test for r in ev.holdout_split(ratings, share=0.5).collect()}
+    want = {}
+    for u in range(40):
+        mine = sorted((md5(u, i, 42), i) for v, i, _ in rows if v == u)
+        quota = max(1, int(0.2 * len(mine) + 1e-9)) if u in chosen and len(mine) >= 5 else 0
+        want.update({(u, i): n < quota for n, (_, i) in enumerate(mine)})
+    assert got == want and any(want.values())
+    assert {r.user_id for r in seen[0].collect()} == chosen and dict(seen[0].dtypes)["_d"] == "binary"
