@@ -137,9 +137,8 @@ def cold_start(spark, sf):
     return show(rc.cold_start(cold, ratings, items, sm.feature_vectors(items), sm.CF_WEIGHT, 10, some))
 
 
-def all_lists(spark, sf):
-    ratings = materialise(fx.ratings(spark, sf))
-    items = materialise(basic_scores(fx.items(spark, sf)))
+def listed(spark, sf):
+    ratings, items = hybrid_tables(spark, sf)
     sim = materialise(sm.item_cosine(ratings))
     user_recs = materialise(rc.user_cf(ratings, 20))
     item_recs = materialise(rc.item_cf(ratings, 20, sim=sim))
@@ -150,7 +149,13 @@ def all_lists(spark, sf):
         "user_based": user_recs.filter("rank <= 10"), "item_based": item_recs.filter("rank <= 10"),
         "feature_enhanced": feature_recs.filter("rank <= 10"),
     }
-    return materialise(rc.all_users(lists, items, users, 20)), items
+    return rc.all_users(lists, items, users, 20), items
+
+
+def all_lists(spark, sf):
+    """The lists of all users for queries that read them more than once, and the items."""
+    recs, items = listed(spark, sf)
+    return materialise(recs), items
 
 
 ALL = f"""{hybrid_sql(10)}, trend AS (SELECT id AS item_id, trend_score/100 AS score, row_number() OVER (ORDER BY round(trend_score, 8) DESC, id) AS rank FROM scored),
@@ -165,7 +170,7 @@ ALL = f"""{hybrid_sql(10)}, trend AS (SELECT id AS item_id, trend_score/100 AS s
 
 @query("all_users_job", V("ratings items", f"{ALL} SELECT user_id, item_id, round(score, 6) AS score, rank, recommendation_type FROM stored"))
 def all_users_job(spark, sf):
-    recs, _ = all_lists(spark, sf)
+    recs, _ = listed(spark, sf)  # read once, so the lists are not stored in between
     return recs.select("user_id", "item_id", r6("score"), F.col("rank").cast("long").alias("rank"), "recommendation_type")
 
 

@@ -460,3 +460,14 @@ def test_only_chosen_users_are_ordered_for_the_split(spark, monkeypatch):
         want.update({(u, i): n < quota for n, (_, i) in enumerate(mine)})
     assert got == want and any(want.values())
     assert {r.user_id for r in seen[0].collect()} == chosen and dict(seen[0].dtypes)["_d"] == "binary"
+
+
+def test_lists_that_are_read_once_are_not_stored(spark, monkeypatch):
+    from marketloom.registry import lists
+
+    recs = spark.createDataFrame([(1, 2, 0.5, 1, "hybrid")], "user_id long, item_id long, score double, rank int, recommendation_type string")
+    stored = []
+    monkeypatch.setattr(lists, "listed", lambda *_: (recs, None))
+    monkeypatch.setattr(lists, "materialise", lambda df: stored.append(df) or df)
+    assert lists.all_users_job(spark, "").collect()[0][:4] == (1, 2, 0.5, 1) and not stored
+    assert lists.all_lists(spark, "")[0] is recs and stored == [recs]
