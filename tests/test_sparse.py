@@ -115,3 +115,15 @@ def test_ratings_of_a_member_lie_together(spark):
         near = sm.cosine_neighbours(lying.drop("task"), by, "item_id" if by == "user_id" else "user_id", 3, dealt=True)
         again = sm.cosine_neighbours(plain, by, "item_id" if by == "user_id" else "user_id", 3)
         assert sorted((r.i, r.j, r["rank"]) for r in near.collect()) == sorted((r.i, r.j, r["rank"]) for r in again.collect())
+
+
+def test_neighbour_queries_do_not_store_their_ratings(spark, monkeypatch):
+    from marketloom.registry import recs
+
+    def refused(_):
+        raise AssertionError("ratings are stored")
+
+    monkeypatch.setattr(recs, "materialise", refused)
+    for query in (recs.item_neighbours_large, recs.user_neighbours_large):
+        plan = query(spark, "/root/testdata/sf0.001")
+        assert plan.columns == ["i", "j", "sim", "rank"]
