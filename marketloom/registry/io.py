@@ -134,7 +134,8 @@ def save_matrices(spark, sf):
 @query("sim_store", V("ratings_large", f"""ratings AS (SELECT * FROM ratings_large), {COS_ITEM} SELECT i, j, round(sim, 6) AS sim FROM cos WHERE i < j AND sim > 0.1"""))
 def sim_store(spark, sf):
     path = staging_path(spark, "sim")
-    large = materialise(sm.item_cosine(materialise(fx.ratings_large(spark, sf))).filter(F.col("sim") > st.STORED_SIMILARITY))
+    large = materialise(sm.cosines_above(
+        fx.ratings_large(spark, sf, by="item_id"), "item_id", "user_id", st.STORED_SIMILARITY, dealt=True))
     st.save_similarity(sm.item_cosine(fx.ratings(spark, sf)), "events", path)
     st.save_similarity(large.filter("sim > 0.5"), "orders", path)
     st.save_similarity(large, "orders", path)

@@ -127,3 +127,26 @@ def test_neighbour_queries_do_not_store_their_ratings(spark, monkeypatch):
     for query in (recs.item_neighbours_large, recs.user_neighbours_large):
         plan = query(spark, "/root/testdata/sf0.001")
         assert plan.columns == ["i", "j", "sim", "rank"]
+
+
+def test_pairs_below_the_bound_are_not_shuffled(spark, rows, monkeypatch):
+    whole = [(i, g, v) for i, g, v in rows if g is not None]
+    named = spark.createDataFrame([(f"m{i}", g, v) for i, g, v in whole], "user_id string, g long, rating double")
+    want = {p: s for p, s in brute([(f"m{i}", g, v) for i, g, v in whole]).items() if p[0] < p[1] and s > 0.4}
+    assert {(r.i, r.j): r.sim for r in sm.cosines_above(named, "user_id", "g", 0.4).collect()} == pytest.approx(want)
+
+    def refused(*_, **__):
+        raise AssertionError("makes a row for every pair")
+
+    monkeypatch.setattr(sm, "cosine_pairs", refused)
+    found = sm.cosines_above(spark.createDataFrame(whole, "user_id long, g long, rating double"), "user_id", "g", 0.4)
+    assert {(f"m{r.i}", f"m{r.j}"): r.sim for r in found.collect()} == pytest.approx(want)
+
+
+def test_sim_store_makes_no_row_for_every_pair_of_items_of_a_user(spark, monkeypatch):
+    from marketloom.registry import io
+
+    sizes, pairs = [], sm.cosine_pairs
+    monkeypatch.setattr(sm, "cosine_pairs", lambda rated, *a, **k: sizes.append(rated.count()) or pairs(rated, *a, **k))
+    io.sim_store(spark, "/root/testdata/sf0.001")
+    assert len(sizes) == 1  # of the events only, not of the orders
