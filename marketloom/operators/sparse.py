@@ -79,7 +79,7 @@ def packs_of(rows: DataFrame, members: int, entries: int = PACK_ENTRIES, null_va
     ``more`` whether the next pack goes on with it, ``entries`` and ``members`` count.
 
     Rows without member drop out, those without group count for the length only; a value that is null is dropped or, with
-    ``null_values``, NaN. ``dealt``: all rows of a member lie in one partition already.
+    ``null_values``, kept as NaN. ``dealt``: all rows of a member lie in one partition already.
     """
     known = rows.filter("i IS NOT NULL")
     if not dealt:
@@ -230,7 +230,12 @@ def summed(row: np.ndarray, member: np.ndarray, product: np.ndarray, bits: int)
     order = np.argsort(key, kind="stable")
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[first] >> bits, key[first] & (1 << bits) - 1, np.add.reduceat(product[order], first)
+    product = product[order]
+    dot = np.add.reduceat(product, first)
+    if np.isnan(dot).any():
+        known = ~np.isnan(product)
+        dot = np.where(np.add.reduceat(known, first, dtype=np.int64) > 0, np.add.reduceat(np.where(known, product, 0.0), first), np.nan)
+    return key[first] >> bits, key[first] & (1 << bits) - 1, dot
 
 
 def cosines(block: Block, packs: Iterator[tuple[bool, bytes]], products: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -250,23 +255,23 @@ def cosines(block: Block, packs: Iterator[tuple[bool, bytes]], products: int) ->
 
     def finished(sums: Sums) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         member = np.flatnonzero(sums.met)
-        return sized(member, np.full(len(member), sums.id), np.full(len(member), sums.square), sums.dots[member])
+        dots = np.where(sums.known[member], sums.dots[member], np.nan)
+        return sized(member, np.full(len(member), sums.id), np.full(len(member), sums.square), dots)
 
     goes_on = False
     for more, blob in packs:
         pack = Pack.decoded(blob)
         chained = more or goes_on
         if chained:
-            held = held or Sums(pack.ids[0], 0.0, np.zeros(size), np.zeros(size, bool))
+            held = held or Sums(pack.ids[0], 0.0, size)
             held.square += pack.squares[0]
         for row, member, product, whole_rows in block.met(pack, products):
             if not chained and held and (whole_rows or held.id != pack.ids[row[0]]):
                 yield finished(held)
                 held = None
             if chained or not whole_rows:
-                held = held or Sums(pack.ids[row[0]], pack.squares[row[0]], np.zeros(size), np.zeros(size, bool))
-                held.dots += np.bincount(member, product, size)
-                held.met[member] = True
+                held = held or Sums(pack.ids[row[0]], pack.squares[row[0]], size)
+                held.add(member, product)
             else:
                 row, member, dot = summed(row, member, product, bits)
                 yield sized(member, pack.ids[row], pack.squares[row], dot)
@@ -276,14 +281,17 @@ def cosines(block: Block, packs: Iterator[tuple[bool, bytes]], products: int) ->
             held = None
 
 
-@dataclass
 class Sums:
     """Products of one member with all members of a block, and its sum of squares so far."""
 
-    id: int
-    square: float
-    dots: np.ndarray
-    met: np.ndarray
+    def __init__(self, id: int, square: float, size: int):
+        self.id, self.square, self.dots = id, square, np.zeros(size)
+        self.met, self.known = np.zeros(size, bool), np.zeros(size, bool)
+
+    def add(self, member: np.ndarray, product: np.ndarray) -> None:
+        known = ~np.isnan(product)
+        self.dots += np.bincount(member, np.where(known, product, 0.0), len(self.dots))
+        self.met[member], self.known[member[known]] = True, True
 
 
 class Best:
@@ -347,8 +355,8 @@ def sparse_cosines(
     ``above`` the pairs i < j above that bound. Members are whole numbers.
 
     Blocks hold about ``block`` ratings and parts about ``part`` at most; there are three cells for each core, and blocks and
-    parts are so many that the fewest bytes travel. A null rating makes the cosines with its member NaN, which come last of the
-    k best; above a bound it is passed over. ``dealt``: all ratings of a member lie in one partition already.
+    parts are so many that the fewest bytes travel. A null rating adds nothing; a pair that shares nothing else has no cosine
+    (null) and comes last of the k best. ``dealt``: all ratings of a member lie in one partition already.
     """
     rows = ratings.select(F.col(member).cast("long").alias("i"), F.col(group).alias("g"), F.col("rating").cast("double").alias("v"))
     if not whole(rows.schema["g"].dataType):
@@ -400,4 +408,4 @@ def sparse_cosines(
             yield held.ids[at[keep]], other[keep], sim[keep]
 
     met = left.unionByName(right).repartitionById(blocks * parts, F.col("cell")).sortWithinPartitions("cell", "side", "n")
-    return met.mapInArrow(cell, "i long, j long, sim double")
+    return met.mapInArrow(cell, "i long, j long, sim double").withColumn("sim", F.nanvl("sim", F.lit(None)))

@@ -57,8 +57,11 @@ def test_members_without_names_and_groups_with_any(spark):
     ratings = spark.createDataFrame(rows, "u int, g string, rating double")
     got = {(r.i, r.j): r.sim for r in sp.sparse_cosines(ratings, "u", "g", above=-2.0).collect()}
     assert got == pytest.approx({(1, 2): 1.0, (1, 3): 2**-0.5, (2, 3): 2**-0.5})
-    near = {(r.i, r["rank"]): (r.j, r.sim) for r in sm.cosine_neighbours(ratings, "u", "g", 2).collect()}
-    assert [near[2, n][0] for n in (1, 2)] == [1, 3] and np.isnan(near[2, 2][1])
+    more = ratings.union(spark.createDataFrame([(4, "b", 2.0)], ratings.schema))
+    for entries in (8_000_000, 1):
+        near = {(r.i, r["rank"]): (r.j, r.sim) for r in sm.cosine_neighbours(more, "u", "g", 3, 2, entries).collect()}
+        assert [near[2, n][0] for n in (1, 2, 3)] == [1, 3, 4] and near[2, 3][1] is None
+        assert near[4, 1] == (3, pytest.approx(2**-0.5)) and near[4, 2] == (2, None) and (4, 3) not in near
     with pytest.raises(Exception, match="no direction"):
         sp.sparse_cosines(ratings.fillna(0.0).union(spark.createDataFrame([(9, "a", 0.0)], ratings.schema)), "u", "g", k=1).collect()
 
